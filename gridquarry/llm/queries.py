@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, sharding
+from . import chat, dedup, licenses, mixing, packing, sharding
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op3_packing": packing.op3_packing,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": dedup.op7_exact_dedup,
+    "op8_chat": chat.op8_chat,
 }
 
 ORACLE_SQL = {
+    "op1_licenses": licenses.OP1_SQL,
+    "op8_chat": chat.OP8_SQL,
     "op7_exact_dedup": dedup.OP7_SQL,
 }
