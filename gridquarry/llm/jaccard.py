@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import components, small_join, stage
+from .common import small_join, stage
+from .groups import bucket_components
 
 #: Cells of the count sketch that orders tokens from frequent to rare; 4 bytes each, whatever the size of the input.
 CELL_BITS = 20
 _CHUNK = 1 << 14
-#: Buckets of a token above this many sets are joined with one pivot first, so that groups of near copies need no pairs.
-_PAIRED = 8
 #: Bits of the filter of wanted sets: at most this many; more wanted sets only let more unwanted ones through.
 _FILTER_BITS = 1 << 28
 
@@ -239,10 +238,6 @@ def _fit(percent: int):
     return (F.col("x.pos") <= F.col("x.n") - need) & (F.col("y.pos") <= F.col("y.n") - need)
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a <> b").distinct()
-
-
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of df with its group of similar texts: id_col, n_shingles, component_id.
 
@@ -253,9 +248,8 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Exact, not sampled: texts with equal sets are one class first. Tokens are ordered by frequency (a sketch of counts over
     all texts; any order is right, a good one is fast), and each class posts its rarest tokens, one more than two linked
-    sets can miss. Classes meet at a common token unless what remains of them is too short. At tokens of many classes
-    they meet the smallest one first; then only classes that are still in different components meet pairwise, so a
-    group of near copies of any size needs few pairs."""
+    sets can miss. Classes meet at a common token unless what remains of them is too short (groups.bucket_components:
+    a group of near copies of any size needs few pairs)."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = _signatures(rows, k)
@@ -268,33 +262,12 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     token = Window.partitionBy("token")
     shared = _postings(rows, k, percent, counts).withColumn("other", (F.min("c1").over(token) != F.max("c1").over(token)) | (F.min("c2").over(token) != F.max("c2").over(token)))
     shared = stage(shared.where("other").drop("other").dropDuplicates(["token", "c1", "c2"]), "shared")
-    members = shared.join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("token", "node", "n", "pos")
-    members = stage(members, "members")
-    sizes = stage(members.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("node", "n", "pos")).alias("y")), "sizes")
-    few, many = sizes.where(F.col("m") <= _PAIRED).select("token"), sizes.where(F.col("m") > _PAIRED)
-    row = F.struct("node", "n", "pos")
-    small = members.join(few, "token", "left_semi").select("token", row.alias("x"))
-    met = small.join(small.select("token", F.col("x").alias("y")), "token").where("x.node < y.node").where(_fit(percent))
-    starred = members.select("token", row.alias("x")).join(many.select("token", "y"), "token").where(_fit(percent))
-    pairs = stage(_pairs(met.select("x", "y").unionByName(starred.select("x", "y"))), "pairs")
-
-    wide = stage(members.join(many.select("token"), "token", "left_semi"), "wide")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(wide.select("node")).distinct()
-    wanted = stage(classes.join(nodes, "node", "left_semi"), "wanted")
-    sets = _fetch(rows, k, counts, wanted)
-    links = _links(pairs, sets, percent)
-    found = components(links)
-
-    # where many classes share a token: those outside the token's main component meet all of other components
-    at = wide.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = at.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("k"))
-    at = stage(at.join(main.where("k > 1").select("token", "main"), "token"), "rest")
-    row = F.struct("node", "n", "pos", "component", (F.col("component") == F.col("main")).alias("in_main"))
-    x, y = at.where("component <> main").select("token", row.alias("x")), at.select("token", row.alias("y"))
-    rest = x.join(y, "token").where("x.component <> y.component AND (y.in_main OR x.node < y.node)").where(_fit(percent))
-    rest = stage(_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    if not rest.isEmpty():
-        found = components(links.unionByName(_links(rest, sets, percent)))
+    members = shared.join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select(F.col("token").alias("bucket"), "node", "n", "pos")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _fetch(rows, k, counts, stage(classes.join(nodes, "node", "left_semi"), "wanted"))
+
+    found = bucket_components(members, _fit(percent), sets_of, lambda pairs, sets: _links(pairs, sets, percent))
 
     first = stage(classes.join(found, "node", "left").select("c1", "c2", "first_id", F.coalesce("component", "node").alias("component")), "first")
     smallest = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
