@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import chat, dedup, licenses, mixing, packing, sharding
+from . import chat, dedup, jaccard, language, licenses, mixing, packing, sharding, toxicity, vectors
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_language": language.op2_language,
     "op3_packing": packing.op3_packing,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_exact_dedup": dedup.op7_exact_dedup,
     "op8_chat": chat.op8_chat,
+    "op9_embeddings": vectors.op9_embeddings,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op1_licenses": licenses.OP1_SQL,
-    "op8_chat": chat.OP8_SQL,
     "op7_exact_dedup": dedup.OP7_SQL,
+    "op8_chat": chat.OP8_SQL,
 }
