@@ -77,24 +77,47 @@ def pixel_to_lonlat(x: Column, y: Column, samples: Column, lines: Column, lons:
     return bilinear(u, v, lons), bilinear(u, v, lats)
 
 
+def _let(values: dict[str, Column], body) -> Column:
+    """body over a struct of values, each computed once."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def lonlat_to_pixel(lon: Column, lat: Column, samples: Column, lines: Column, lons: list[Column], lats: list[Column]) -> tuple[Column, Column]:
     """Inverse of pixel_to_lonlat in closed form: v solves a quadratic, u follows. Null where the corners span no area."""
-    mean = (lons[0] + lons[1] + lons[2] + lons[3]) / 4
-    lon = wrap_lon(lon, "around", mean)
-    # p(u, v) = a + u b + v c + u v d, in each coordinate
-    ax, bx, cx, dx = lons[0], lons[1] - lons[0], lons[2] - lons[0], lons[0] - lons[1] - lons[2] + lons[3]
-    ay, by, cy, dy = lats[0], lats[1] - lats[0], lats[2] - lats[0], lats[0] - lats[1] - lats[2] + lats[3]
-    hx, hy = lon - ax, lat - ay
-    k2, k1, k0 = cx * dy - cy * dx, cx * by - cy * bx + hy * dx - hx * dy, hy * bx - hx * by
-    root = F.sqrt(F.greatest(k1 * k1 - 4 * k2 * k0, F.lit(0.0)))
-    sign = F.when(k1 < 0, -1.0).otherwise(1.0)
-    q = -(k1 + sign * root) / 2  # the stable form of either root
-    one, two = F.try_divide(k0, q), F.try_divide(q, k2)
-    inside = lambda t: F.abs(t - 0.5)
-    v = F.when(two.isNull() | F.isnan(two) | (inside(one) <= inside(two)), one).otherwise(two)
-    wide, tall = bx + v * dx, by + v * dy
-    u = F.when(F.abs(wide) >= F.abs(tall), F.try_divide(hx - v * cx, wide)).otherwise(F.try_divide(hy - v * cy, tall))
-    return u * (samples - 1), v * (lines - 1)
+    given = {f"x{k}": c for k, c in enumerate(lons)} | {f"y{k}": c for k, c in enumerate(lats)} | {"lon": lon, "lat": lat}
+
+    def terms(g: Column) -> Column:  # p(u, v) = a + u b + v c + u v d, in each coordinate; h = p - a
+        mean = (g["x0"] + g["x1"] + g["x2"] + g["x3"]) / 4
+        near = wrap_lon(g["lon"], "around", mean)
+        parts = {"hx": near - g["x0"], "hy": g["lat"] - g["y0"]}
+        for k in "xy":
+            parts |= {f"b{k}": g[f"{k}1"] - g[f"{k}0"], f"c{k}": g[f"{k}2"] - g[f"{k}0"], f"d{k}": g[f"{k}0"] - g[f"{k}1"] - g[f"{k}2"] + g[f"{k}3"]}
+        return F.struct(*[v.alias(n) for n, v in parts.items()])
+
+    def quadratic(t: Column) -> Column:
+        two, one = t["cx"] * t["dy"] - t["cy"] * t["dx"], t["cx"] * t["by"] - t["cy"] * t["bx"] + t["hy"] * t["dx"] - t["hx"] * t["dy"]
+        return F.struct(t.alias("t"), two.alias("k2"), one.alias("k1"), (t["hy"] * t["bx"] - t["hx"] * t["by"]).alias("k0"))
+
+    def roots(k: Column) -> Column:
+        root = F.sqrt(F.greatest(k["k1"] * k["k1"] - 4 * k["k2"] * k["k0"], F.lit(0.0)))
+        q = -(k["k1"] + F.when(k["k1"] < 0, -1.0).otherwise(1.0) * root) / 2  # the stable form of either root
+        return F.struct(k["t"].alias("t"), F.try_divide(k["k0"], q).alias("one"), F.try_divide(q, k["k2"]).alias("two"))
+
+    def place(r: Column) -> Column:
+        first = r["two"].isNull() | F.isnan(r["two"]) | (F.abs(r["one"] - 0.5) <= F.abs(r["two"] - 0.5))
+        return F.struct(r["t"].alias("t"), F.when(first, r["one"]).otherwise(r["two"]).alias("v"))
+
+    def solve(p: Column) -> Column:
+        t, v = p["t"], p["v"]
+        wide, tall = t["bx"] + v * t["dx"], t["by"] + v * t["dy"]
+        u = F.when(F.abs(wide) >= F.abs(tall), F.try_divide(t["hx"] - v * t["cx"], wide)).otherwise(F.try_divide(t["hy"] - v * t["cy"], tall))
+        return F.struct(u.alias("u"), v.alias("v"))
+
+    step = F.array(_let(given, terms))
+    for function in (quadratic, roots, place, solve):
+        step = F.transform(step, function)
+    uv = step[0]
+    return uv["u"] * (samples - 1), uv["v"] * (lines - 1)
 
 
 def ray_sphere(position: list[Column], direction: list[Column], radius: float = RADIUS_M) -> Column:

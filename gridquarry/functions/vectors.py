@@ -66,20 +66,3 @@ def binary_codes(x: np.ndarray, seed: int = 42) -> np.ndarray:
     x = x / np.where(norm > 0, norm, 1) * code_signs(x.shape[1], seed)
     bits = x @ hadamard_matrix(x.shape[1]).T >= 0
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
-
-
-def binary_code_64(a: Column, seed: int = 42) -> Column:
-    """The code of a 64-dimensional vector as one bigint, in plain expressions: a butterfly of six levels, then the signs."""
-    n = l2_norm(a)
-    signs = F.array(*[F.lit(float(s)) for s in code_signs(64, seed)])
-    y = F.zip_with(F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)), signs, lambda x, s: x * s)
-    for h in (1, 2, 4, 8, 16, 32):
-        y = _butterfly(y, h)
-    set_bits = F.transform(y, lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(set_bits, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
-
-
-def _butterfly(y: Column, h: int) -> Column:
-    """One level of the transform: i and i + h become their sum and difference."""
-    upper = lambda i: (F.floor(i / h) % 2).cast("int") == 0
-    return F.transform(y, lambda x, i: F.when(upper(i), x + F.get(y, i + h)).otherwise(F.get(y, i - h) - x))

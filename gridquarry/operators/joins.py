@@ -60,7 +60,7 @@ def nearest_site(hits: DataFrame, sites: DataFrame, max_m: float, radius: float
     max_m is at the strip's highest latitude. Equal hits are looked up once."""
     step = max_m / (radius * 3.141592653589793 / 180)
     strip = lambda lat: F.floor(lat / step)
-    wide = lambda s: step / F.greatest(F.cos(F.radians(F.least((F.greatest(F.abs(s), F.abs(s + 1)) + 1) * step, F.lit(89.0)))), F.lit(1e-3))
+    wide = lambda s: step / F.greatest(F.cos(F.radians(F.least((F.greatest(F.abs(s), F.abs(s + 1)) + 1) * step, F.lit(90.0)))), F.lit(1e-9))
     turns = lambda s: F.greatest(F.floor(F.lit(360.0) / wide(s)), F.lit(1))
     slot = lambda lon, s: F.floor(F.pmod(lon, F.lit(360.0)) / (F.lit(360.0) / turns(s)))
     own = hits.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct().withColumn("s", strip(F.col("lat"))).withColumn("c", slot(F.col("lon"), F.col("s")))
