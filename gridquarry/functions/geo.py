@@ -140,7 +140,7 @@ def in_ellipse(x: Column, y: Column, cx: Column, cy: Column, major: Column, mino
     along = (x - cx) * F.sin(t) - (y - cy) * F.cos(t)
     across = (x - cx) * F.cos(t) + (y - cy) * F.sin(t)
     a, b = F.greatest(major, F.lit(0.5)), F.greatest(minor, F.lit(0.5))
-    return F.pow(along / a, 2) + F.pow(across / b, 2) <= 1
+    return F.pow(along / a, 2) + F.pow(across / b, 2) <= 1 + 1e-12  # pixels on the edge count, whatever the rounding
 
 
 def rect_overlap_area(a: list[Column], b: list[Column]) -> Column:

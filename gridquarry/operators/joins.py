@@ -142,3 +142,59 @@ def grid_tasks(rois: DataFrame, cell: float = 2.0) -> DataFrame:
 def delta_rows(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Rows of current that previous lacks, with their numbers (set difference of volumes)."""
     return current.exceptAll(previous)
+
+
+def match_by_name(files: DataFrame, sites: DataFrame, least: int = 4) -> DataFrame:
+    """files (stem) with the first site (ord) whose normalised name stands in the stem: stem, name; null without one.
+
+    Both are lower-cased, and all but letters and digits left out. Names shorter than least do not count. Files meet the
+    names that begin with one of their runs of least characters, so no file meets all names."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    names = sites.select("name", "ord", plain(F.col("name")).alias("n")).where(F.length("n") >= least).withColumn("g", F.substring("n", 1, least))
+    stems = files.select("stem").distinct().withColumn("s", plain(F.col("stem")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - least + 1, F.lit(1))), lambda k: F.col("s").substr(k, F.lit(least))))
+    met = stems.withColumn("g", F.explode(grams)).join(names, "g").where(F.contains("s", "n"))
+    best = met.groupBy("stem").agg(F.min_by("name", "ord").alias("name"))
+    return files.join(best, "stem", "left")
+
+
+def running_rank(hits: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """hits plus rank over all groups, in order of group and then of order: ranks in a group are shifted by the rows before it.
+
+    Only the groups' counts are put in one order, never the hits."""
+    own = hits.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = hits.groupBy(group).count().select(group, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
+    return own.join(starts, group).withColumn("rank", F.col("__s") + F.col("__r")).drop("__r", "__s")
+
+
+def terrain_intersect(rays: DataFrame, heights: DataFrame, cell: float, rounds: int = 6, tolerance: float = 1.0) -> DataFrame:
+    """rays (ray_id, px, py, pz, dx, dy, dz: unit direction) with lon, lat and height_m where they meet the terrain.
+
+    heights: i, j (cells of longitude and latitude), height_m. Each round meets the sphere at the height found before and
+    looks the height up there, until it changes by less than tolerance. Misses, and points without height, are null."""
+    from ..functions.geo import RADIUS_M
+
+    at = rays.withColumn("h", F.lit(0.0)).withColumn("moved", F.lit(float("inf")))
+    p, d = [F.col(c) for c in ("px", "py", "pz")], [F.col(c) for c in ("dx", "dy", "dz")]
+    for _ in range(rounds):
+        b = sum((x * y for x, y in zip(p, d)), F.lit(0.0))
+        c = sum((x * x for x in p), F.lit(0.0)) - F.pow(F.lit(RADIUS_M) + F.col("h"), 2)
+        t = F.when(b * b - c >= 0, -b - F.sqrt(F.greatest(b * b - c, F.lit(0.0))))
+        point = at.withColumn("t", F.when(t > 0, t)).withColumns({k: x + F.col("t") * y for k, x, y in zip("xyz", p, d)})
+        r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+        point = point.withColumns({"lon": F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0)), "lat": F.degrees(F.asin(F.col("z") / r))})
+        point = point.withColumns({"i": F.floor(F.col("lon") / cell), "j": F.floor(F.col("lat") / cell)})
+        found = point.join(heights.select("i", "j", F.col("height_m").alias("new")), ["i", "j"], "left")
+        done = F.col("moved") < tolerance
+        found = found.withColumn("next", F.when(done, F.col("h")).otherwise(F.col("new"))).withColumn("moved", F.when(done, F.col("moved")).otherwise(F.abs(F.col("new") - F.col("h"))))
+        at = found.select(*rays.columns, F.col("next").alias("h"), "moved", "lon", "lat")
+    return at.select("ray_id", "lon", "lat", F.col("h").alias("height_m"))
+
+
+def elevation_lookup(points: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
+    """points (point_id, lat, lon) with height_m from the first tile (priority) that has a value in the point's cell; null without."""
+    place = points.withColumns({"i": F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / cell), "j": F.floor(F.col("lat") / cell)})
+    keys = place.select("i", "j").distinct()
+    best = keys.join(cells.where("value IS NOT NULL"), ["i", "j"]).groupBy("i", "j").agg(F.min_by("value", "priority").alias("height_m"))
+    return place.join(best, ["i", "j"], "left").drop("i", "j")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import scalar_queries, table_queries  # noqa: F401
+from . import more_queries, scalar_queries, table_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

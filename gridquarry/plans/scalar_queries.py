@@ -196,7 +196,7 @@ def m10(t: Tables):
 
 @query("m12_in_ellipse", "hits", """
 WITH p AS (SELECT x_offset AS x, y_offset AS y, (x_offset - 2400) * sin(radians(30)) - (y_offset - 26000) * cos(radians(30)) AS a, (x_offset - 2400) * cos(radians(30)) + (y_offset - 26000) * sin(radians(30)) AS b FROM hits)
-SELECT x, y, pow(a / 20000, 2) + pow(b / 9000, 2) <= 1 AS inside FROM p""")
+SELECT x, y, pow(a / 20000, 2) + pow(b / 9000, 2) <= 1 + 1e-12 AS inside FROM p""")
 def m12(t: Tables):
     lit = [F.lit(float(x)) for x in (2400, 26000, 20000, 9000, 30)]
     return t.hits.select(col("x_offset").alias("x"), col("y_offset").alias("y"), geo.in_ellipse(col("x_offset"), col("y_offset"), *lit).alias("inside"))
