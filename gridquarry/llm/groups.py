@@ -11,6 +11,8 @@ from .common import components, stage
 
 #: Buckets of more members than this meet their smallest member first.
 PAIRED = 8
+#: Rounds in which the members outside a bucket's main component meet one drawn member of it, before they meet all others.
+TRIES = 2
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -29,7 +31,8 @@ def bucket_components(
     may be verified, once; verify gets pairs (a, b), a < b, each once, with what prepare returned, and gives those linked.
 
     Members of small buckets meet pairwise, those of large ones meet their smallest member. After that, members of a
-    large bucket outside its most common component meet the members of all other components. So every pair that shares
+    large bucket outside its most common component meet a drawn member of that component, and those still outside meet
+    the members of all other components. So every pair that shares
     a bucket and fits is verified unless links already join it: components are exact, and a bucket of any size whose
     members are alike needs few pairs. Everything is joined by bucket or node; nothing is gathered."""
     members = stage(members, "members")
@@ -47,11 +50,22 @@ def bucket_components(
     links = verify(pairs, ready)
     found = components(links)
 
-    at = wide.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = at.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n_components"))
-    at = stage(at.join(main.where("n_components > 1").select("bucket", "main"), "bucket"), "rest")
-    row = F.struct(*info, "component", (F.col("component") == F.col("main")).alias("in_main"))
-    x, y = at.where("component <> main").select("bucket", row.alias("x")), at.select("bucket", row.alias("y"))
-    rest = x.join(y, "bucket").where("x.component <> y.component AND (y.in_main OR x.node < y.node)").where(fit)
-    rest = stage(_pairs(rest).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    return found if rest.isEmpty() else components(links.unionByName(verify(rest, ready)))
+    done = pairs
+    for attempt in range(TRIES + 1):
+        at = wide.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        main = at.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n_components"))
+        at = stage(at.join(main.where("n_components > 1").select("bucket", "main"), "bucket"), "rest")
+        row = F.struct(*info, "component", (F.col("component") == F.col("main")).alias("in_main"))
+        x, y = at.where("component <> main").select("bucket", row.alias("x")), at.select("bucket", row.alias("y"))
+        if attempt < TRIES:
+            draw = F.xxhash64("y.node", "bucket", F.lit(attempt))
+            y = y.where("y.in_main").groupBy("bucket").agg(F.min_by("y", draw).alias("y"))
+        rest = x.join(y, "bucket").where("x.component <> y.component AND (y.in_main OR x.node < y.node)").where(fit)
+        rest = stage(_pairs(rest).join(done, ["a", "b"], "left_anti"), "rest-pairs")
+        if rest.isEmpty():
+            if attempt < TRIES:
+                continue
+            break
+        done, links = done.unionByName(rest), links.unionByName(verify(rest, ready))
+        found = components(links)
+    return found

@@ -20,6 +20,8 @@ CELL_BITS = 20
 _CHUNK = 1 << 14
 #: Bits of the filter of wanted sets: at most this many; more wanted sets only let more unwanted ones through.
 _FILTER_BITS = 1 << 28
+#: Rows of two or three numbers that may be broadcast (some MB), if a count shows that there are no more.
+_BOUND = 400_000
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -117,7 +119,8 @@ def _postings(rows: DataFrame, k: int, percent: int, counts) -> DataFrame:
 def _fetch(rows: DataFrame, k: int, counts, wanted: DataFrame) -> DataFrame:
     """Sets of the wanted classes (node, c1, c2, first_id): node, n, tokens from the most frequent to the rarest.
 
-    A filter of fixed size tells tasks which texts may be wanted; the join drops the few others it lets through."""
+    A filter of fixed size tells tasks which texts may be wanted; the join drops the few others it lets through. Rows that
+    repeat in the input may give a set once per task, which does no harm."""
     bits = min(_FILTER_BITS, 1 << max(20, (16 * wanted.count()).bit_length()))
     chunk = 1 << 17
 
@@ -134,7 +137,7 @@ def _fetch(rows: DataFrame, k: int, counts, wanted: DataFrame) -> DataFrame:
     wanted_bits = rows.sparkSession.sparkContext.broadcast(table)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, may = counts.value, wanted_bits.value
+        cells, may, done = counts.value, wanted_bits.value, set()
         for batch in batches:
             for block in arrays.blocks(batch):
                 at = block.column("bit").to_numpy()
@@ -142,12 +145,16 @@ def _fetch(rows: DataFrame, k: int, counts, wanted: DataFrame) -> DataFrame:
                 if not hit.any():
                     continue
                 block = block.filter(pa.array(hit.astype(bool)))
-                out = [(one, two, len(own), own[np.lexsort((own, -cells[_cell(own)].astype(np.int64)))].tobytes()) for _, own, one, two in _sets(block, k)]
+                out = []
+                for _, own, one, two in _sets(block, k):
+                    if (one, two) not in done:  # repeated rows
+                        done.add((one, two))
+                        out.append((one, two, len(own), own[np.lexsort((own, -cells[_cell(own)].astype(np.int64)))].tobytes()))
                 yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in out], pa.int64()) for j in range(3)), pa.array([x[3] for x in out], pa.binary())], ["c1", "c2", "n", "tokens"])
 
     near = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(bits)))
     found = near.select("text", "bit").mapInArrow(fetch, "c1 long, c2 long, n long, tokens binary")
-    return stage(found.join(wanted.select("c1", "c2", "node"), ["c1", "c2"]).dropDuplicates(["node"]).select("node", "n", "tokens"), "sets")
+    return stage(small_join(found, wanted.select("c1", "c2", "node"), ["c1", "c2"], bound=_BOUND).select("node", "n", "tokens"), "sets")
 
 
 class SetTrie:
@@ -215,8 +222,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     salted = small_join(pairs, stage(many, "many"), ["a"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))))
     block = F.pmod(F.xxhash64("a", "salt"), F.lit(max(1, total // 1000)))
     salted = stage(salted.select("a", "b", "salt", block.alias("block")), "salted")
-    members = salted.join(sets.select(F.col("node").alias("b"), "tokens"), "b")
-    probes = salted.select("a", "salt", "block").distinct().join(sets.select(F.col("node").alias("a"), "tokens"), "a")
+    # a few numbers per pair go to the sets, not the sets to them, as long as the pairs are few
+    members = small_join(sets.select(F.col("node").alias("b"), "tokens"), salted, ["b"], bound=_BOUND)
+    probes = small_join(sets.select(F.col("node").alias("a"), "tokens"), stage(salted.select("a", "salt", "block").distinct(), "probes"), ["a"], bound=_BOUND)
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         tries: dict[tuple, SetTrie] = {}
