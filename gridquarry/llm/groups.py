@@ -24,6 +24,8 @@ def bucket_components(
     fit: Column,
     prepare: Callable[[DataFrame], object],
     verify: Callable[[DataFrame, object], DataFrame],
+    sketches: Callable[[object], DataFrame] | None = None,
+    may: Column | None = None,
 ) -> DataFrame:
     """Components (node, component) of the links that verify() finds among nodes that share a bucket.
 
@@ -32,9 +34,10 @@ def bucket_components(
 
     Members of small buckets meet pairwise, those of large ones meet their smallest member. After that, members of a
     large bucket outside its most common component meet a drawn member of that component, and those still outside meet
-    the members of all other components. So every pair that shares
-    a bucket and fits is verified unless links already join it: components are exact, and a bucket of any size whose
-    members are alike needs few pairs. Everything is joined by bucket or node; nothing is gathered."""
+    the members of all other components, if may, a condition on sketches (node, sketch) of both, does not rule out a
+    link. So every pair that shares a bucket and fits is verified unless links already join it or it cannot be linked:
+    components are exact, and a bucket of any size whose members are alike needs few pairs. Everything is joined by
+    bucket or node; nothing is gathered."""
     members = stage(members, "members")
     info = [c for c in members.columns if c != "bucket"]
     row = F.struct(*info)
@@ -54,13 +57,15 @@ def bucket_components(
     for attempt in range(TRIES + 1):
         at = wide.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         main = at.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n_components"))
-        at = stage(at.join(main.where("n_components > 1").select("bucket", "main"), "bucket"), "rest")
-        row = F.struct(*info, "component", (F.col("component") == F.col("main")).alias("in_main"))
+        at = at.join(main.where("n_components > 1").select("bucket", "main"), "bucket")
+        at = stage(at if sketches is None else at.join(sketches(ready), "node"), "rest")
+        row = F.struct(*info, "component", *([] if sketches is None else ["sketch"]), (F.col("component") == F.col("main")).alias("in_main"))
         x, y = at.where("component <> main").select("bucket", row.alias("x")), at.select("bucket", row.alias("y"))
         if attempt < TRIES:
             draw = F.xxhash64("y.node", "bucket", F.lit(attempt))
             y = y.where("y.in_main").groupBy("bucket").agg(F.min_by("y", draw).alias("y"))
-        rest = x.join(y, "bucket").where("x.component <> y.component AND (y.in_main OR x.node < y.node)").where(fit)
+        test = F.expr("x.component <> y.component AND (y.in_main OR x.node < y.node)") & fit
+        rest = x.join(y, "bucket").where(test if may is None else test & may)
         rest = stage(_pairs(rest).join(done, ["a", "b"], "left_anti"), "rest-pairs")
         if rest.isEmpty():
             if attempt < TRIES:

@@ -20,6 +20,8 @@ CELL_BITS = 20
 _CHUNK = 1 << 14
 #: Bits of the filter of wanted sets: at most this many; more wanted sets only let more unwanted ones through.
 _FILTER_BITS = 1 << 28
+#: 64-bit words of a set's sketch, in which each token sets one bit.
+_SKETCH = 16
 #: Rows of two or three numbers that may be broadcast (some MB), if a count shows that there are no more.
 _BOUND = 400_000
 
@@ -117,7 +119,7 @@ def _postings(rows: DataFrame, k: int, percent: int, counts) -> DataFrame:
 
 
 def _fetch(rows: DataFrame, k: int, counts, wanted: DataFrame) -> DataFrame:
-    """Sets of the wanted classes (node, c1, c2, first_id): node, n, tokens from the most frequent to the rarest.
+    """Sets of the wanted classes (node, c1, c2, first_id): node, n, tokens from the most frequent to the rarest, sketch.
 
     A filter of fixed size tells tasks which texts may be wanted; the join drops the few others it lets through. Rows that
     repeat in the input may give a set once per task, which does no harm."""
@@ -149,12 +151,16 @@ def _fetch(rows: DataFrame, k: int, counts, wanted: DataFrame) -> DataFrame:
                 for _, own, one, two in _sets(block, k):
                     if (one, two) not in done:  # repeated rows
                         done.add((one, two))
-                        out.append((one, two, len(own), own[np.lexsort((own, -cells[_cell(own)].astype(np.int64)))].tobytes()))
-                yield pa.RecordBatch.from_arrays([*(pa.array([x[j] for x in out], pa.int64()) for j in range(3)), pa.array([x[3] for x in out], pa.binary())], ["c1", "c2", "n", "tokens"])
+                        ordered = own[np.lexsort((own, -cells[_cell(own)].astype(np.int64)))]
+                        bits = np.zeros(64 * _SKETCH, np.uint8)
+                        bits[(own % np.uint64(64 * _SKETCH)).astype(np.int64)] = 1
+                        out.append((one, two, len(own), ordered.tobytes(), np.packbits(bits).view(np.int64).tolist()))
+                columns = [*(pa.array([x[j] for x in out], pa.int64()) for j in range(3)), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "n", "tokens", "sketch"])
 
     near = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(bits)))
-    found = near.select("text", "bit").mapInArrow(fetch, "c1 long, c2 long, n long, tokens binary")
-    return stage(small_join(found, wanted.select("c1", "c2", "node"), ["c1", "c2"], bound=_BOUND).select("node", "n", "tokens"), "sets")
+    found = near.select("text", "bit").mapInArrow(fetch, "c1 long, c2 long, n long, tokens binary, sketch array<long>")
+    return stage(small_join(found, wanted.select("c1", "c2", "node"), ["c1", "c2"], bound=_BOUND).select("node", "n", "tokens", "sketch"), "sets")
 
 
 class SetTrie:
@@ -246,6 +252,17 @@ def _fit(percent: int):
     return (F.col("x.pos") <= F.col("x.n") - need) & (F.col("y.pos") <= F.col("y.n") - need)
 
 
+def _may(percent: int):
+    """Whether two sets can be linked, by their sketches: a bit that only one of them has set stands for a token of its own."""
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-9)
+
+    def own(a: str, b: str):
+        words = F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(words, F.lit(0), lambda total, w: total + w)
+
+    return (F.col("x.n") - own("x", "y") >= need) & (F.col("y.n") - own("y", "x") >= need)
+
+
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of df with its group of similar texts: id_col, n_shingles, component_id.
 
@@ -275,7 +292,10 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     def sets_of(nodes: DataFrame) -> DataFrame:
         return _fetch(rows, k, counts, stage(classes.join(nodes, "node", "left_semi"), "wanted"))
 
-    found = bucket_components(members, _fit(percent), sets_of, lambda pairs, sets: _links(pairs, sets, percent))
+    found = bucket_components(
+        members, _fit(percent), sets_of, lambda pairs, sets: _links(pairs, sets, percent),
+        lambda sets: sets.select("node", "sketch").dropDuplicates(["node"]), _may(percent),
+    )
 
     first = stage(classes.join(found, "node", "left").select("c1", "c2", "first_id", F.coalesce("component", "node").alias("component")), "first")
     smallest = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
