@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import small_join, stage
+from .common import LOWER, SPACE, UPPER, small_join, stage
 from .groups import bucket_components
 
 #: Cells of the count sketch that orders tokens from frequent to rare; 4 bytes each, whatever the size of the input.
@@ -314,3 +314,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END) AS t FROM w),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM c JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid, rid AS reach FROM w UNION SELECT r.rid, e.y FROM r JOIN e ON e.x = r.reach),
+m AS (SELECT r.rid, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.reach GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w JOIN m USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -73,7 +73,9 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.compute.equal(batch.column("dim"), length))
 
 
-def embedding_groups(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_groups(
+    df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
+) -> DataFrame:
     """Every row of df with its links and group: id_col, n_links, component_id, kept.
 
     Two rows are linked when the cosine of their vectors, in double precision, is threshold or more. n_links counts the
@@ -84,7 +86,8 @@ def embedding_groups(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_i
 
     Pairs come from the buckets that vectors share (groups.bucket_components; recall as at TABLES) and are verified.
     Links are then counted exactly inside each component, in blocks of BLOCK by BLOCK vectors, so a task holds two
-    blocks and no pair of rows is written; rows of different components count as not linked."""
+    blocks and no pair of rows is written; rows of different components count as not linked. From some million vectors on,
+    one hash more (and half as many tables again, for the same recall) keeps chance meetings few."""
     import pyarrow.compute  # noqa: F401
 
     v = F.col(vector_col).cast("array<double>")
@@ -105,7 +108,7 @@ def embedding_groups(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_i
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 for batch in _by_length(whole.slice(at, 2048)):
-                    keys = bucket_keys(_matrix(batch.column("v")))
+                    keys = bucket_keys(_matrix(batch.column("v")), tables, hashes, probes)
                     keys += batch.column("dim").to_numpy()[:, None]
                     keys = np.sort(keys, axis=1)
                     new = np.ones(keys.shape, bool)
@@ -175,3 +178,14 @@ def embedding_groups(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_i
 def op9_embeddings(spark, sf_dir: str) -> DataFrame:
     """Links and groups of all embeddings at a cosine of 0.9."""
     return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs, which the operator need not compare; the same as its result where no link lies at the threshold.
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e FROM embeddings),
+u AS (SELECT rid, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0),
+l AS (SELECT a.rid AS x, b.rid AS y FROM u a JOIN u b ON a.rid <> b.rid AND len(a.e) = len(b.e) WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT rid, rid AS reach FROM v UNION SELECT r.rid, l.y FROM r JOIN l ON l.x = r.reach),
+c AS (SELECT r.rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.reach GROUP BY r.rid), k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN k ON k.x = v.rid
+"""
