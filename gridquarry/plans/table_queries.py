@@ -307,7 +307,7 @@ def a11(t: Tables):
 
 PHYSICS_SQL = f"""{MASK_SQL}, s AS (SELECT vec_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM sm GROUP BY vec_id), e AS (SELECT vec_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy, max(x) - min(x) AS w, max(y) - min(y) AS h FROM em GROUP BY vec_id),
 b AS (SELECT coalesce(s.vec_id, e.vec_id) AS vec_id, coalesce(s.n, 0) >= 10 AND coalesce(e.n, 0) >= 10 AS ok, s.cx - e.cx AS dx, s.cy - e.cy AS dy, greatest(e.w, e.h) * 0.5 AS width FROM s FULL JOIN e ON s.vec_id = e.vec_id),
-c AS (SELECT *, vec_id % 360.0 AS az, CASE WHEN ok THEN (degrees(atan2(dx, -dy)) + 360) % 360 ELSE 0 END AS sv FROM b),
+c AS (SELECT *, vec_id % 360.0e0 AS az, CASE WHEN ok THEN (degrees(atan2(dx, -dy)) + 360) % 360 ELSE 0 END AS sv FROM b),
 f AS (SELECT *, CASE WHEN ok THEN (az + 180) % 360 ELSE az END AS solar FROM c),
 g AS (SELECT *, CASE WHEN NOT ok THEN 180 WHEN abs(sv - solar) > 180 THEN 360 - abs(sv - solar) ELSE abs(sv - solar) END AS err, CASE WHEN ok THEN sqrt(dx * dx + dy * dy) * 0.5 / tan(radians(60)) ELSE 0 END AS depth FROM f),
 h AS (SELECT *, CASE WHEN ok AND width > 0 THEN depth / width ELSE 0 END AS ratio FROM g)"""
