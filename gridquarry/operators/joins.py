@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS_M, flat_distance_m, rect_overlap_area
 from ..functions.ids import file_window, product_sort_key
+from ..session import stage
 
 
 def range_lookup(df: DataFrame, key: str, ranges: DataFrame, low: str, high: str, order: str, take: list[str], width: int) -> DataFrame:
@@ -168,6 +169,20 @@ def running_rank(hits: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return own.join(starts, group).withColumn("rank", F.col("__s") + F.col("__r")).drop("__r", "__s")
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank", per: int = 100_000) -> DataFrame:
+    """rows plus name: each row's place in order, from 1, over all rows. order must be total for ranks that do not vary.
+
+    Ranges of about per rows are sorted each in a task, then shifted by the rows of the ranges before; only the ranges'
+    counts are put in one order. Rows that are equal in order lie in one range."""
+    rows = stage(rows, "unranked")
+    parts = max(1, -(-rows.count() // per))
+    ranged = stage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("__p", F.shiftright("__at", 33)).withColumn("__r", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
+    return ranged.join(starts, "__p").withColumn(name, F.col("__s") + F.col("__r")).drop("__at", "__p", "__r", "__s")
+
+
 def terrain_intersect(rays: DataFrame, heights: DataFrame, cell: float, rounds: int = 6, tolerance: float = 1.0) -> DataFrame:
     """rays (ray_id, px, py, pz, dx, dy, dz: unit direction) with lon, lat and height_m where they meet the terrain.
 

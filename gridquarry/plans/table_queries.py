@@ -606,10 +606,8 @@ def i06(t: Tables):
 
 @query("w01_rerank")
 def w01(t: Tables):
-    """Ranks after suppression, over the hits that stay."""
-    from pyspark.sql import Window
-
-    return i02(t).orderBy(F.desc("score"), "lat", "lon", "product_id").limit(1000).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "lat", "lon", "product_id")))
+    """Ranks after suppression, of every hit that stays."""
+    return joins.ranked(i02(t), [F.desc("score"), F.asc("lat"), F.asc("lon"), F.asc("product_id")])
 
 
 @query("scan_candidates")
