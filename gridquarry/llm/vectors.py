@@ -73,6 +73,21 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.compute.equal(batch.column("dim"), length))
 
 
+def link_work(binary: DataFrame, found: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows (component, node, times, v, own, low, high) of the block pairs to compare, and the columns to group them by.
+
+    A pair of blocks of a component of several is a group of its own, about 2 * BLOCK rows whatever the component's size;
+    components of one block share groups of about 4 * BLOCK rows."""
+    sizes = stage(found.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK)), "sizes")
+    inside = binary.join(found, "node").join(sizes, "component")
+    inside = inside.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    small = sizes.where("blocks = 1").agg(F.sum("count")).first()[0] or 0
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, small // (4 * BLOCK)))))
+    inside = inside.select("component", "node", "times", "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), task.alias("task"))
+    inside = inside.withColumn("whole", F.when(F.col("task").isNull(), F.col("component")))
+    return inside, ["task", "whole", "low", "high"]
+
+
 def embedding_groups(
     df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
 ) -> DataFrame:
@@ -131,11 +146,7 @@ def embedding_groups(
 
     found = stage(bucket_components(members, F.lit(True), lambda nodes: None, verify), "components")
 
-    sizes = found.groupBy("component").count()
-    inside = binary.join(found, "node").join(stage(sizes.withColumn("blocks", F.ceil(F.col("count") / BLOCK)), "sizes"), "component")
-    inside = inside.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    inside = inside.select("component", "node", "times", "v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    tasks = max(1, found.count() // (4 * BLOCK))
+    inside, keys = link_work(binary, found)
 
     def count(table: pa.Table) -> pa.Table:
         names = ("component", "low", "high", "own", "node", "times")
@@ -165,8 +176,7 @@ def embedding_groups(
         empty = [np.zeros(0, np.int64)]
         return pa.table({"node": pa.array(np.concatenate(nodes or empty)), "links": pa.array(np.concatenate(links or empty))})
 
-    task = F.pmod(F.xxhash64("component", "low", "high"), F.lit(tasks))
-    counted = inside.groupBy(task.alias("task")).applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    counted = inside.groupBy(*keys).applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     named = stage(vectors.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(counted, "node", "left"), "named")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("v", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
