@@ -32,14 +32,16 @@ def _low(t: Tables):
 
 @query("a14_jl_distortion")
 def a14(t: Tables):
-    """Over the operator's sample of 500 rows; tests hold it against a direct computation."""
-    ratio, score = latent.jl_distortion(vectors_of(t)[0], _low(t))
+    """All vectors against the query set; tests hold it against a direct computation."""
+    vectors, queries = vectors_of(t)
+    ratio, score = latent.jl_distortion(vectors, _low(t), queries=queries)
     return t.spark.createDataFrame([(ratio, score)], "ratio double, score double")
 
 
 @query("a15_sammon_strain")
 def a15(t: Tables):
-    return latent.sammon_strain(vectors_of(t)[0], _low(t))
+    vectors, queries = vectors_of(t)
+    return latent.sammon_strain(vectors, _low(t), queries=queries)
 
 
 @query("f05_reduce_2d")
@@ -259,10 +261,17 @@ def i07(t: Tables):
 
 @query("k08_latent_summary")
 def k08(t: Tables):
-    """Nearest anchor, strain and coordinates of each vector; strain covers the sample that it is measured on."""
+    """Of each vector: nearest anchor, strain and mean distortion against the query set, principal and spectral coordinates,
+    degree in the neighbour graph, gate."""
     from ..operators.search import nearest_query
 
+    vectors, queries = vectors_of(t)
     near = nearest_query(codes_of(t), anchors_of(t)).select("id", col("query").alias("anchor_id"), "distance")
-    strain = latent.sammon_strain(vectors_of(t)[0], _low(t)).select("id", "strain")
-    return near.join(latent.reduce_2d(vectors_of(t)[0]), "id").join(strain, "id", "left").withColumn("gate", ids.pit_gate(col("strain"), F.lit(1.0), col("distance"), F.lit(99)))
-
+    strain = latent.sammon_strain(vectors, _low(t), queries=queries).select("id", "strain")
+    ratio = latent.jl_ratios(vectors, _low(t), queries=queries).select("id", F.when(col("pairs") > 0, col("ratio") / col("pairs")).otherwise(1.0).alias("ratio"))
+    graph = stage(latent.knn_graph(vectors, 8), "graph")
+    degree = graph.groupBy(col("src").alias("id")).agg(F.sum("w").alias("degree"))
+    parts = [latent.reduce_2d(vectors), strain, ratio, degree, latent.spectral_coords(graph, 2, 12)]
+    for part in parts:
+        near = near.join(part, "id", "left")
+    return near.withColumn("gate", ids.pit_gate(col("strain"), F.lit(1.0), col("distance"), F.lit(99)))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridquarry.llm import vectors
-from gridquarry.operators import joins
+from gridquarry.operators import joins, latent
 from gridquarry.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,28 @@ def test_one_component_of_many_blocks_equals_brute_force(spark, monkeypatch):
     got = vectors.embedding_groups(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
     big = {r["vec_id"] for r in got if r["component_id"] == 0}
     assert len(big) > 100 and {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_strain_and_ratio_of_every_vector(spark):
+    rng = np.random.default_rng(10)
+    h, low = rng.normal(size=(700, 5)), rng.normal(size=(700, 2))
+    high, flat = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>") for x in (h, low))
+    queries = high.where("id % 50 = 0").select(F.col("id").alias("query"))
+    u, at = h / np.linalg.norm(h, axis=1, keepdims=True), np.arange(0, 700, 50)
+    off = np.arange(700)[:, None] != at
+    a, b = np.clip(1 - u @ u[at].T, 0, 2), np.linalg.norm(low[:, None] - low[at], axis=2)
+    x, y = a / np.median(a), b / np.median(b)
+    want = np.where(off, (x - y) ** 2 / np.where(off, x, 1), 0).sum(1)
+    got = {r["id"]: r["strain"] for r in latent.sammon_strain(high, flat, queries=queries).collect()}
+    assert [got[k] for k in range(700)] == pytest.approx(want.tolist())
+    d = np.linalg.norm(h[:, None] - h[at], axis=2)
+    ratio = (b[off] / np.median(b[off])) / (d[off] / np.median(d[off]))
+    assert latent.jl_distortion(high, flat, queries=queries) == pytest.approx((ratio.mean(), max(0, 1 - np.abs(ratio - 1).mean())))
+
+
+def test_latent_summary_covers_every_vector(spark):
+    got = QUERIES["k08_latent_summary"](spark, SF)
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert got.count() == n
+    assert {"ratio", "degree", "c1", "c2"} <= set(got.columns)
+    assert got.where("strain IS NULL OR ratio IS NULL OR degree IS NULL OR c1 IS NULL").isEmpty()
