@@ -1,8 +1,7 @@
-"""Best-fit packing: token pieces go into sequences of fixed capacity by the sum-of-squares rule; what it leaves open is repacked."""
+"""Best-fit packing: token pieces go into sequences of fixed capacity by the sum-of-squares rule."""
 
 from __future__ import annotations
 
-import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -86,15 +85,16 @@ def token_pieces(
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, offset, number of sequences) for items in the given order.
 
-    open[g] counts the open sequences with gap g. An item goes where the sum of the squares of these counts is smallest
-    afterwards: into a gap of its own length or more, or into a new sequence. Ties take the smallest gap."""
+    open[g] counts the open sequences with gap g. An item goes into the gap, of its own length or more, for which the sum of
+    the squares of these counts is smallest afterwards; a new sequence is opened only if no gap takes it. Ties take the
+    smallest gap."""
     count = np.zeros(capacity + 1, np.int64)
     by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequence, offset, used = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, size in enumerate(lengths.tolist()):
         after = 2 * (count[: capacity + 1 - size] - count[size:]) + 2  # from gap g to g - size
         after[count[size:] == 0] = 1 << 40
-        after[-1] = 2 * count[capacity - size] + 1 if size < capacity else 0  # a new sequence
+        after[-1] = 1 << 39  # a new sequence
         if size < capacity and count[size]:
             after[0] = 1 - 2 * count[size]  # closes a sequence
         gap = size + int(after.argmin())
@@ -110,50 +110,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset, used
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """As sum_of_squares, but an item goes into the smallest gap that takes it."""
-    sequence, offset, used = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
-    gaps: list[int] = []  # those of open sequences, each once, in order
-    for i, size in enumerate(lengths.tolist()):
-        at = bisect.bisect_left(gaps, size)
-        gap = gaps[at] if at < len(gaps) else capacity
-        if gap == capacity:
-            bin_, used = used, used + 1
-        else:
-            bin_ = by_gap[gap].pop()
-            if not by_gap[gap]:
-                gaps.pop(at)
-        sequence[i], offset[i] = bin_, capacity - gap
-        if gap > size:
-            if not by_gap[gap - size]:
-                bisect.insort(gaps, gap - size)
-            by_gap[gap - size].append(bin_)
-    return sequence, offset, used
-
-
 def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """sum_of_squares in the best of a few fixed orders: by size down to a cut and then at random, or the reverse.
-
-    Sequences that it leaves with a gap are taken apart, and their items packed again best-fit by falling size, if that
-    takes fewer; the rule needs many items per size to fill all gaps by itself."""
-    best = None
-    orders = [(cut, side) for cut in (0, 64, 128, 256, 512, 1024) for side in (0, 1)] if len(lengths) <= 8192 else [(256, 1), (1024, 1), (128, 0)]
-    for seed, (cut, large_by_size) in enumerate(orders):
-        tie = np.random.default_rng(seed).permutation(len(lengths))
-        by_size = (lengths >= cut) if large_by_size else (lengths < cut)
-        order = np.lexsort((tie, np.where(by_size, -lengths, 0), lengths < cut))
-        sequence, offset, used = np.empty(len(order), np.int64), np.empty(len(order), np.int64), 0
-        sequence[order], offset[order], used = sum_of_squares(lengths[order], capacity)
-        open_ = np.flatnonzero(np.bincount(sequence, lengths, used)[sequence] < capacity)
-        down = open_[np.lexsort((tie[open_], -lengths[open_]))]
-        again, place, n = best_fit(lengths[down], capacity)
-        names = np.unique(sequence[open_])
-        if n < len(names):
-            sequence[down], offset[down], used = names[again], place, used - len(names) + n
-        if best is None or used < best[2]:
-            best = sequence, offset, used
-    return best
+    """sum_of_squares by falling length, equal lengths as they come; the same for blocks of any size."""
+    order = np.argsort(-lengths, kind="stable")
+    sequence, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    sequence[order], offset[order], used = sum_of_squares(lengths[order], capacity)
+    return sequence, offset, used
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, block_pieces: int = 1 << 16) -> DataFrame:
