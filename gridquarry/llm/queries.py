@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_licenses": licenses.OP1_SQL,
     "op4_jaccard": jaccard.OP4_SQL,
+    "op6_mixing": mixing.OP6_SQL,
     "op7_exact_dedup": dedup.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
     "op9_embeddings": vectors.OP9_SQL,
