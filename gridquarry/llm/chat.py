@@ -29,28 +29,34 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """Root-to-leaf paths of reply trees: tree, leaf, node, height (replies from node down to leaf), for the top paths of each tree.
 
     nodes: tree, node (long, unique), parent (null or unknown: a root), score (null: 0). Paths rank by the mean score of
-    their nodes, then by leaf. Self-joins double the reach of parent links (1, 2, 4, ... replies) while any are left, and
-    every leaf then walks up by these links in falling order, so a tree of depth d takes log2(d) rounds. Nodes on a cycle
-    have no leaf, and are left out. Nothing is gathered per tree; a path has a row for each of its nodes."""
+    their nodes, then by leaf. Self-joins double the reach of parent links (1, 2, 4, ... replies) and carry the scores on
+    the way, until every node has reached its root; leaves are ranked by that, and only the chosen ones then walk up by
+    the links, in falling order, so a path has a row for each of its nodes and a tree of depth d takes log2(d) rounds.
+    Nodes on a cycle, and those whose replies lead into one, reach no root and are left out. Nothing is gathered per tree."""
     nodes = stage(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
-    links = nodes.select("node", F.col("parent").alias("up")).join(nodes.select(F.col("node").alias("up")), "up", "left_semi")
-    jumps = [stage(links.select("node", "up"), "jump")]
+    up = nodes.join(nodes.select(F.col("node").alias("up")), nodes["parent"] == F.col("up"), "left")
+    walks = [stage(up.select("node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("n")), "walk")]
     most = max(1, nodes.count()).bit_length()
-    while not jumps[-1].isEmpty() and len(jumps) <= most:
-        last = jumps[-1]
-        jumps.append(stage(last.join(last.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")), "jump"))
-    leaves = nodes.join(jumps[0].select(F.col("up").alias("node")), "node", "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("height"))
-    for k in reversed(range(len(jumps))):
-        higher = paths.join(jumps[k], "node").select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + F.lit(1 << k)).alias("height"))
-        paths = stage(paths.unionByName(higher), "paths")
-    ranked = paths.join(nodes.select("node", "score"), "node").groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    while not walks[-1].where("up IS NOT NULL").isEmpty() and len(walks) <= most:
+        last = walks[-1]
+        on = last.where("up IS NOT NULL").select("node", "up", "total", "n")
+        far = last.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("n").alias("m"))
+        on = on.join(far, "up").select("node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("m")).alias("n"))
+        walks.append(stage(on.unionByName(last.where("up IS NULL")), "walk"))
+    rooted = walks[-1].where("up IS NULL").select("node", (F.col("total") / F.col("n")).alias("mean"))
+    parents = walks[0].where("up IS NOT NULL").select(F.col("up").alias("node"))
+    leaves = nodes.select("tree", "node").join(parents, "node", "left_anti").join(rooted, "node")
     if top == 1:
-        chosen = ranked.groupBy("tree").agg(F.min_by("leaf", F.struct(-F.col("score"), F.col("leaf"))).alias("leaf")).select("leaf")
+        chosen = leaves.groupBy("tree").agg(F.min_by("node", F.struct(-F.col("mean"), F.col("node"))).alias("leaf"))
     else:
-        order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-        chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("leaf")
-    return paths.join(chosen, "leaf", "left_semi")
+        order = Window.partitionBy("tree").orderBy(F.desc("mean"), "node")
+        chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("tree", F.col("node").alias("leaf"))
+    paths = stage(chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("height")), "paths")
+    for k in reversed(range(len(walks) - 1)):
+        jump = walks[k].where("up IS NOT NULL" if not k else f"up IS NOT NULL AND n = {1 << k}").select("node", "up")
+        higher = paths.join(jump, "node").select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + F.lit(1 << k)).alias("height"))
+        paths = stage(paths.unionByName(higher), "paths")
+    return paths
 
 
 def format_paths(paths: DataFrame, nodes: DataFrame, learn_role: str = "assistant") -> DataFrame:
