@@ -14,9 +14,8 @@ from . import arrays
 from .common import stage
 from .groups import bucket_components
 
-#: Hash tables, cross-polytope hashes per table, and buckets probed per table: at cosine 0.9 in 64 dimensions, two vectors
-#: share a bucket with a probability of 0.99 (simulated), and unrelated ones hardly ever.
-TABLES, HASHES, PROBES = 8, 3, 4
+#: Buckets probed per table, and the recall of pairs at the threshold for which the number of tables is chosen.
+PROBES, RECALL = 4, 0.99
 #: Vectors of one component that are compared at once, with as many others.
 BLOCK = 512
 
@@ -32,35 +31,57 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bucket_keys(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 3) -> np.ndarray:
-    """(rows, tables * probes) 64-bit keys. A hash is the nearest of the 2d signed unit vectors after three rounds of random
-    signs and a Hadamard transform; a table's key joins several. Probes replace hashes by the second nearest, least loss first."""
-    rng = np.random.default_rng(seed)
+def table_keys(x: np.ndarray, table: int, bits: int, probes: int = PROBES, seed: int = 3) -> np.ndarray:
+    """(rows, probes) 64-bit keys of one table. A hash is the nearest of the 2d signed unit vectors after three rounds of random
+    signs and a Hadamard transform; a key joins as many as make bits, the last over fewer coordinates. Probes replace hashes
+    by the second nearest, least loss first."""
+    rng = np.random.default_rng((seed, table))
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, width - x.shape[1])))
-    choices = np.array(list(itertools.product((0, 1), repeat=hashes)))
-    out = []
-    for table in range(tables):
-        codes, gaps = [], []
-        for _ in range(hashes):
-            y = x
-            for signs in rng.choice([-1.0, 1.0], size=(3, width)):
-                y = hadamard(y * signs) / np.sqrt(width)
-            two = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]
-            value = np.take_along_axis(y, two, 1)
-            order = np.argsort(-np.abs(value), axis=1)
-            two, value = np.take_along_axis(two, order, 1), np.take_along_axis(value, order, 1)
-            codes.append(2 * two + (value < 0))
-            gaps.append(np.abs(value[:, 0]) - np.abs(value[:, 1]))
-        loss = np.stack(gaps, 1) @ choices.T
-        best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-        key = np.zeros(best.shape, np.uint64)
-        with np.errstate(over="ignore"):
-            for h in range(hashes):
-                code = np.take_along_axis(codes[h], choices[best, h], 1)
-                key = arrays.mix(key * np.uint64(31) + code.astype(np.uint64) + np.uint64(table * 1_000_003 + 1))
-        out.append(key)
-    return np.concatenate(out, 1).view(np.int64)
+    whole = width.bit_length()  # a hash has 2 * width values
+    sizes = [whole] * (bits // whole) + ([max(2, bits % whole)] if bits % whole else [])
+    codes, gaps = [], []
+    for size in sizes:
+        y = x
+        for signs in rng.choice([-1.0, 1.0], size=(3, width)):
+            y = hadamard(y * signs) / np.sqrt(width)
+        y = y[:, : 1 << (size - 1)]
+        two = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]
+        value = np.take_along_axis(y, two, 1)
+        order = np.argsort(-np.abs(value), axis=1)
+        two, value = np.take_along_axis(two, order, 1), np.take_along_axis(value, order, 1)
+        codes.append(2 * two + (value < 0))
+        gaps.append(np.abs(value[:, 0]) - np.abs(value[:, 1]))
+    choices = np.array(list(itertools.product((0, 1), repeat=min(len(sizes), 8))))  # of more hashes, the last keep their nearest
+    best = np.argsort(np.stack(gaps[:8], 1) @ choices.T, axis=1, kind="stable")[:, :probes]
+    key = np.full(best.shape, table * 1_000_003 + x.shape[1], np.uint64)
+    with np.errstate(over="ignore"):
+        for h, code in enumerate(codes):
+            own = np.take_along_axis(code, choices[best, h], 1) if h < 8 else code[:, :1]
+            key = arrays.mix(key * np.uint64(31) + own.astype(np.uint64) + np.uint64(1))
+    return key.view(np.int64)
+
+
+def table_bits(vectors: int, probes: int = PROBES) -> int:
+    """Bits of a key: eight times as many buckets as the vectors probe, so chance meetings grow with the vectors, not their square."""
+    return max(4, (8 * probes * max(vectors, 1) - 1).bit_length())
+
+
+def choose_tables(dim: int, bits: int, threshold: float, recall: float = RECALL, probes: int = PROBES, pairs: int = 1000, most: int = 512) -> int:
+    """Tables after which the share recall of random pairs of cosine threshold have shared a bucket (tried out on some pairs)."""
+    if dim < 2 or threshold >= 1:
+        return 1
+    rng = np.random.default_rng(dim)
+    a, b = rng.normal(size=(2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = threshold * a + np.sqrt(1 - threshold**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    met = np.zeros(pairs, bool)
+    for table in range(most):
+        met |= (table_keys(a, table, bits, probes)[:, :, None] == table_keys(b, table, bits, probes)[:, None, :]).any((1, 2))
+        if met.mean() >= recall:
+            return table + 1
+    raise ValueError(f"{most} tables do not reach a recall of {recall} at a cosine of {threshold} in {dim} dimensions")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -89,7 +110,7 @@ def link_work(binary: DataFrame, found: DataFrame) -> tuple[DataFrame, list[str]
 
 
 def embedding_groups(
-    df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
+    df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, probes: int = PROBES
 ) -> DataFrame:
     """Every row of df with its links and group: id_col, n_links, component_id, kept.
 
@@ -99,10 +120,12 @@ def embedding_groups(
     vectors of different lengths do not link. Rows with equal vectors are linked, and handled as one vector with a
     count. Other columns are left out.
 
-    Pairs come from the buckets that vectors share (groups.bucket_components; recall as at TABLES) and are verified.
-    Links are then counted exactly inside each component, in blocks of BLOCK by BLOCK vectors, so a task holds two
-    blocks and no pair of rows is written; rows of different components count as not linked. From some million vectors on,
-    one hash more (and half as many tables again, for the same recall) keeps chance meetings few."""
+    Pairs come from the buckets that vectors share (groups.bucket_components) and are verified. Keys have more bits the more
+    vectors of a length there are (table_bits), and the number of tables is chosen for that and the length, so that the
+    share recall of pairs at the threshold share a bucket; nearer pairs, and those joined through others, are found more
+    often. Links are then counted exactly inside each component, in blocks of BLOCK by BLOCK vectors, so a task holds two
+    blocks and no pair of rows is written; rows of different components count as not linked. The cost of that is the square
+    of a component's distinct vectors."""
     import pyarrow.compute  # noqa: F401
 
     v = F.col(vector_col).cast("array<double>")
@@ -119,13 +142,18 @@ def embedding_groups(
 
     binary = stage(binary.mapInArrow(pack, "node long, times long, dim int, v binary"), "binary")
 
+    plan = {}
+    for dim, n in binary.groupBy("dim").count().collect():  # a row per length
+        bits = table_bits(n, probes)
+        plan[dim] = bits, choose_tables(dim, bits, threshold, recall, probes)
+
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 for batch in _by_length(whole.slice(at, 2048)):
-                    keys = bucket_keys(_matrix(batch.column("v")), tables, hashes, probes)
-                    keys += batch.column("dim").to_numpy()[:, None]
-                    keys = np.sort(keys, axis=1)
+                    x, dim = _matrix(batch.column("v")), batch.column("dim")[0].as_py()
+                    bits, tables = plan[dim]
+                    keys = np.sort(np.concatenate([table_keys(x, t, bits, probes) + dim for t in range(tables)], 1), axis=1)
                     new = np.ones(keys.shape, bool)
                     new[:, 1:] = keys[:, 1:] != keys[:, :-1]
                     row, _ = np.nonzero(new)
