@@ -108,7 +108,7 @@ def shingle_sets(batch: pa.RecordBatch, k: int, text: str = "text") -> tuple[np.
         of = np.repeat(np.arange(len(counts)), counts)
         left = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))  # words from here to the end of the text
         rolled, wide = np.zeros(len(hashes), np.uint64), np.minimum(counts, k)
-        for j in range(k):
+        for j in range(min(k, len(hashes))):  # a block may hold fewer words than a shingle
             ok = left > j
             rolled[ok] = rolled[ok] * _BASE + hashes[j:][ok[: len(hashes) - j]] if j else hashes[ok]
         keep = left >= wide[of]

@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, stage  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that separate words of running text, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="gridquarry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, lost executors cost nothing before it.
-
-    The table is removed when the driver's JVM exits."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, other letters as they are; null as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -50,6 +28,23 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(right) if right.limit(bound + 1).count() <= bound else right, on, how)
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """A row's id and text in 32 characters; order by it is order by nothing in particular."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), id_.cast("string")), F.lit("")), F.lit("/"), F.coalesce(text, F.lit(""))))
+
+
+def keep_one(df: DataFrame, key: str, gone: DataFrame, several: DataFrame) -> DataFrame:
+    """df without the rows whose key is in gone (key), and with one row of each key in several (key), which all have it more
+    than once. Both are written first. Rows stay where they are, but for those of several, or if gone is large."""
+    gone, several = (stage(t.select(F.col("key").alias(key)), "keys") for t in (gone, several))
+    left = small_join(df, gone, [key], "left_anti", bound=200_000)
+    if several.isEmpty():
+        return left
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    one = small_join(left, several, [key], "left_semi", bound=200_000).select(F.col(key).alias("k"), record.alias("r")).groupBy("k").agg(F.first("r").alias("r"))
+    return small_join(left, several, [key], "left_anti", bound=200_000).unionByName(one.select("r.*"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both long: (node, component), component being its smallest node.
 

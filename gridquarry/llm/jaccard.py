@@ -1,4 +1,7 @@
-"""N-gram Jaccard join: globally ordered shingle sets, candidates by rare tokens and remaining length, verified in prefix trees."""
+"""N-gram Jaccard join: sets of shingles in one global order hang below their rare tokens, and are joined in prefix trees.
+
+A set's rarest tokens are the first level of the tree: they deal sets to each other across tasks, with bounds on what
+remains. Below that level a task holds the sets of a block in one tree and sends many sets through it at once."""
 
 from __future__ import annotations
 
@@ -8,11 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import LOWER, SPACE, UPPER, small_join, stage
+from .common import LOWER, SPACE, UPPER, keep_one, row_key, small_join, stage
 from .groups import bucket_components
 
 #: Cells of the count sketch that orders tokens from frequent to rare; 4 bytes each, whatever the size of the input.
@@ -22,6 +25,8 @@ _CHUNK = 1 << 14
 _FILTER_BITS = 1 << 28
 #: 64-bit words of a set's sketch, in which each token sets one bit.
 _SKETCH = 16
+#: Tokens of the sets that a prefix tree holds at once, about.
+_BLOCK_TOKENS = 1 << 20
 #: Rows of two or three numbers that may be broadcast (some MB), if a count shows that there are no more.
 _BOUND = 400_000
 
@@ -43,11 +48,13 @@ def _sets(block: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, int,
 
 
 def _signatures(rows: DataFrame, k: int) -> DataFrame:
-    """A row per text (id, n, c1, c2: size and digest of its set), and for each task the chunks of its token counts."""
+    """A row per text (id, key if there is one, n, c1, c2: size and digest of its set), and for each task the chunks of its
+    token counts."""
+    own_columns = [c for c in rows.columns if c != "text"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
-        kind = None
+        kinds = None
         for batch in batches:
             for block in arrays.blocks(batch):
                 found = np.zeros((3, block.num_rows), np.int64)
@@ -57,16 +64,17 @@ def _signatures(rows: DataFrame, k: int) -> DataFrame:
                     seen.append(own)
                 if seen:
                     counts += np.bincount(_cell(np.concatenate(seen)), minlength=len(counts)).astype(np.uint32)
-                ids, kind = block.column("id"), block.schema.field("id").type
+                kinds = [block.schema.field(c).type for c in own_columns]
                 empty = pa.nulls(block.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in found), empty], ["id", "n", "c1", "c2", "cells"])
-        if kind is not None:
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in own_columns), *(pa.array(x) for x in found), empty], [*own_columns, "n", "c1", "c2", "cells"])
+        if kinds is not None:
             chunks = counts.reshape(-1, _CHUNK)
             n, part = len(chunks), TaskContext.get().partitionId()
-            columns = [pa.nulls(n, kind), pa.array([-1] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([part] * n, pa.int64()), pa.array([x.tobytes() for x in chunks], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c1", "c2", "cells"])
+            columns = [*(pa.nulls(n, kind) for kind in kinds), pa.array([-1] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([part] * n, pa.int64()), pa.array([x.tobytes() for x in chunks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*own_columns, "n", "c1", "c2", "cells"])
 
-    return stage(rows.mapInArrow(sign, f"id {rows.schema['id'].dataType.simpleString()}, n long, c1 long, c2 long, cells binary"), "signatures")
+    own = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own_columns)
+    return stage(rows.mapInArrow(sign, f"{own}, n long, c1 long, c2 long, cells binary"), "signatures")
 
 
 def _token_counts(signed: DataFrame) -> np.ndarray:
@@ -95,7 +103,7 @@ def _token_counts(signed: DataFrame) -> np.ndarray:
 
 
 def _postings(rows: DataFrame, k: int, percent: int, counts) -> DataFrame:
-    """The rarest tokens of every set, as many as two linked sets cannot both miss: token, c1, c2, n, pos (0: rarest)."""
+    """The rarest tokens of every set, as many as two linked sets cannot both miss: token, c1, place (n << 32 | pos; pos 0: rarest)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, done = counts.value, set()
@@ -109,13 +117,39 @@ def _postings(rows: DataFrame, k: int, percent: int, counts) -> DataFrame:
                     n = len(own)
                     rare = n - -(-percent * n // 100) + 1
                     order = np.lexsort((own, cells[_cell(own)]))[:rare]
-                    out.append((own[order].view(np.int64), one, two, n))
+                    out.append((own[order].view(np.int64), one, (n << 32) + np.arange(rare)))
                 if out:
-                    size = [len(x[0]) for x in out]
-                    columns = [np.concatenate([x[0] for x in out]), *(np.repeat([x[j] for x in out], size) for j in (1, 2, 3)), np.concatenate([np.arange(x) for x in size])]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["token", "c1", "c2", "n", "pos"])
+                    columns = [np.concatenate([x[0] for x in out]), np.repeat([x[1] for x in out], [len(x[0]) for x in out]), np.concatenate([x[2] for x in out])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["token", "c1", "place"])
+
+    return rows.mapInArrow(post, "token long, c1 long, place long")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that several sets post, each once.
+
+    Postings come to a task in order of token, and one is held back until the next is seen, so a token of any frequency
+    needs no memory."""
 
-    return rows.mapInArrow(post, "token long, c1 long, c2 long, n long, pos long")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found = None, False  # the last posting so far, and whether an earlier one has its token
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch.column(c).to_numpy() for c in ("token", "c1", "place")])
+            if held is not None:
+                x = np.concatenate([held, x], axis=1)
+            new = np.ones(x.shape[1], bool)
+            new[1:] = (x[:, 1:] != x[:, :-1]).any(0)
+            x, start = x[:, new], found and held is not None
+            same = x[0, 1:] == x[0, :-1]
+            before, after = np.concatenate([[start], same]), np.concatenate([same, [False]])
+            held, found = x[:, -1:], bool(before[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x[:, :-1][:, (before | after)[:-1]]], ["token", "c1", "place"])
+        if held is not None and found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["token", "c1", "place"])
+
+    return postings.repartition("token").sortWithinPartitions("token", "c1", "place").mapInArrow(keep, "token long, c1 long, place long")
 
 
 def _fetch(rows: DataFrame, k: int, counts, wanted: DataFrame) -> DataFrame:
@@ -198,48 +232,74 @@ class SetTrie:
                 node.kids[tokens[at].item()] = kid = upper
             node, at = kid, at + same
 
-    def similar(self, tokens: np.ndarray, percent: int) -> list[int]:
-        """Names of the sets with 100 * intersection >= percent * union. The overlap of a run is counted once for all sets below."""
-        probe, size, found = np.sort(tokens), len(tokens), []
-        stack = [(self.root, 0, 0)]
+    def similar(self, probes: list[np.ndarray], percent: int) -> Iterator[tuple[int, list[int]]]:
+        """(name, places in probes) for each set with probes for which 100 * intersection >= percent * union.
+
+        Probes go down the tree together. What a run of tokens adds to their overlaps is counted once for all sets below
+        it, and a probe leaves a branch when even the longest set below could not reach the similarity."""
+        size = np.array([len(x) for x in probes])
+        of = np.repeat(np.arange(len(probes)), size)
+        tokens = np.concatenate(probes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, of = tokens[order], of[order]
+        stack = [(self.root, 0, np.zeros(len(probes), np.int64), np.arange(len(probes)))]
         while stack:
-            node, depth, overlap = stack.pop()
+            node, depth, overlap, who = stack.pop()
             if len(node.run):
-                near = np.minimum(np.searchsorted(probe, node.run), size - 1)
-                overlap += int((probe[near] == node.run).sum())
+                low, high = np.searchsorted(tokens, node.run), np.searchsorted(tokens, node.run, "right")
+                times = high - low
+                places = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                overlap = overlap + np.bincount(of[places], minlength=len(probes))[who]
                 depth += len(node.run)
-            # even if all that remains were shared, would the smallest set below reach the similarity?
-            reach = min(size, overlap + node.most - depth)
-            if (100 + percent) * reach < percent * (size + node.least):
+            reach = np.minimum(size[who], overlap + node.most - depth)
+            on = (100 + percent) * reach >= percent * (size[who] + node.least)
+            overlap, who = overlap[on], who[on]
+            if not len(who):
                 continue
-            if (100 + percent) * overlap >= percent * (size + depth):
-                found += node.ends
-            stack += [(kid, depth, overlap) for kid in node.kids.values()]
-        return found
+            if node.ends:
+                near = who[(100 + percent) * overlap >= percent * (size[who] + depth)].tolist()
+                if near:
+                    yield from ((name, near) for name in node.ends)
+            stack += [(kid, depth, overlap, who) for kid in node.kids.values()]
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. All candidates of one a (at most 512 at a time) form a prefix tree
-    that a's set walks through; a task holds some thousand sets."""
+    """Linked pairs (a, b) that join what all linked ones of pairs join, and maybe some that were met with them.
+
+    Pairs are dealt to blocks by a, those of a set with many partners by both, so that a block has some thousand tokens of
+    pairs. The sets b of a block form one prefix tree, through which its sets a are sent together."""
     total = pairs.count()
     if not total:
         return pairs
-    many = pairs.groupBy("a").count().where("count > 512").withColumn("salts", F.ceil(F.col("count") / 512)).drop("count")
+    mean = sets.agg(F.avg("n")).first()[0] or 1.0
+    per = max(1, min(2000, int(_BLOCK_TOKENS / mean)))
+    many = pairs.groupBy("a").count().where(F.col("count") > per).withColumn("salts", F.ceil(F.col("count") / per)).drop("count")
     salted = small_join(pairs, stage(many, "many"), ["a"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))))
-    block = F.pmod(F.xxhash64("a", "salt"), F.lit(max(1, total // 1000)))
-    salted = stage(salted.select("a", "b", "salt", block.alias("block")), "salted")
+    block = F.pmod(F.xxhash64("a", "salt"), F.lit(-(-total // per)))
+    salted = stage(salted.select("a", "b", block.alias("block")), "salted")
     # a few numbers per pair go to the sets, not the sets to them, as long as the pairs are few
-    members = small_join(sets.select(F.col("node").alias("b"), "tokens"), salted, ["b"], bound=_BOUND)
-    probes = small_join(sets.select(F.col("node").alias("a"), "tokens"), stage(salted.select("a", "salt", "block").distinct(), "probes"), ["a"], bound=_BOUND)
+    members = small_join(sets.select(F.col("node").alias("b"), "tokens"), stage(salted.select("b", "block").distinct(), "in-trees"), ["b"], bound=_BOUND)
+    probes = small_join(sets.select(F.col("node").alias("a"), "tokens"), stage(salted.select("a", "block").distinct(), "probes"), ["a"], bound=_BOUND)
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        tries: dict[tuple, SetTrie] = {}
-        for a, salt, b, tokens in zip(*(right[c].to_pylist() for c in ("a", "salt", "b", "tokens")), strict=True):
-            tries.setdefault((a, salt), SetTrie()).add(np.frombuffer(tokens, np.uint64), b)
-        out = []
-        for a, salt, tokens in zip(*(left[c].to_pylist() for c in ("a", "salt", "tokens")), strict=True):
-            if (a, salt) in tries:
-                out += [(a, b) for b in tries[a, salt].similar(np.frombuffer(tokens, np.uint64), percent)]
+        tree = SetTrie()
+        for b, tokens in dict(zip(right["b"].to_pylist(), right["tokens"].to_pylist(), strict=True)).items():
+            tree.add(np.frombuffer(tokens, np.uint64), b)
+        asked = dict(zip(left["a"].to_pylist(), left["tokens"].to_pylist(), strict=True))
+        names, out, up = list(asked), [], {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        if names and right.num_rows:
+            for b, near in tree.similar([np.frombuffer(x, np.uint64) for x in asked.values()], percent):
+                for j in near:
+                    p, q = top(names[j]), top(b)
+                    if p != q:  # links that join nothing new are not needed
+                        up[p] = q
+                        out.append((min(names[j], b), max(names[j], b)))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     probes, members = probes.toDF(*probes.columns), members.toDF(*members.columns)
@@ -275,8 +335,13 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     all texts; any order is right, a good one is fast), and each class posts its rarest tokens, one more than two linked
     sets can miss. Classes meet at a common token unless what remains of them is too short (groups.bucket_components:
     a group of near copies of any size needs few pairs)."""
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = _components(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(rows: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """rows (id, text, and key if there is one) with n, node (of their component, null without words) and component_id."""
+    spark = rows.sparkSession
     signed = _signatures(rows, k)
     counts = spark.sparkContext.broadcast(_token_counts(signed))
     texts = signed.where("n >= 0").drop("cells")
@@ -284,10 +349,10 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
         texts.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()), "classes"
     )
 
-    token = Window.partitionBy("token")
-    shared = _postings(rows, k, percent, counts).withColumn("other", (F.min("c1").over(token) != F.max("c1").over(token)) | (F.min("c2").over(token) != F.max("c2").over(token)))
-    shared = stage(shared.where("other").drop("other").dropDuplicates(["token", "c1", "c2"]), "shared")
-    members = shared.join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select(F.col("token").alias("bucket"), "node", "n", "pos")
+    shared = stage(_shared(_postings(rows, k, percent, counts)), "shared")
+    place = F.col("place")
+    shared = shared.select(F.col("token").alias("bucket"), "c1", F.shiftright(place, 32).alias("n"), place.bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    members = shared.join(classes.select("c1", "n", "node"), ["c1", "n"]).select("bucket", "node", "n", "pos")  # halves of digests that meet only add candidates
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         return _fetch(rows, k, counts, stage(classes.join(nodes, "node", "left_semi"), "wanted"))
@@ -299,16 +364,24 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     first = stage(classes.join(found, "node", "left").select("c1", "c2", "first_id", F.coalesce("component", "node").alias("component")), "first")
     smallest = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = first.join(smallest, "component").select("c1", "c2", "component_id")
+    named = first.join(smallest, "component").select("c1", "c2", F.col("component").alias("node"), "component_id")
     out = texts.join(named, ["c1", "c2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without the rows whose group has a smaller id, in df's own columns."""
-    found = jaccard_components(df, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+    """One row of each group of similar texts, in df's own columns: that of the smallest id.
+
+    Of rows that share the smallest id, that of the smallest md5 of the text stays, and of equal ones any, but one only.
+    Null ids come after all others. Texts without words, or null, are groups of their own, so all their rows stay.
+    Columns of df may have any names; an empty table gives an empty one."""
+    keyed = df.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
+    found = stage(_components(keyed.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("__key").alias("key")), **options), "found")
+    worded = found.where("n > 0")
+    stays = worded.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("node").agg(F.min("key").alias("key"))
+    gone = worded.select("key").distinct().join(stays.select("key"), "key", "left_anti")
+    several = worded.groupBy("key").count().where("count > 1").join(stays.select("key"), "key", "left_semi").select("key")
+    return keep_one(keyed, "__key", gone, several).drop("__key")
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

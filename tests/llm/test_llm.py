@@ -4,10 +4,11 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridquarry.llm import chat, common, dedup, groups, jaccard, language, licenses, mixing, packing, queries, sharding, toxicity, vectors
+from gridquarry.llm import arrays, chat, common, dedup, groups, jaccard, language, licenses, mixing, packing, queries, sharding, toxicity, vectors
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -49,7 +50,7 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-@pytest.mark.parametrize("digest", [None, lambda t: F.crc32(t) % 2])
+@pytest.mark.parametrize("digest", [dedup._md5, lambda t: F.crc32(t) % 2])
 def test_exact_dedup(docs, clashing, digest):
     for df in (docs, clashing):
         got = sorted((r["doc_id"] or -1, r["keep_id"], r["group_size"], r["kept"]) for r in dedup.exact_dedup(df, keep="largest", digest=digest).collect())
@@ -62,9 +63,13 @@ def test_exact_dedup(docs, clashing, digest):
         assert got == sorted(want)
 
 
-def test_drop_copies(docs, clashing, empty):
-    assert dedup.drop_copies(clashing).columns == clashing.columns
-    assert sorted(r["doc_id"] or -1 for r in dedup.drop_copies(docs).collect()) == [-1, 1, 3, 5, 6, 7, 8]
+@pytest.mark.parametrize("digest", [dedup._md5, lambda t: F.crc32(t) % 2])
+def test_drop_copies(spark, docs, clashing, empty, digest):
+    assert dedup.drop_copies(clashing, digest=digest).columns == clashing.columns
+    assert sorted(r["doc_id"] or -1 for r in dedup.drop_copies(docs, digest=digest).collect()) == [-1, 1, 3, 5, 6, 7, 8]
+    rows = [(1, "t", "a"), (1, "t", "b"), (1, "T", "c"), (2, "t", "d"), (None, "t", "e"), (None, "u", "f"), (None, "U", "g"), (3, None, "h"), (3, "", "i"), (1, "v", "j")]
+    got = dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3), digest=digest).collect()
+    assert sorted((str(r["doc_id"]), lowered(r["text"])) for r in got) == [("1", "t"), ("1", "v"), ("3", ""), ("None", "u")]
     assert dedup.drop_copies(empty).count() == 0 and dedup.exact_dedup(empty).count() == 0
 
 
@@ -114,6 +119,19 @@ def test_mix_comes_near_targets(spark):
     assert mixing.repeat_rows(docs).count() == mixing.mix_sources(docs).agg(F.sum("repeats")).first()[0]
 
 
+@pytest.mark.parametrize("size, copies", [(1, 1000), (7, 50)])
+def test_equal_rows_are_taken_one_by_one(spark, size, copies):
+    """A third of all rows repeat one id and text: their source still comes within half a row of its target."""
+    same = [(1, "w " * size, "b", "x")] * copies
+    rows = same + [(100 + k, "w " * (1 + k % 5), s, "x") for s in "ac" for k in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key string").repartition(5)
+    mix = mixing.mix_sources(df, max_epochs=9.0)
+    for r in mix.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= r["most"] / 2
+    want = {tuple(r) for r in mix.groupBy("source").agg(F.sum("repeats")).collect()}
+    assert {tuple(r) for r in mixing.repeat_rows(df, max_epochs=9.0).groupBy("source").count().collect()} == want
+
+
 def test_order_of_sources(spark):
     names = ["b", None, "", "a", "Z", "é", "aa"]
     df = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")
@@ -165,7 +183,7 @@ def test_sum_of_squares_rule():
     fill_, count = [], {}
     for k, s in enumerate(sizes.tolist()):  # the rule, tried out on every open gap
         options = {}
-        for gap in [g for g, n in count.items() if n and s <= g < 32] + [32]:
+        for gap in [g for g, n in count.items() if n and s <= g < 32] or [32]:
             after = dict(count)
             if gap < 32:
                 after[gap] -= 1
@@ -214,10 +232,14 @@ def test_fast_ids_equal_the_defining_library():
     assert packing._encoder(None, None)(texts) == [exact.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_packing_wastes_little():
-    sizes = np.random.default_rng(2).integers(1, 2048, 20_000)
+@pytest.mark.parametrize("n", [300, 3000, 20_000])
+@pytest.mark.parametrize("kind", ["even", "short", "skewed"])
+def test_packing_wastes_little(n, kind):
+    rng = np.random.default_rng(2)
+    sizes = {"even": lambda: rng.integers(1, 2048, n), "short": lambda: rng.integers(1, 700, n), "skewed": lambda: np.minimum(2047, 1 + rng.lognormal(5, 1.2, n)).astype(int)}[kind]()
     _, _, used = packing.pack_block(sizes, 2048)
-    assert used <= 1.01 * sizes.sum() / 2048 + 1
+    least = max(sizes.sum() / 2048, (sizes > 1024).sum())
+    assert used <= 1.01 * least + 3
 
 
 # --- licences
@@ -303,9 +325,45 @@ def test_set_trie():
     trie = jaccard.SetTrie()
     for k, s in enumerate(sets):
         trie.add(s, k)
-    for s in sets[:50]:
-        want = [k for k, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 60 * len(np.union1d(s, o))]
-        assert sorted(trie.similar(s, 60)) == want
+    want = {(k, j) for j, s in enumerate(sets[:50]) for k, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 60 * len(np.union1d(s, o))}
+    assert sorted((k, j) for k, near in trie.similar(sets[:50], 60) for j in near) == sorted(want)
+
+
+@pytest.mark.parametrize("n", range(10))
+def test_blocks_of_few_words(spark, n):
+    """Blocks whose texts hold n words in all, in one text and in several."""
+    for texts in ([" ".join(f"w{k}" for k in range(n))], [f"w{k}" for k in range(n)] or [""], [None, " ".join(["x"] * n)]):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        tokens, counts = arrays.shingle_sets(batch, 5)
+        assert counts.tolist() == [len(shingles(t)) for t in texts] and len(tokens) == counts.sum()
+
+
+def test_short_texts_beside_long_ones(spark):
+    rows = [(1, "word " * 300_000), (2, "two words"), (3, "two  WORDS"), (4, None), (5, "b"), (6, "a b c"), (7, "word " * 300_000 + "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard.jaccard_components(df).collect())
+    assert got == [x if x[1] else (x[0], 0, x[0]) for x in brute(rows)]
+    for few in (rows[1:2], rows[3:4], rows[4:6]):
+        few = spark.createDataFrame(few, "doc_id long, text string").coalesce(1)
+        assert jaccard.one_of_each(few).count() == few.count()
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "A b c d  e f", "z"), (None, "a b c d e f", "n"), (2, "a b c d e f", "x"), (2, "other words", "x"), (3, "", "x"), (4, None, "x"), (4, None, "x"), (None, "q r", "1"), (None, "q r", "1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    got = sorted((str(r["doc_id"]), lowered(r["text"]).split()) for r in jaccard.one_of_each(df).collect())
+    assert got == sorted([("1", list("abcdef")), ("2", ["other", "words"]), ("3", []), ("4", []), ("4", []), ("None", ["q", "r"])])
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_hot_buckets_meet_in_blocks(spark, monkeypatch, last):
+    """One bucket of 60 nodes, in which only some pairs are linked and few with the smallest one."""
+    for name, value in (("PAIRED", 3), ("HOT", 8), ("TRIES", 0 if last else 2)):
+        monkeypatch.setattr(groups, name, value)
+    members = spark.range(60).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("node"))
+    linked = lambda pairs, _: common.stage(pairs.where("(a % 10 = b % 10 AND b - a <= 20) OR a = 0 AND b % 10 = 3"), "linked")
+    got = {r["node"]: r["component"] for r in groups.bucket_components(members, F.lit(True), lambda n: None, linked).collect()}
+    assert {k: got.get(k, k) for k in range(60)} == {k: 0 if k % 10 == 3 else k % 10 for k in range(60)}
 
 
 def test_components(spark):
@@ -335,15 +393,41 @@ def test_conversations(spark):
 
 
 def test_reply_trees(spark):
-    parents = {1: None, 2: 1, 3: 1, 4: 2, 5: 4, 6: 3, 7: 99, 8: 9, 9: 8, **{k: k - 1 for k in range(101, 140)}, 100: None}
+    parents = {1: None, 2: 1, 3: 1, 4: 2, 5: 4, 6: 3, 7: 99, 8: 9, 9: 8, 10: 8, 11: 10, 12: 12, **{k: k - 1 for k in range(101, 140)}, 100: None}
     score = {4: 0.0, 5: 0.0, 6: 3.0}
-    df = spark.createDataFrame([(1 if k < 10 else 2, k, p, float(score.get(k, 1.0))) for k, p in parents.items()], "tree long, node long, parent long, score double")
+    df = spark.createDataFrame([(1 if k < 50 else 2, k, p, float(score.get(k, 1.0))) for k, p in parents.items()], "tree long, node long, parent long, score double")
     rows = chat.reply_paths(df, top=2).collect()
     paths = {}
     for r in sorted(rows, key=lambda r: -r["height"]):
         paths.setdefault((r["tree"], r["leaf"]), []).append(r["node"])
     assert paths == {(1, 6): [1, 3, 6], (1, 7): [7], (2, 139): list(range(100, 140))}
     assert {r["leaf"] for r in chat.reply_paths(df).collect()} == {6, 139}
+    assert chat.reply_paths(df.where("node BETWEEN 8 AND 12")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_reply_trees_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    parent = {k: int(rng.integers(0, k)) if k > 3 and rng.random() < 0.9 else None for k in range(60)}
+    parent |= {4: 5, 5: 6, 6: 4}  # a cycle, with what hangs from it
+    score = {k: float(rng.integers(0, 5)) for k in parent}
+
+    def walk(k):
+        path = [k]
+        while parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+            if len(path) > 60:
+                return None
+        return path
+
+    paths = {k: walk(k) for k in parent if k not in parent.values()}
+    paths = {k: p for k, p in paths.items() if p}
+    tree = {k: p[-1] for k, p in paths.items()}
+    best = {t: sorted((k for k in paths if tree[k] == t), key=lambda k: (-np.mean([score[j] for j in paths[k]]), k))[:2] for t in set(tree.values())}
+    want = sorted((k, j, h) for t, leaves in best.items() for k in leaves for h, j in enumerate(paths[k]))
+    root = {k: (walk(k) or [-1])[-1] for k in parent}
+    df = spark.createDataFrame([(root[k], k, p, score[k]) for k, p in parent.items()], "tree long, node long, parent long, score double")
+    assert sorted((r["leaf"], r["node"], r["height"]) for r in chat.reply_paths(df, top=2).collect()) == want
 
 
 # --- embeddings
@@ -374,15 +458,21 @@ def test_hadamard():
     assert (h @ h.T == 8 * np.eye(8)).all()
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("dim, n", [(64, 500), (64, 50_000), (384, 50_000), (768, 50_000), (1024, 10_000), (100, 10_000_000)])
+def test_recall_at_the_threshold(dim, n):
+    """Fresh pairs at a cosine of exactly 0.9 share a bucket, and unrelated ones hardly ever."""
     rng = np.random.default_rng(5)
-    a = rng.normal(size=(2000, 64))
+    a = rng.normal(size=(1000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.normal(size=a.shape)
-    b -= (a * b).sum(1, keepdims=True) * a
+    other = b = rng.normal(size=a.shape)
+    b = b - (a * b).sum(1, keepdims=True) * a
     b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    met = np.mean([bool(set(p) & set(q)) for p, q in zip(vectors.bucket_keys(a).tolist(), vectors.bucket_keys(b).tolist())])
-    assert met >= 0.95
+    bits = vectors.table_bits(n)
+    tables = vectors.choose_tables(dim, bits, 0.9)
+    keys = [[vectors.table_keys(x, t, bits) for t in range(tables)] for x in (a, b, other)]
+    shared = lambda p, q: np.mean([(x[:, :, None] == y[:, None, :]).any((1, 2)) for x, y in zip(p, q)], axis=0)
+    assert (shared(keys[0], keys[1]) > 0).mean() >= 0.97
+    assert shared(keys[0], keys[2]).mean() <= 64 * 16 / 2**bits + 2e-3
 
 
 # --- language and toxicity
