@@ -272,7 +272,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     if not total:
         return pairs
     mean = sets.agg(F.avg("n")).first()[0] or 1.0
-    per = max(1, min(2000, int(_BLOCK_TOKENS / mean)))
+    per = max(1, min(300, int(_BLOCK_TOKENS / mean)))
     many = pairs.groupBy("a").count().where(F.col("count") > per).withColumn("salts", F.ceil(F.col("count") / per)).drop("count")
     salted = small_join(pairs, stage(many, "many"), ["a"], "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))))
     block = F.pmod(F.xxhash64("a", "salt"), F.lit(-(-total // per)))
