@@ -45,10 +45,24 @@ def offset_lonlat(lon: Column, lat: Column, east_m: Column, north_m: Column) ->
 
 
 def envelope_lonlat(x: Column, y: Column, width: Column, height: Column, bounds: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
-    """Linear position in bounds (min_lon, min_lat, max_lon, max_lat), line 0 at the top; NaN counts as 0."""
-    clean = lambda c: F.nanvl(c.cast("double"), F.lit(0.0))
-    min_lon, min_lat, max_lon, max_lat = bounds
-    return min_lon + clean(x) / width * (max_lon - min_lon), max_lat - clean(y) / height * (max_lat - min_lat)
+    """Linear position in bounds (min_lon, min_lat, max_lon, max_lat), line 0 at the lowest latitude.
+
+    Bounds that are NaN count as longitude 0 and latitude -90; without any (null), longitude is 0 and latitudes run from
+    -90 to -75."""
+    clean = lambda c, default: F.coalesce(F.nanvl(c.cast("double"), F.lit(default)), F.lit(default))
+    none = bounds[0].isNull() & bounds[1].isNull() & bounds[2].isNull() & bounds[3].isNull()
+    min_lon, max_lon = clean(bounds[0], 0.0), clean(bounds[2], 0.0)
+    min_lat, max_lat = clean(bounds[1], -90.0), F.when(none, -75.0).otherwise(clean(bounds[3], -90.0))
+    share = lambda c, size: c / F.greatest(size, F.lit(1))
+    return min_lon + share(x, width) * (max_lon - min_lon), min_lat + share(y, height) * (max_lat - min_lat)
+
+
+def first_place(*places: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The first of several (lon, lat) that is there: neither is null or NaN, and not both are 0. A chain of coordinate
+    functions: the exact pose, else the corners, else the envelope; null if none is there."""
+    found = [F.when(lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat) & ((lon != 0) | (lat != 0)), F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))) for lon, lat in places]
+    one = F.coalesce(*found)
+    return one["lon"], one["lat"]
 
 
 def corner_order(geometry: dict[str, Column], start_lat: Column | None = None, stop_lat: Column | None = None) -> tuple[list[Column], list[Column]]:
@@ -155,3 +169,48 @@ def polygon_area(ring: Column) -> Column:
     after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     cross = F.zip_with(ring, after, lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+def _signed_area(ring: Column) -> Column:
+    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.aggregate(F.zip_with(ring, after, lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"]), F.lit(0.0), lambda s, x: s + x) / 2
+
+
+def convex_clip(ring: Column, by: Column) -> Column:
+    """The part of a ring inside a convex ring by, as a ring (arrays of struct(lon, lat) of doubles, not closed); empty if they
+    do not meet. The ring is cut along each edge of by in turn; by may run either way around."""
+    point = "array<struct<lon:double,lat:double>>"
+    around = F.when(_signed_area(by) < 0, F.reverse(by)).otherwise(by)
+    edges = F.zip_with(around, F.concat(F.slice(around, 2, F.size(around)), F.slice(around, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def cut(kept: Column, edge: Column) -> Column:
+        side = lambda v: (edge["q"]["lon"] - edge["p"]["lon"]) * (v["lat"] - edge["p"]["lat"]) - (edge["q"]["lat"] - edge["p"]["lat"]) * (v["lon"] - edge["p"]["lon"])
+
+        def corner(v: Column, i: Column) -> Column:
+            u = F.get(kept, F.when(i == 0, F.size(kept) - 1).otherwise(i - 1))
+            a, b = side(u), side(v)
+            t = a / (a - b)
+            met = F.struct((u["lon"] + (v["lon"] - u["lon"]) * t).alias("lon"), (u["lat"] + (v["lat"] - u["lat"]) * t).alias("lat"))
+            crossed, own = F.when((a >= 0) != (b >= 0), F.array(met)).otherwise(F.array().cast(point)), F.when(b >= 0, F.array(v)).otherwise(F.array().cast(point))
+            return F.concat(crossed, own)
+
+        return F.flatten(F.transform(kept, corner)).cast(point)
+
+    return F.aggregate(edges, ring.cast(point), cut)
+
+
+def convex_clip_area(ring: Column, by: Column) -> Column:
+    """Area that a ring and a convex ring share. Planar."""
+    return polygon_area(convex_clip(ring, by))
+
+
+def ring_bounds(ring: Column) -> list[Column]:
+    """min_lon, min_lat, max_lon, max_lat of a ring."""
+    lons, lats = (F.transform(ring, lambda p, k=k: p[k]) for k in ("lon", "lat"))
+    return [F.array_min(lons), F.array_min(lats), F.array_max(lons), F.array_max(lats)]
+
+
+def metric_axes(length_m: Column, width_m: Column, resolution: Column) -> tuple[Column, Column]:
+    """Semi-axes in pixels of an ellipse given by its length and width in metres; a missing width is the length; 0.5 at least."""
+    half = lambda c: F.greatest(c / resolution / 2, F.lit(0.5))
+    return half(length_m), half(F.coalesce(width_m, length_m))

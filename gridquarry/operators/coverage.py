@@ -20,14 +20,15 @@ def footprint_cells(footprints: DataFrame, roi: tuple[float, float, float, float
     return rows.where(inside & region).select("product_id", F.col("c.i").alias("i"), F.col("c.j").alias("j")).distinct()
 
 
-def greedy_cover(cells: DataFrame, min_gain: int = 1, stop_uncovered: int = 0, most: int = 3000, batch: int = 64) -> tuple[list[tuple[str, int]], DataFrame]:
+def greedy_cover(cells: DataFrame, min_gain: int = 1, stop_uncovered: int = 0, most: int | None = None, batch: int = 64) -> tuple[list[tuple[str, int]], DataFrame]:
     """Greedy set cover over (product_id, i, j): the picks in order with their gains, and the cells left uncovered.
 
     Each pick has the largest number of cells not yet covered, ties by product_id. A round looks at the batch products of
     largest gain, with the cells of those only, and takes picks from them as long as no product outside the batch could
-    gain more, so picks equal those of the one-at-a-time greedy. Gains of all others shrink in the next round's join."""
+    gain more, so picks equal those of the one-at-a-time greedy. most, if given, bounds the picks: the cells left uncovered tell
+    whether it cut the cover short. Gains of all others shrink in the next round's join."""
     left, picks = stage(cells, "cells"), []
-    while len(picks) < most:
+    while most is None or len(picks) < most:
         gains = left.groupBy("product_id").count().orderBy(F.desc("count"), "product_id").limit(batch + 1).collect()
         if not gains or gains[0]["count"] < min_gain:
             break
@@ -37,7 +38,7 @@ def greedy_cover(cells: DataFrame, min_gain: int = 1, stop_uncovered: int = 0, m
         for r in left.where(F.col("product_id").isin(names)).toLocalIterator():  # batch footprints
             own[r["product_id"]].add((r["i"], r["j"]))
         chosen = []
-        while own and len(picks) < most:
+        while own and (most is None or len(picks) < most):
             name = min(own, key=lambda n: (-len(own[n]), n))
             gain = len(own[name])
             tie = gain == bound and name > gains[batch]["product_id"] if bound else False

@@ -5,45 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .joins import running_sums
 
-def precision_at_k(scored: DataFrame, ks: list[int], order: list[Column], label: str = "y") -> DataFrame:
-    """k, precision and recall among the k best rows. Only max(ks) rows are ranked; the others are counted."""
-    positives = F.sum((F.col(label) == 1).cast("long"))
-    total = scored.agg(F.coalesce(positives, F.lit(0)).alias("positives"))
-    best = scored.orderBy(*order).limit(max(ks)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    per = best.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k").groupBy("k").agg(positives.alias("hits"), F.count("*").alias("n"))
-    found = per.join(F.broadcast(total))
-    return found.select("k", (F.col("hits") / F.col("n")).alias("precision"), F.when(F.col("positives") > 0, F.col("hits") / F.col("positives")).otherwise(0.0).alias("recall"))
+
+def precision_at_k(scored: DataFrame, ks: list[int], order: list[Column], label: str = "y", gate: Column | None = None) -> DataFrame:
+    """k, precision and recall among the k best rows; with gate, a condition, also gated_precision and gated_recall among those
+    of them that pass it, and boost, the gain in precision in points. Only max(ks) rows are ranked; the others are counted."""
+    one, passed = F.col(label) == 1, F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
+    total = scored.agg(F.count(F.when(one, 1)).alias("positives"))
+    best = scored.withColumn("__pass", passed).orderBy(*order).limit(max(ks)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    count = lambda test: F.count(F.when(test, 1))
+    per = best.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k").groupBy("k").agg(
+        count(one).alias("hits"), F.count("*").alias("n"), count(one & F.col("__pass")).alias("gated"), count(F.col("__pass")).alias("m")
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    found = per.join(F.broadcast(total)).withColumns({"precision": ratio("hits", "n"), "gated_precision": ratio("gated", "m")})
+    out = [F.col("k"), F.col("precision"), ratio("hits", "positives").alias("recall")]
+    if gate is not None:
+        out += [F.col("gated_precision"), ratio("gated", "positives").alias("gated_recall"), ((F.col("gated_precision") - F.col("precision")) * 100).alias("boost")]
+    return found.select(*out)
 
 
 def class_metrics(df: DataFrame, pred: str, target: str, classes: list[int]) -> DataFrame:
-    """class, iou, precision, recall from one confusion table; 1.0 where nothing could be found."""
+    """class, iou, precision, recall, f05 (weighs precision twice) from one confusion table, 1.0 where nothing could be found; and
+    miou, the mean iou, the same for all classes."""
     table = df.groupBy(pred, target).count()
     pairs = table.withColumn("class", F.explode(F.array(*map(F.lit, classes))))
-    p, t = F.col(pred) == F.col("class"), F.col(target) == F.col("class")
+    p, t = F.coalesce(F.col(pred) == F.col("class"), F.lit(False)), F.coalesce(F.col(target) == F.col("class"), F.lit(False))
     n = lambda test: F.sum(F.when(test, F.col("count")).otherwise(0))
     sums = pairs.groupBy("class").agg(n(p & t).alias("tp"), n(p & ~t).alias("fp"), n(~p & t).alias("fn"))
     ratio = lambda d: F.when(d > 0, F.col("tp") / d).otherwise(1.0)
-    return sums.select("class", ratio(F.col("tp") + F.col("fp") + F.col("fn")).alias("iou"), ratio(F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp") + F.col("fn")).alias("recall"))
+    found = sums.select("class", ratio(F.col("tp") + F.col("fp") + F.col("fn")).alias("iou"), ratio(F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp") + F.col("fn")).alias("recall"))
+    q, r = F.col("precision"), F.col("recall")
+    found = found.withColumn("f05", F.when(q + r > 0, 1.25 * q * r / (0.25 * q + r + 1e-8)).otherwise(0.0))
+    return found.join(F.broadcast(found.agg(F.avg("iou").alias("miou"))))
 
 
 def pr_curve(scored: DataFrame, score: str = "s", label: str = "y") -> DataFrame:
     """score, tp, n, precision, recall at every distinct score, best first.
 
-    Rows are summed by score before they are put in order, so the running sums cover distinct scores only."""
-    by = scored.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.count("*").alias("m"))
-    run = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = by.withColumn("tp", F.sum("p").over(run)).withColumn("n", F.sum("m").over(run)).withColumn("all", F.sum("p").over(all_))
-    return found.select(score, "tp", "n", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("all")).alias("recall"))
+    Rows are summed by score before they are put in order, and the running sums go through ranges of scores, so no task
+    holds all of them."""
+    return _curve(scored, score, label).select(score, "tp", "n", "precision", "recall")
+
+
+def _curve(scored: DataFrame, score: str, label: str) -> DataFrame:
+    by = stage(scored.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.count("*").alias("m")), "scores")
+    all_ = by.agg(F.sum("p")).first()[0]
+    found = running_sums(by, [F.desc(score)], {"tp": F.col("p"), "n": F.col("m")})
+    return found.withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", F.try_divide(F.col("tp"), F.lit(all_)))
 
 
 def pr_auc(scored: DataFrame, score: str = "s", label: str = "y") -> DataFrame:
     """Area under the precision-recall curve by trapezoids, starting at recall 0 with precision 1."""
-    curve = pr_curve(scored, score, label)
-    w = Window.orderBy(F.desc(score))
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return curve.select(step.alias("step")).agg(F.sum("step").alias("pr_auc"))
+    # the point before this one follows from the sums without this score's rows
+    tp, n, p = F.col("tp") - F.col("p"), F.col("n") - F.col("m"), F.col("p")
+    gained = F.when(F.col("tp") > 0, F.col("recall") * p / F.col("tp")).otherwise(0.0)
+    step = gained * (F.col("precision") + F.when(n > 0, tp / n).otherwise(1.0)) / 2
+    return _curve(scored, score, label).select(step.alias("step")).agg(F.sum("step").alias("pr_auc"))
 
 
 def sequential_splits(df: DataFrame, group: str, order: list[str], ratios: dict[str, float]) -> DataFrame:

@@ -96,18 +96,22 @@ def new_only(current: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def covering_files(products: DataFrame, files: DataFrame) -> DataFrame:
     """Pairs of products (product_id, ts) and files (name) whose window holds ts. Files without a window go with all.
 
-    Windows are cut into months, so the join is by month and not of all with all; files without window are few and must be
-    less than a thousand (they are broadcast)."""
+    Windows are cut into months, so the join is by month and not of all with all. Files without a window are listed on each
+    product's row, in lists of a thousand: the result has a row for each product and such file."""
     first, last = file_window(F.col("name"))
     dated = files.withColumn("first", first).withColumn("last", last)
     month = lambda d: F.year(d) * 12 + F.month(d)
     windows = dated.where("first IS NOT NULL AND last >= first").withColumn("m", F.explode(F.sequence(month(F.col("first")), month(F.col("last")))))
     own = products.withColumn("m", month(F.col("ts")))
     met = own.join(windows, "m").where((F.col("ts") >= F.col("first").cast("timestamp")) & (F.col("ts") <= F.col("last").cast("timestamp")))
-    open_ = dated.where("first IS NULL").select("name")
-    if open_.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 files without a window")
-    return met.select("product_id", "ts", "name").unionByName(products.select("product_id", "ts").join(F.broadcast(open_)).select("product_id", "ts", "name"))
+    open_ = running_sums(dated.where("first IS NULL").select("name"), [F.col("name")], {"at": F.lit(1).cast("long")})
+    lists = open_.groupBy(F.floor((F.col("at") - 1) / 1000).alias("list")).agg(F.collect_list("name").alias("names"))
+    n = stage(lists, "lists").agg(F.max("list")).first()[0]
+    every = products.select("product_id", "ts")
+    if n is None:
+        return met.select("product_id", "ts", "name")
+    spread = every.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
+    return met.select("product_id", "ts", "name").unionByName(spread.join(F.broadcast(lists) if n < 100 else lists, "list").select("product_id", "ts", F.explode("names").alias("name")))
 
 
 def newest(files: DataFrame, family: Column, version: Column) -> DataFrame:
@@ -169,18 +173,27 @@ def running_rank(hits: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return own.join(starts, group).withColumn("rank", F.col("__s") + F.col("__r")).drop("__r", "__s")
 
 
-def ranked(rows: DataFrame, order: list[Column], name: str = "rank", per: int = 100_000) -> DataFrame:
-    """rows plus name: each row's place in order, from 1, over all rows. order must be total for ranks that do not vary.
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column], per: int = 100_000) -> DataFrame:
+    """rows plus, for each name in sums, the sum of its column over all rows up to this one in order.
 
-    Ranges of about per rows are sorted each in a task, then shifted by the rows of the ranges before; only the ranges'
-    counts are put in one order. Rows that are equal in order lie in one range."""
+    Ranges of about per rows are sorted each in a task, summed inside, and shifted by the sums of the ranges before; only one
+    line per range is put in one order. Rows that are equal in order lie in one range, in any order."""
     rows = stage(rows, "unranked")
     parts = max(1, -(-rows.count() // per))
     ranged = stage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranged")
-    ranged = ranged.withColumn("__p", F.shiftright("__at", 33)).withColumn("__r", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    ranged = ranged.withColumn("__p", F.shiftright("__at", 33))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
-    return ranged.join(starts, "__p").withColumn(name, F.col("__s") + F.col("__r")).drop("__at", "__p", "__r", "__s")
+    totals = ranged.groupBy("__p").agg(*[F.sum(c).alias(f"__{k}") for k, c in enumerate(sums.values())])
+    starts = totals.select("__p", *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in range(len(sums))])
+    inside = Window.partitionBy("__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ranged.withColumns({f"__own{k}": F.sum(c).over(inside) for k, c in enumerate(sums.values())}).join(starts, "__p")
+    return found.select(*rows.columns, *[(F.col(f"__{k}") + F.col(f"__own{k}")).alias(name) for k, name in enumerate(sums)])
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank", per: int = 100_000) -> DataFrame:
+    """rows plus name: each row's place in order, from 1, over all rows (see running_sums). order must be total for ranks that
+    do not vary."""
+    return running_sums(rows, order, {name: F.lit(1).cast("long")}, per)
 
 
 def terrain_intersect(rays: DataFrame, heights: DataFrame, cell: float, rounds: int = 6, tolerance: float = 1.0) -> DataFrame:
@@ -213,3 +226,45 @@ def elevation_lookup(points: DataFrame, cells: DataFrame, cell: float) -> DataFr
     keys = place.select("i", "j").distinct()
     best = keys.join(cells.where("value IS NOT NULL"), ["i", "j"]).groupBy("i", "j").agg(F.min_by("value", "priority").alias("height_m"))
     return place.join(best, ["i", "j"], "left").drop("i", "j")
+
+
+def dem_elevation(points: DataFrame, tiles: DataFrame, cells: DataFrame, last: bool = False, block: float = 5.0) -> DataFrame:
+    """points (lat, lon, ...) with height_m of the first tile, by priority, that covers a point and has a value there.
+
+    tiles: tile_id, priority, west, south, east, north (closed), n_rows, n_cols, scale, offset, nodata (null: none); cells: tile_id,
+    row, col (from the north-west corner), value. Heights are value * scale + offset; a cell that is missing, NaN or nodata
+    has none, and the next tile is asked. With last, later tiles win, as in bulk reads. Points that no tile covers, or
+    without coordinates, have null. Tiles are cut into blocks of degrees, and places are looked up once each."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / block), F.floor(F.col(b) / block))
+    cut = tiles.withColumn("bi", F.explode(span("west", "east"))).withColumn("bj", F.explode(span("south", "north")))
+    at = points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)").distinct().withColumn("x", F.pmod(F.col("lon").cast("double"), F.lit(360.0)))
+    at = at.withColumns({"bi": F.floor(F.col("x") / block), "bj": F.floor(F.col("lat") / block)})
+    met = at.join(cut, ["bi", "bj"]).where("x BETWEEN west AND east AND lat BETWEEN south AND north")
+    inside = lambda share, n: F.least(F.greatest(F.floor(share * F.col(n)), F.lit(0)), F.col(n) - 1).cast("int")
+    met = met.withColumns({
+        "row": inside((F.col("north") - F.col("lat")) / (F.col("north") - F.col("south")), "n_rows"), "col": inside((F.col("x") - F.col("west")) / (F.col("east") - F.col("west")), "n_cols"),
+    })
+    value = F.col("value").cast("double")
+    known = met.join(cells.select("tile_id", "row", "col", value.alias("value")), ["tile_id", "row", "col"])
+    known = known.where(F.col("value").isNotNull() & ~F.isnan("value") & ~F.coalesce(F.col("value") == F.col("nodata"), F.lit(False)))
+    height = F.col("value") * F.col("scale") + F.col("offset")
+    best = known.groupBy("lat", "lon").agg((F.max_by if last else F.min_by)(height, F.col("priority")).alias("height_m"))
+    return points.join(best, ["lat", "lon"], "left")
+
+
+def pixel_poses(pixels: DataFrame, poses: DataFrame, keys: list[str]) -> DataFrame:
+    """pixels with the pose (position, direction) of exactly their product and line; pixels of lines without a pose are left out.
+    For poses at other times than lines see as_of."""
+    return pixels.join(poses, keys)
+
+
+def pit_product_pairs(catalog: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """key and product_id: a site's own first reference (reference_nac), else the first of its mapped products; null without any."""
+    found = catalog.select(key, "reference_nac").join(mapping.select(key, "products"), key, "left")
+    return found.select(key, F.coalesce(F.get("reference_nac", F.lit(0)), F.get("products", F.lit(0))).alias("product_id"))
+
+
+def catalog_recall(hits: DataFrame, sites: DataFrame, max_m: float) -> DataFrame:
+    """matched (hits with a site within max_m), n (all hits), rate."""
+    found = nearest_site(hits.select("lat", "lon"), sites, max_m).agg(F.count("name").alias("matched"), F.count("*").alias("n"))
+    return found.withColumn("rate", F.when(F.col("n") > 0, F.col("matched") / F.col("n")).otherwise(0.0))

@@ -109,6 +109,17 @@ def cosine_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _top(_scan(vectors, queries, ["query", "v"], float, visit, "query long, id long, similarity double"), F.desc("similarity"), k)
 
 
+def cosine_distances(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """All pairs of vectors (id, v) and queries (query, v): query, id, cosine_distance (1 less the cosine rounded to 6 places, 0 to
+    2). Nothing is ranked or shuffled; a row leaves its task once for each query."""
+
+    def visit(ids, x, block, q):
+        d = np.clip(1 - np.round(_unit(x) @ _unit(q).T, 6), 0, 2)
+        return np.tile(np.array([r[0] for r in block]), len(ids)), np.repeat(ids, len(block)), d.ravel()
+
+    return _scan(vectors, queries, ["query", "v"], float, visit, "query long, id long, cosine_distance double")
+
+
 def hamming_range(codes: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs within the threshold of the query: query, id, distance. queries: query, v, threshold."""
 

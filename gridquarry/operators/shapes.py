@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_ellipse
+from ..session import stage
 from .aggregates import mask_moments
+from .joins import ranked
 
 
 def largest_blob(mask: np.ndarray) -> np.ndarray:
@@ -63,12 +65,29 @@ def ellipse_pixels(sites: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def ellipse_labels(sites: DataFrame, key: str, size: int, most: float = 0.7) -> DataFrame:
-    """key, status, and area and box of the site's mask. Sites wider than most of the crop are skipped, empty masks fail."""
-    fit = sites.where(2 * F.greatest("major", "minor") <= most * size)
+    """key, status, reason, and area and box of the site's mask. Sites wider than most of the crop, or whose mask is empty, are
+    skipped; sites without axes fail."""
+    diameter = 2 * F.greatest("major", "minor")
+    fit = sites.where(diameter <= most * size)
     boxes = mask_moments(ellipse_pixels(fit, key, size), key).select(key, "area", "x0", "y0", "width", "height")
-    wide = (2 * F.greatest("major", "minor") > most * size).alias("wide")
-    status = F.when(F.col("wide"), "skip").when(F.col("area").isNull(), "fail").otherwise("ok")
-    return sites.select(key, wide).join(boxes, key, "left").withColumn("status", status).drop("wide")
+    rows = sites.select(key, diameter.alias("__d")).join(boxes, key, "left")
+    reason = (
+        F.when(F.col("__d").isNull(), "no-axes").when(F.col("__d") > most * size, F.concat(F.lit("pit-too-large-px="), F.round("__d").cast("long").cast("string")))
+        .when(F.col("area").isNull(), "empty-mask").otherwise("")
+    )
+    status = F.when(F.col("__d").isNull(), "fail").when(reason == "", "ok").otherwise("skip")
+    return rows.withColumns({"reason": reason, "status": status}).drop("__d")
+
+
+def annotation_tables(labels: DataFrame, key: str, size: int, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) of the labels (of ellipse_labels) that are ok, with ids from 1 in order.
+
+    images: image_id, key, width, height; annotations: annotation_id, image_id, category_id, key, bbox (x, y, width, height,
+    pixels at both ends count), area."""
+    rows = stage(ranked(labels.where("status = 'ok'"), order, "image_id"), "annotations")
+    bbox = F.array("x0", "y0", (F.col("width") + 1).alias("w"), (F.col("height") + 1).alias("h"))
+    images = rows.select("image_id", key, F.lit(size).alias("width"), F.lit(size).alias("height"))
+    return images, rows.select(F.col("image_id").alias("annotation_id"), "image_id", F.lit(1).alias("category_id"), key, bbox.alias("bbox"), F.col("area").cast("double").alias("area"))
 
 
 def split_dateline(boxes: DataFrame) -> DataFrame:

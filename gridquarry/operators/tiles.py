@@ -75,6 +75,43 @@ def cut_tiles(stripes: DataFrame, tile: int, stride: int) -> DataFrame:
     return held.where(F.size("lines") == tile).select("product_id", "x_offset", "y_offset", F.flatten(F.transform("lines", lambda r: r["part"])).alias("pixels"))
 
 
+def crop_roi(places: DataFrame, frames: DataFrame, stripes: DataFrame, key: str, width: int = 256, height: int = 256) -> DataFrame:
+    """key and pixels of a crop of width by height around each place, by line; what lies outside the frame is NaN.
+
+    places: key (unique), product_id, x, y in pixels (see geo.lonlat_to_pixel); the centre is the pixel that holds the place.
+    frames: product_id, lines, samples. stripes: product_id, line, values. A place more than a crop's size outside its frame,
+    or without coordinates or frame, has null pixels. Only the lines of a crop meet it, cut to its columns."""
+    x0, y0 = F.floor("x") - width // 2, F.floor("y") - height // 2
+    near = (F.floor("x") >= -width) & (F.floor("x") < F.col("samples") + width) & (F.floor("y") >= -height) & (F.floor("y") < F.col("lines") + height)
+    at = places.select(key, "product_id", "x", "y").join(frames.select("product_id", "lines", "samples"), "product_id", "left")
+    at = at.select(key, "product_id", "samples", x0.alias("x0"), y0.alias("y0"), F.coalesce(near, F.lit(False)).alias("near"))
+    lines = at.where("near").withColumn("line", F.explode(F.sequence(F.col("y0"), F.col("y0") + height - 1)))
+    met = lines.join(stripes.select("product_id", F.col("line").cast("long").alias("line"), "values"), ["product_id", "line"], "left")
+    nans = lambda n: F.array_repeat(F.lit(float("nan")), n.cast("int"))
+    left = F.least(F.greatest(-F.col("x0"), F.lit(0)), F.lit(width))
+    kept = F.coalesce(F.when(F.col("x0") < F.col("samples"), F.slice("values", F.greatest(F.col("x0"), F.lit(0)).cast("int") + 1, (F.lit(width) - left).cast("int"))), F.array().cast("array<double>"))
+    part = F.concat(nans(left), F.transform(kept, lambda v: v.cast("double")))
+    part = F.concat(part, nans(F.lit(width) - F.size(part)))
+    held = met.select(key, "line", part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "part"))).alias("rows"))
+    return at.select(key).join(held, key, "left").select(key, F.flatten(F.transform("rows", lambda r: r["part"])).alias("pixels"))
+
+
+def normalize(tiles: DataFrame, pixels_col: str, by: str | None = None, shares: tuple[float, float] = (0.0, 1.0), known: DataFrame | None = None) -> DataFrame:
+    """tiles with their pixels stretched to 0 to 255: from minimum to maximum (or two percentiles) of valid pixels of the tile
+    itself, or, with by, of all tiles of the same product; known (by, low, high) has limits that come before these."""
+    from ..functions.raster import INVALID, stretch_u8
+    from .aggregates import array_percentile
+
+    fine = F.array_sort(F.filter(F.transform(pixels_col, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x) & (x > INVALID)))
+    rows = tiles.withColumns({"__low": array_percentile(fine, shares[0]), "__high": array_percentile(fine, shares[1])})
+    if by is not None:
+        limits = rows.groupBy(by).agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"))
+        if known is not None:
+            limits = limits.join(known.select(by, "low", "high"), by, "left").select(by, F.coalesce("low", "__low").alias("__low"), F.coalesce("high", "__high").alias("__high"))
+        rows = tiles.join(limits, by)
+    return rows.withColumn(pixels_col, stretch_u8(F.col(pixels_col), F.col("__low"), F.col("__high"))).drop("__low", "__high")
+
+
 def block_mean_encoder(dim: int) -> Callable[[np.ndarray], np.ndarray]:
     """A model for tests: means of dim equal blocks of a tile's pixels, as a unit vector."""
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import aggregates, evaluation, joins, latent, shapes, tiles
+from ..operators import aggregates, evaluation, gates, joins, latent, shapes
 from ..session import scratch_path, stage
 from ..sources import tables as sources
 from ..streaming import scanlog
+from . import scan
 from .registry import Tables, query
 from .scalar_queries import CODES_SQL, r6
-from .table_queries import COSINE_SQL, PIXELS_SQL, anchors_of, codes_of, physics_of, vectors_of
+from .table_queries import ANCHORS_SQL, COSINE_SQL, PHYSICS_SQL, PIXELS_SQL, anchors_of, codes_of, masks_of, rounds_sql, sphere_sql, vectors_of
 
 col = F.col
 GRAPH_SQL = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -30,18 +31,25 @@ def _low(t: Tables):
     return t.embeddings.select(col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"))
 
 
-@query("a14_jl_distortion")
+STRAIN_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS h, list_transform(list_slice(embedding, 1, 2), lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings),
+d AS (SELECT v.vec_id, v.vec_id = q.vec_id AS same, list_distance(v.h, q.h) AS e, list_distance(v.l, q.l) AS b,
+             least(greatest(1 - list_inner_product(v.h, q.h) / sqrt(list_inner_product(v.h, v.h) * list_inner_product(q.h, q.h)), 0), 2) AS c FROM v, v q WHERE q.vec_id % 50 = 0),"""
+
+
+@query("a14_jl_distortion", "", STRAIN_SQL + """ m AS (SELECT median(e) AS e0, median(b) AS b0 FROM d WHERE NOT same), r AS (SELECT (b / b0) / (e / e0) AS ratio FROM d, m WHERE NOT same AND e > 0)
+SELECT round(avg(ratio), 6) AS ratio, round(greatest(0, 1 - avg(abs(ratio - 1))), 6) AS score FROM r""")
 def a14(t: Tables):
-    """All vectors against the query set; tests hold it against a direct computation."""
+    """All vectors against the query set."""
     vectors, queries = vectors_of(t)
     ratio, score = latent.jl_distortion(vectors, _low(t), queries=queries)
-    return t.spark.createDataFrame([(ratio, score)], "ratio double, score double")
+    return t.spark.createDataFrame([(round(ratio, 6), round(score, 6))], "ratio double, score double")
 
 
-@query("a15_sammon_strain")
+@query("a15_sammon_strain", "", STRAIN_SQL + """ m AS (SELECT median(c) / median(b) AS s FROM d), p AS (SELECT vec_id, CASE WHEN NOT same AND c > 1e-12 THEN pow(c - b * s, 2) / c ELSE 0 END AS strain, CASE WHEN NOT same AND c > 1e-12 THEN c ELSE 0 END AS reach FROM d, m)
+SELECT vec_id AS id, round(sum(strain), 5) AS strain, round((SELECT sum(strain) / (sum(reach) + 1e-9) FROM p), 5) AS stress FROM p GROUP BY vec_id""")
 def a15(t: Tables):
     vectors, queries = vectors_of(t)
-    return latent.sammon_strain(vectors, _low(t), queries=queries)
+    return latent.sammon_strain(vectors, _low(t), queries=queries).select("id", F.round("strain", 5).alias("strain"), F.round("stress", 5).alias("stress"))
 
 
 @query("f05_reduce_2d")
@@ -89,9 +97,19 @@ def _sites(t: Tables):
 @query("r08_ellipse_labels", "", f"""WITH {_SITES_SQL}, p AS (SELECT id, x, y FROM s, range(32) gx(x), range(32) gy(y) WHERE 2 * greatest(major, minor) <= 22.4
   AND pow(((x - 16) * sin(a) - (y - 16) * cos(a)) / greatest(major, 0.5), 2) + pow(((x - 16) * cos(a) + (y - 16) * sin(a)) / greatest(minor, 0.5), 2) <= 1 + 1e-12),
 m AS (SELECT id, count(*) AS area, max(x) - min(x) AS width, max(y) - min(y) AS height FROM p GROUP BY id)
-SELECT id, CASE WHEN 2 * greatest(major, minor) > 22.4 THEN 'skip' WHEN area IS NULL THEN 'fail' ELSE 'ok' END AS status, area FROM s LEFT JOIN m USING (id)""")
+SELECT id, CASE WHEN 2 * greatest(major, minor) > 22.4 THEN 'skip' WHEN area IS NULL THEN 'skip' ELSE 'ok' END AS status, area, CASE WHEN 2 * greatest(major, minor) > 22.4 THEN 'pit-too-large-px=' || CAST(floor(2 * major + 0.5) AS INT) WHEN area IS NULL THEN 'empty-mask' ELSE '' END AS reason FROM s LEFT JOIN m USING (id)""")
 def r08(t: Tables):
-    return shapes.ellipse_labels(_sites(t), "id", 32).select("id", "status", "area")
+    return shapes.ellipse_labels(_sites(t), "id", 32).select("id", "status", "area", "reason")
+
+
+@query("k07_build_annotation_table", "", f"""WITH {_SITES_SQL}, p AS (SELECT id, x, y FROM s, range(32) gx(x), range(32) gy(y) WHERE 2 * greatest(major, minor) <= 22.4
+  AND pow(((x - 16) * sin(a) - (y - 16) * cos(a)) / greatest(major, 0.5), 2) + pow(((x - 16) * cos(a) + (y - 16) * sin(a)) / greatest(minor, 0.5), 2) <= 1 + 1e-12),
+m AS (SELECT id, count(*) AS area, CAST(min(x) AS INT) AS x0, CAST(min(y) AS INT) AS y0, CAST(max(x) - min(x) + 1 AS INT) AS w, CAST(max(y) - min(y) + 1 AS INT) AS h FROM p GROUP BY id)
+SELECT row_number() OVER (ORDER BY id) AS annotation_id, row_number() OVER (ORDER BY id) AS image_id, id, x0 AS bx, y0 AS by, w, h, CAST(area AS DOUBLE) AS area FROM m""")
+def k07_tables(t: Tables):
+    _, found = shapes.annotation_tables(shapes.ellipse_labels(_sites(t), "id", 32), "id", 32, [F.asc("id")])
+    box = [col("bbox")[k].alias(c) for k, c in enumerate(("bx", "by", "w", "h"))]
+    return found.select("annotation_id", "image_id", "id", *box, "area")
 
 
 @query("k07_build_log", "", f"WITH {_SITES_SQL} SELECT CASE WHEN 2 * greatest(major, minor) > 22.4 THEN 'skip' ELSE 'ok' END AS status, count(*) AS count FROM s GROUP BY 1")
@@ -101,8 +119,7 @@ def k07(t: Tables):
 
 @query("p19_adaptive_mask_threshold", "", f"WITH {PIXELS_SQL} SELECT vec_id, round(greatest(0.25, quantile_cont(v, 0.9)), 6) AS threshold FROM px GROUP BY vec_id")
 def p19(t: Tables):
-    px = tiles.pixels(t.embeddings, "vec_id", "embedding", 8)
-    return px.groupBy("vec_id").agg(r6(F.greatest(F.lit(0.25), F.percentile(col("value").cast("double"), 0.9))).alias("threshold"))
+    return t.embeddings.select("vec_id", r6(gates.adaptive_mask_threshold(col("embedding"))).alias("threshold"))
 
 
 @query("j12_match_by_name", "", """WITH f AS (SELECT DISTINCT p_brand || '-x' || p_type AS stem FROM part), n AS (SELECT p_brand AS name, min(p_partkey) AS ord FROM part GROUP BY p_brand),
@@ -128,6 +145,20 @@ def j08(t: Tables):
     return joins.elevation_lookup(t.hits.select("lat", "lon"), first.unionByName(second), 10.0).select("lat", "lon", "height_m")
 
 
+@query("j08_dem_elevation", "hits", """WITH v AS (SELECT *, CAST(floor(lon / 10) AS INT) AS c, CAST(floor((60 - lat) / 10) AS INT) AS r FROM hits),
+f AS (SELECT lat, lon, CASE WHEN lon <= 180 AND least(c, 17) % 4 <> 1 THEN (r * 100 + least(c, 17)) * 0.5e0 + 10 END AS one, CASE WHEN lon >= 90 AND least(c - 9, 26) % 3 <> 0 THEN r * 100 + least(c - 9, 26) + 0.0e0 END AS two FROM (SELECT lat, lon, least(greatest(r, 0), 11) AS r, c FROM v))
+SELECT lat, lon, coalesce(one, two) AS first_m, coalesce(two, one) AS last_m FROM f""")
+def j08_dem(t: Tables):
+    """Two tiles of 10 degree cells that share 90 degrees: the first has nodata in every fourth column, the second misses every third."""
+    tile = "tile_id string, priority int, west double, south double, east double, north double, n_rows int, n_cols int, scale double, offset double, nodata double"
+    grid = t.spark.createDataFrame([("a", 1, 0.0, -60.0, 180.0, 60.0, 12, 18, 0.5, 10.0, -1.0), ("b", 2, 90.0, -60.0, 360.0, 60.0, 12, 27, 1.0, 0.0, None)], tile)
+    cells = grid.select("tile_id", F.explode(F.sequence(F.lit(0), col("n_rows") - 1)).alias("row"), "n_cols").select("tile_id", "row", F.explode(F.sequence(F.lit(0), col("n_cols") - 1)).alias("col"))
+    value = F.when((col("tile_id") == "a") & (col("col") % 4 == 1), -1).otherwise(col("row") * 100 + col("col"))
+    cells = cells.withColumn("value", value).where("NOT (tile_id = 'b' AND col % 3 = 0)")
+    first, last = (joins.dem_elevation(t.hits.select("lat", "lon").distinct(), grid, cells, last=k).withColumnRenamed("height_m", n) for k, n in ((False, "first_m"), (True, "last_m")))
+    return t.hits.select("lat", "lon").join(first, ["lat", "lon"]).join(last, ["lat", "lon"]).select("lat", "lon", "first_m", "last_m")
+
+
 @query("i09_terrain_intersect", "footprints", "SELECT product_id AS ray_id, 0.0e0 AS lat, 500.0e0 AS height_m FROM footprints")
 def i09(t: Tables):
     rays = t.footprints.select(col("product_id").alias("ray_id"), F.lit(3e6).alias("px"), (col("min_lon") * 1000).alias("py"), F.lit(0.0).alias("pz"), F.lit(-1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
@@ -145,18 +176,19 @@ def s03(t: Tables):
     ring = F.array(point("min_lon", "max_lat"), point("max_lon", "max_lat"), point("max_lon", "min_lat"), point("min_lon", "min_lat"))
     attributes = F.struct(col("resolution").alias("Resolution"), col("incidence").alias("Incidence"), col("orbit").alias("Orbit"))
     feature = F.struct(F.struct(F.lower("product_id").alias("label"), attributes.alias("attributes")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    parts = t.footprints.select(feature.alias("f"), (col("orderkey") % 64).alias("part")).groupBy("part").agg(F.collect_list("f").alias("features"))
-    parts.select(F.to_json(F.struct("features")).alias("value"), "part").repartition(64, "part").write.partitionBy("part").text(path)
+    parts = t.footprints.select(feature.alias("f"), F.floor(col("orderkey") / 2000).alias("part")).groupBy("part").agg(F.collect_list("f").alias("features"))  # a file of a bounded size each
+    parts.select(F.to_json(F.struct("features")).alias("value"), "part").write.partitionBy("part").text(path)
     found = sources.read_footprints(t.spark, path)
     return found.select("product_id", r6(col("ul_lon")).alias("ul_lon"), r6(col("ul_lat")).alias("ul_lat"), r6(col("center_lon")).alias("center_lon"), "resolution", "orbit")
 
 
-@query("s07_read_anchors", "anchors", "SELECT anchor_id, (strpos('0123456789abcdef', right(md5(name), 1)) - 1) % 8 AS family, 'Pit Candidate' AS category, 64 AS dim FROM anchors")
+@query("s07_read_anchors", "anchors", "SELECT anchor_id, (strpos('0123456789abcdef', right(md5(name), 1)) - 1) % 8 AS family, 'Pit Candidate' AS category, CASE WHEN anchor_id % 100 = 0 THEN 1 ELSE 64 END AS dim FROM anchors")
 def s07(t: Tables):
-    path = scratch_path(t.spark, "anchors")
-    t.anchors.write.parquet(path)
-    rows = t.spark.read.parquet(path)
-    return rows.select("anchor_id", ids.family_id(col("name")).alias("family"), ids.classify_host(col("name")).alias("category"), F.size("embedding").alias("dim"))
+    """Half of the anchors are compiled too, with vectors of one number that tell them apart."""
+    raw, compiled = scratch_path(t.spark, "anchors"), scratch_path(t.spark, "compiled")
+    t.anchors.write.parquet(raw)
+    t.anchors.where("anchor_id % 100 = 0").withColumn("embedding", F.slice("embedding", 1, 1)).write.parquet(compiled)
+    return sources.read_anchors(t.spark, raw, compiled).select("anchor_id", "family", "category", F.size("embedding").alias("dim"))
 
 
 @query("s08_read_volume_snapshot", "volumes", "SELECT volume_id, ord AS row_count, 'M' || first_key || 'RC' AS first_pid FROM volumes")
@@ -164,7 +196,7 @@ def s08(t: Tables):
     path = scratch_path(t.spark, "snapshot")
     pid = lambda c: F.concat(F.lit("M"), col(c).cast("string"), F.lit("RC"))
     t.volumes.select("volume_id", F.lit("x").alias("index_url"), F.lit(80).alias("record_bytes"), col("ord").cast("int").alias("row_count"), pid("first_key").alias("first_pid"), pid("last_key").alias("last_pid")).write.json(path)
-    return t.spark.read.schema("volume_id string, index_url string, record_bytes int, row_count int, first_pid string, last_pid string").json(path).select("volume_id", col("row_count").cast("long"), "first_pid")
+    return sources.read_volume_snapshot(t.spark, path, lines=True).select("volume_id", col("row_count").cast("long"), "first_pid")
 
 
 @query("s09_read_pit_products", "catalog", "SELECT name AS pit_id, 'M' || id || 'LC' AS product_id FROM catalog UNION ALL SELECT name, 'own' || id FROM catalog WHERE id % 2 = 0")
@@ -174,8 +206,8 @@ def s09(t: Tables):
     i = col("id").cast("string")
     first = entry(F.lit(None), F.concat(F.lit("https://archive.example/M"), i, F.lit("LC.IMG")))
     both = F.when(col("id") % 2 == 0, F.array(first, entry(F.concat(F.lit("own"), i), F.lit("u")))).otherwise(F.array(first))
-    maps = t.catalog.select("name", both.alias("list"), (col("id") % 16).alias("part")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("name", "list"))).alias("m"))
-    maps.select(F.to_json("m").alias("value"), "part").repartition(16, "part").write.partitionBy("part").text(path)
+    maps = t.catalog.select("name", both.alias("list"), F.floor(col("id") / 2000).alias("part")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("name", "list"))).alias("m"))
+    maps.select(F.to_json("m").alias("value"), "part").write.partitionBy("part").text(path)
     return sources.read_pit_products(t.spark, path).select("pit_id", "product_id")
 
 
@@ -186,25 +218,28 @@ def k02(t: Tables):
     path = scratch_path(t.spark, "manifold")
     near = nearest_query(codes_of(t), anchors_of(t)).select(col("id").alias("tile_id"), col("distance").alias("hamming_dist"))
     flat = _low(t).select(col("id").alias("tile_id"), r6(col("v")[0]).alias("x_2d"), r6(col("v")[1]).alias("y_2d"))
-    t.tiles.join(near, "tile_id").join(flat, "tile_id").write.option("compression", "snappy").parquet(path)
+    sources.write_manifold(t.tiles, near, flat, path)
     return t.spark.read.parquet(path).select("product_id", "tile_id", "hamming_dist", "x_2d")
 
 
-@query("k05_write_geojson_features", "hits", "SELECT product_id, round(score, 2) AS area, lon, lat FROM hits")
+@query("k05_write_geojson_features", "hits", """SELECT orderkey * 10 + line AS det_id, round(score, 4) AS score, 12.0e0 AS area, round(lon + 2, 3) AS centroid_x, round(lat + 1.5, 3) AS centroid_y, 5 AS points FROM hits""")
 def k05(t: Tables):
+    """Two boxes a detection, of areas 2 and 12, and one that is no ring."""
     path = scratch_path(t.spark, "geojson")
-    geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct("product_id", F.round("score", 2).alias("area")).alias("properties"), geometry.alias("geometry"))
-    t.hits.select(F.to_json(feature).alias("value")).write.text(path)
-    back = t.spark.read.schema("properties struct<product_id:string,area:double>, geometry struct<coordinates:array<double>>").json(path)
-    return back.select("properties.product_id", "properties.area", col("geometry.coordinates")[0].alias("lon"), col("geometry.coordinates")[1].alias("lat"))
+    point = lambda x, y: F.struct((col("lon") + x).alias("lon"), (col("lat") + y).alias("lat"))
+    box = lambda w, h: F.array(point(0, 0), point(w, 0), point(w, h), point(0, h))
+    dets = t.hits.select((col("orderkey") * 10 + col("line")).alias("det_id"), "class", "score", F.array(box(2, 1), box(4, 3), F.array(point(0, 0))).alias("rings"))
+    sources.write_geojson_features(dets, path)
+    back = t.spark.read.schema("properties struct<det_id:bigint,score:double,area:double>, geometry struct<coordinates:array<array<array<double>>>>").json(path)
+    found = back.select("properties.*", F.size(col("geometry.coordinates")[0]).cast("long").alias("points"))
+    return found.join(sources.geojson_features(dets).select("det_id", "centroid_x", "centroid_y"), "det_id").select("det_id", "score", "area", "centroid_x", "centroid_y", "points")
 
 
 @query("k06_write_splits", "hits", """WITH r AS (SELECT supp, row_number() OVER (PARTITION BY supp ORDER BY score, orderkey, partkey, line) - 1 AS r, count(*) OVER (PARTITION BY supp) AS n FROM hits)
 SELECT supp, CASE WHEN r < n - floor(n * 0.1) - floor(n * 0.2) THEN 'train' WHEN r < n - floor(n * 0.2) THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM r GROUP BY 1, 2""")
 def k06(t: Tables):
     path = scratch_path(t.spark, "splits")
-    evaluation.sequential_splits(t.hits, "supp", ["score", "orderkey", "partkey", "line"], {"train": 0.7, "val": 0.1, "test": 0.2}).write.partitionBy("split").parquet(path)
+    sources.write_splits(t.hits, path, "supp", ["score", "orderkey", "partkey", "line"], {"train": 0.7, "val": 0.1, "test": 0.2})
     return t.spark.read.parquet(path).groupBy("supp", "split").agg(F.count("*").alias("n"))
 
 
@@ -212,46 +247,137 @@ def k06(t: Tables):
 
 
 def _log_lines(t: Tables):
-    text = F.when(col("event_type") == "view", F.concat(F.lit("selected "), (col("event_id") % 40).cast("string"), F.lit(" products"))).when(col("event_type") == "click", F.concat(F.lit("node complete: M"), col("user_id").cast("string"))).when(
-        (col("event_type") == "purchase") & (col("event_id") % 97 == 0), F.concat(F.lit("pipeline time: "), F.round("value", 1).cast("string"))).otherwise("noise")
-    return t.events.select(F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("band="), (col("user_id") % 200).cast("string")), text).alias("value"))
-
-
-@query("x01_parse_scan_log", "", """SELECT user_id % 200 AS band, CASE event_type WHEN 'view' THEN 'selected' WHEN 'click' THEN 'node_complete' ELSE 'pipeline_time' END AS kind, count(*) AS n FROM events WHERE event_type IN ('view', 'click') OR (event_type = 'purchase' AND event_id % 97 = 0) GROUP BY 1, 2""")
+    """A log for each user number modulo 200, its lines in order of event_id."""
+    n = lambda k: (col("event_id") % k).cast("string")
+    text = F.when(col("event_type") == "signup", F.lit("PARAMETER CHECK: min_inc: 30.0 max_inc: 60.0")).when(
+        col("event_type") == "view", F.concat(F.lit("Selected "), n(9), F.lit(" images covering "), n(100), F.lit(".5% of ROI"))).when(
+        col("event_type") == "click", F.concat(F.lit("NODE COMPLETE: lattice frame M"), col("user_id").cast("string"))).when(
+        (col("event_type") == "purchase") & (col("event_id") % 7 == 0), F.concat(F.lit("Total Pipeline Execution Time  \u2502 "), n(500), F.lit(".5 s"))).otherwise("noise")
+    stamp = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] INFO "))
+    return t.events.select((col("user_id") % 200).cast("string").alias("log"), col("event_id").alias("at"), F.concat(stamp, text).alias("value"))
+
+
+LOG_SQL = """WITH e AS (SELECT CAST(user_id % 200 AS VARCHAR) AS log, date_trunc('second', ts) AS ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'selected' WHEN 'click' THEN 'node_complete' ELSE 'pipeline_time' END AS kind, event_id AS x
+  FROM events WHERE event_type IN ('signup', 'view', 'click') OR (event_type = 'purchase' AND event_id % 7 = 0)),
+r AS (SELECT *, count(*) FILTER (kind = 'start') OVER (PARTITION BY log ORDER BY x) AS run FROM e), p AS (SELECT *, (run - 1) % 10 AS band FROM r WHERE run > 0),
+f AS (SELECT *, count(*) FILTER (kind = 'node_complete') OVER w AS so_far, last_value(CASE WHEN kind = 'selected' THEN x % 9 END IGNORE NULLS) OVER (PARTITION BY log, run ORDER BY x ROWS UNBOUNDED PRECEDING) AS planned FROM p WINDOW w AS (PARTITION BY log, run ORDER BY x)),
+g AS (SELECT log, band, run, arg_max(x % 9, x) FILTER (kind = 'selected') AS planned, arg_max(x % 100 + 0.5, x) FILTER (kind = 'selected') AS coverage, count(*) FILTER (kind = 'node_complete') AS done, arg_max(x % 500 + 0.5, x) FILTER (kind = 'pipeline_time') AS seconds,
+      CASE WHEN bool_or(kind = 'pipeline_time') OR bool_or(planned > 0 AND so_far >= planned) THEN 'done' ELSE 'running' END AS status, arg_min(ts, x) AS first_ts, arg_max(ts, x) AS last_ts FROM f GROUP BY log, band, run),
+s AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY log, band ORDER BY run DESC) = 1)"""
+
+
+@query("x01_parse_scan_log", "", LOG_SQL + """ SELECT log, x AS place, ts, kind, CASE WHEN kind = 'selected' THEN CAST(x % 9 AS VARCHAR) WHEN kind = 'pipeline_time' THEN (x % 500) || '.5' END AS arg, CASE WHEN kind = 'selected' THEN x % 100 + 0.5e0 END AS share FROM e""")
 def x01(t: Tables):
-    return scanlog.parse_scan_log(_log_lines(t)).groupBy("band", "kind").agg(F.count("*").alias("n"))
+    arg = F.when(col("kind").isin("selected", "pipeline_time"), col("arg"))
+    return scanlog.parse_scan_log(_log_lines(t)).select("log", col("at").alias("place"), col("ts").cast("timestamp_ntz").alias("ts"), "kind", arg.alias("arg"), "share")
 
 
-@query("x02_band_state", "", """WITH b AS (SELECT user_id % 200 AS band, max(event_id % 40) FILTER (event_type = 'view') AS planned, count(*) FILTER (event_type = 'click') AS done, bool_or(event_type = 'purchase' AND event_id % 97 = 0) AS ended, count(*) FILTER (event_type IN ('view', 'click') OR (event_type = 'purchase' AND event_id % 97 = 0)) AS n FROM events GROUP BY 1)
-SELECT band, planned, done, CASE WHEN ended OR (planned IS NOT NULL AND done >= planned) THEN 'done' WHEN done > 0 THEN 'running' ELSE 'pending' END AS status FROM b WHERE n > 0""")
-def x02(t: Tables):
-    return scanlog.band_states(scanlog.parse_scan_log(_log_lines(t))).select("band", "planned", "done", "status")
+def _states(t: Tables):
+    return scanlog.band_states(scanlog.place_events(scanlog.parse_scan_log(_log_lines(t))))
 
 
-@query("f07_refine", "", f"""WITH {COSINE_SQL[5:]}, m AS (SELECT vec_id, max(similarity) AS similarity FROM s GROUP BY vec_id),
-g AS (SELECT vec_id, similarity FROM m WHERE similarity >= CASE WHEN (SELECT count(DISTINCT anchor_id) FROM s) < 10 THEN 0.05 WHEN (SELECT count(DISTINCT anchor_id) FROM s) < 20 THEN 0.1 WHEN (SELECT count(DISTINCT anchor_id) FROM s) < 50 THEN 0.75 ELSE 0.85 END)
-SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM g""")
+@query("x02_band_state", "", LOG_SQL + " SELECT log, band, planned, CAST(coverage AS DOUBLE) AS coverage, done, CAST(seconds AS DOUBLE) AS seconds, status, first_ts, last_ts FROM s")
+def x02(t: Tables):
+    found = _states(t).withColumns({c: col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+    return found.select("log", "band", "planned", "coverage", "done", "seconds", "status", "first_ts", "last_ts")
+
+
+_BANDS_SQL = "(VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(scanlog.BANDS)) + ") v(band, min_lat, max_lat)"
+
+
+@query("a12_band_progress", "", LOG_SQL + f""", one AS (SELECT band, sum(planned) AS planned, sum(done) AS done, avg(coverage) AS coverage, sum(seconds) AS seconds, max(status) AS status, min(first_ts) AS first_ts, max(last_ts) AS last_ts FROM s WHERE band % 3 <> 1 GROUP BY band),
+b AS (SELECT v.*, abs(sin(radians(v.max_lat)) - sin(radians(v.min_lat))) AS area, planned, coalesce(done, 0) AS done, coverage, seconds, status, first_ts, last_ts, coalesce(planned > 0, false) AS known FROM {_BANDS_SQL} LEFT JOIN one USING (band)),
+d AS (SELECT avg(planned / area) FILTER (known AND band NOT IN (0, 9)) AS density, coalesce(sum(coalesce(seconds, 0) / 4) FILTER (known AND status = 'done') / sum(planned) FILTER (known AND status = 'done'), 18) AS pace, list(band) FILTER (known) AS ks FROM b),
+c AS (SELECT *, CASE WHEN known THEN planned WHEN band IN (0, 9) THEN 545 WHEN density IS NOT NULL THEN round_even(density * area / 25, 0) * 25 ELSE 8886 END AS images, epoch(last_ts) - epoch(first_ts) AS elapsed FROM b, d)
+SELECT band, CAST(images AS BIGINT) AS images, CAST(done AS BIGINT) AS done, round(coalesce(coverage, 0), 6) AS coverage, CAST(coalesce(seconds, 0) AS DOUBLE) AS seconds, coalesce(status, 'pending') AS status,
+CASE WHEN known THEN 'REAL' WHEN list_contains(ks, 9 - band) THEN 'HIGH' WHEN density IS NOT NULL THEN 'MED' ELSE 'LOW' END AS confidence,
+round(CASE WHEN status = 'running' AND elapsed > 300 AND done > 10 THEN done / elapsed * 3600 END, 6) AS per_hour, round(CASE WHEN status = 'done' THEN 0 ELSE greatest(images - done, 0) END * pace, 4) AS estimate_s FROM c""")
+def a12(t: Tables):
+    """All logs' bands added up, as if one scan had run in many logs; every third band was not begun."""
+    one = _states(t).where("band % 3 <> 1").groupBy("band").agg(
+        F.sum("planned").alias("planned"), F.sum("done").alias("done"), F.avg("coverage").alias("coverage"), F.sum("seconds").alias("seconds"), F.max("status").alias("status"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+    )
+    found = aggregates.band_progress(one, scanlog.BANDS)
+    return found.select("band", "images", "done", r6(col("coverage")).alias("coverage"), "seconds", "status", "confidence", r6(col("per_hour")).alias("per_hour"), F.round("estimate_s", 4).alias("estimate_s"))
+
+
+def _run(stream, mode: str, path: str, where: str):
+    """A stream's result up to what is there now, written as Parquet (append mode) and read again."""
+    stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{where}-marks").trigger(availableNow=True).start(path).awaitTermination()
+
+
+@query("x04_new_arrivals", "volumes", "SELECT volume_id, CASE WHEN ord % 3 = 0 THEN 1 ELSE 2 END AS sweep FROM volumes")
+def x04(t: Tables):
+    """Two sweeps' snapshots: a third of the volumes is in the first, all are in the second."""
+    into, out = scratch_path(t.spark, "snapshots"), scratch_path(t.spark, "arrivals")
+    rows = t.volumes.select("volume_id", "ord", F.explode(F.array(F.lit(1), F.lit(2))).alias("sweep")).where("sweep = 2 OR ord % 3 = 0")
+    rows = rows.withColumn("ts", F.timestamp_seconds(col("sweep") * 86_400))
+    for sweep in (1, 2):  # the stream reads what one sweep has left, then the next
+        rows.where(col("sweep") == sweep).write.mode("append").parquet(into)
+        _run(scanlog.new_arrivals(t.spark.readStream.schema(rows.schema).parquet(into)), "append", out, out)
+    return t.spark.read.parquet(out).select("volume_id", "sweep")
+
+
+@query("x05_incremental_ingest", "tiles", "SELECT product_id, tile_id, CASE WHEN product_id < 'M100000002RC' THEN 1 ELSE 2 END AS written FROM tiles")
+def x05(t: Tables):
+    """Two deliveries; the second repeats the products of the first, which are skipped."""
+    into, out = scratch_path(t.spark, "tiles"), scratch_path(t.spark, "index")
+    rows = t.tiles.select("product_id", "tile_id")
+    first, second = rows.where("product_id < 'M100000002RC'").withColumn("written", F.lit(1)), rows.withColumn("written", F.lit(2))
+    for delivery in (first, second):
+        delivery.write.mode("append").parquet(into)
+        scanlog.incremental_ingest(t.spark.readStream.schema(second.schema).parquet(into), out, f"{out}-marks").awaitTermination()
+    return t.spark.read.parquet(out).select("product_id", "tile_id", "written")
+
+
+@query("x08_late_rows", "", """WITH b AS (SELECT event_id, ts, event_id % 2 AS batch FROM events), m AS (SELECT max(ts) AS newest FROM b WHERE batch = 0)
+SELECT event_id, batch = 1 AND ts < newest - INTERVAL 600 SECONDS AS late FROM b, m""")
+def x08(t: Tables):
+    """Events in two batches: of the second, those that are too old for the first's latest time are rejected."""
+    into, out = scratch_path(t.spark, "events"), scratch_path(t.spark, "split")
+    rows = t.events.select("event_id", "ts")
+    to = lambda late: lambda batch, number: batch.select("event_id", F.lit(late).alias("late")).write.mode("overwrite").parquet(f"{out}/late={str(late).lower()}/number={number}")
+    for k in (0, 1):
+        rows.where(col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(into)
+        stream = t.spark.readStream.schema(rows.schema).parquet(into).writeStream.option("checkpointLocation", f"{out}-marks").trigger(availableNow=True)
+        stream.foreachBatch(scanlog.split_late(to(False), to(True), f"{out}-times")).start().awaitTermination()
+    return t.spark.read.schema("event_id long, late boolean").parquet(f"{out}/late=false/number=*", f"{out}/late=true/number=*")
+
+
+@query("f07_refine", "tiles", f"""WITH RECURSIVE {COSINE_SQL[5:]}, m AS (SELECT vec_id, max(similarity) AS similarity FROM s GROUP BY vec_id),
+n AS (SELECT row_number() OVER (ORDER BY similarity DESC, vec_id) AS id, vec_id, similarity, lat, lon FROM m JOIN tiles ON tile_id = vec_id WHERE similarity >= CASE WHEN (SELECT count(DISTINCT anchor_id) FROM s) < 10 THEN 0.05 WHEN (SELECT count(DISTINCT anchor_id) FROM s) < 20 THEN 0.1 WHEN (SELECT count(DISTINCT anchor_id) FROM s) < 50 THEN 0.75 ELSE 0.85 END),
+{sphere_sql(150)}, {rounds_sql()} SELECT vec_id, similarity, row_number() OVER (ORDER BY id) AS rank FROM kept""")
 def f07_refine(t: Tables):
-    from .scan import refine
-
     vectors, queries = vectors_of(t)
-    return refine(vectors.withColumn("score", F.lit(1.0)), queries).select(col("id").alias("vec_id"), "similarity", "rank")
+    places = t.tiles.select(col("tile_id").alias("id"), "lat", "lon")
+    return scan.refine(vectors.withColumn("score", F.lit(1.0)).join(places, "id"), queries).select(col("id").alias("vec_id"), "similarity", "rank")
 
 
-@query("f07_classify", "", f"WITH {PIXELS_SQL}, n AS (SELECT vec_id, count(*) FILTER (v < -0.05) AS s, count(*) FILTER (v > 0.05) AS e FROM px GROUP BY vec_id) SELECT CASE WHEN s < 10 OR e < 10 THEN 'thin' ELSE 'measured' END AS kind, count(*) AS n FROM n GROUP BY 1")
+@query("f07_classify", "tiles catalog", f"""WITH {PHYSICS_SQL}, k AS (SELECT h.vec_id, lat, lon, CASE WHEN h.vec_id % 100 < 20 THEN 'score' WHEN coalesce(n.k, 0) < 20 THEN 'shadow' WHEN coalesce(m.k, 0) < 15 THEN 'edge' WHEN NOT (err < 45 AND ratio >= 0.1) THEN 'physics' WHEN depth < 0.1 THEN 'depth' WHEN err > 30 THEN 'alignment' WHEN h.vec_id % 10 < 2 THEN 'decision' ELSE 'valid' END AS reason
+  FROM h LEFT JOIN (SELECT vec_id, count(*) AS k FROM sm GROUP BY vec_id) n USING (vec_id) LEFT JOIN (SELECT vec_id, count(*) AS k FROM em GROUP BY vec_id) m USING (vec_id) JOIN tiles ON tile_id = h.vec_id),
+d AS (SELECT vec_id, min(1737400.0 * sqrt(pow(radians(k.lat - c.latitude), 2) + pow(radians((k.lon - c.longitude + 540) % 360 - 180) * cos(radians((k.lat + c.latitude) / 2)), 2))) AS m FROM k JOIN catalog c ON abs(k.lat - c.latitude) < 2 GROUP BY vec_id)
+SELECT vec_id, reason, CASE WHEN reason <> 'valid' THEN 'rejected' WHEN coalesce(m, 1e9) <= 30000 THEN 'ground_truth_pit_match' ELSE 'potential_new_pit_discovery' END AS class FROM k LEFT JOIN d USING (vec_id)""")
 def f07_classify(t: Tables):
-    kind = F.when(col("error_deg") == 180.0, "thin").otherwise("measured")
-    return physics_of(t).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    tiles = t.tiles.select(col("tile_id").alias("id"), "lat", "lon")
+    hits = tiles.withColumns({"score": (col("id") % 100) / 100, "votes": col("id") % 8, "azimuth": F.pmod(col("id").cast("double"), F.lit(360.0)), "incidence": F.lit(60.0)})
+    masks = masks_of(t).withColumnRenamed("vec_id", "id")
+    found = scan.classify(hits, masks, t.catalog, (col("id") % 10) / 10, 30_000.0, {"score": 0.2, "shadow_px": 20, "depth_m": 0.1})
+    return found.select(col("id").alias("vec_id"), "reason", "class")
+
+
+@query("f07_generate_candidates", "tiles anchors", f"WITH {ANCHORS_SQL} SELECT tile_id, product_id, bit_count(bit_or(1 << family)) AS votes, min(d) AS best FROM p JOIN tiles ON tile_id = vec_id WHERE d <= threshold GROUP BY ALL")
+def f07_candidates(t: Tables):
+    return scan.generate_candidates(vectors_of(t)[0], t.anchors, t.tiles).select("tile_id", "product_id", "votes", "best")
 
 
 @query("f07_scan_roi")
 def f07_scan_roi(t: Tables):
-    """A region's cover, then the tiles of its products: by cover, since stand-in products of both tables differ in name."""
-    from ..operators import coverage
-
-    picks = coverage.select_coverage(t.footprints, (1.0, 1.0, 4.0, 4.0), 0.1)
-    chosen = t.spark.createDataFrame([(k, p) for k, (p, _) in enumerate(picks)], "pick int, product_id string")
-    return t.footprints.join(chosen, "product_id").select("pick", "product_id", "orbit")
+    """A region's cover by the products' boxes, then the scan of its tiles; the test composes the same by hand."""
+    box = [f(c).alias(n) for f, c, n in ((F.min, "lon", "min_lon"), (F.min, "lat", "min_lat"), (F.max, "lon", "max_lon"), (F.max, "lat", "max_lat"))]
+    footprints = t.tiles.groupBy("product_id").agg(*box).withColumns({"orbit": F.lit(1).cast("long"), "resolution": F.lit(None).cast("double"), "incidence": F.lit(None).cast("double")})
+    low, west = t.tiles.agg(F.min("lat")).first()[0], 300.0
+    return scan.scan_roi(footprints, (west + 0.004, low, west + 0.036, 10.0), vectors_of(t)[0], t.anchors, t.tiles, 0.002)
 
 
 @query("i07_spectral_coords")

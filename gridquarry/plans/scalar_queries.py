@@ -194,6 +194,25 @@ def m10(t: Tables):
     return t.footprints.select("product_id", r6(geo.rect_overlap_area(box, [F.lit(x) for x in (2.5, 1.5, 5.5, 6.5)])).alias("shared"), r6(geo.polygon_area(ring)).alias("area"))
 
 
+@query("m10_convex_clip", "footprints", """WITH b AS (SELECT product_id, greatest(least(max_lon, 5.5) - greatest(min_lon, 2.5), 0) AS w, greatest(least(max_lat, 6.5) - greatest(min_lat, 1.5), 0) AS h, max_lon - min_lon AS a, max_lat - min_lat AS b FROM footprints)
+SELECT product_id, round(w * h, 6) AS shared, round(a * b / 2, 6) AS half, round(w * h, 6) AS turned FROM b""")
+def m10_clip(t: Tables):
+    """Boxes against a box, that runs one way and the other, and against a triangle that is half of each."""
+    point = lambda x, y: F.struct((col(x) if isinstance(x, str) else F.lit(x)).alias("lon"), (col(y) if isinstance(y, str) else F.lit(y)).alias("lat"))
+    box = F.array(point("min_lon", "min_lat"), point("max_lon", "min_lat"), point("max_lon", "max_lat"), point("min_lon", "max_lat"))
+    region = F.array(*[point(x, y) for x, y in ((2.5, 1.5), (5.5, 1.5), (5.5, 6.5), (2.5, 6.5))])
+    half = F.array(point("min_lon", "min_lat"), point("max_lon", "min_lat"), point("min_lon", "max_lat"))
+    return t.footprints.select(
+        "product_id", r6(geo.convex_clip_area(box, region)).alias("shared"), r6(geo.convex_clip_area(box, half)).alias("half"), r6(geo.convex_clip_area(F.reverse(box), F.reverse(region))).alias("turned"),
+    )
+
+
+@query("m12_metric_axes", "", "SELECT p_partkey AS id, greatest(p_size / 1.5e0 / 2, 0.5) AS a, greatest(CASE WHEN p_size % 3 = 0 THEN p_size ELSE p_size / 4.0e0 END / 1.5 / 2, 0.5) AS b FROM part")
+def m12_axes(t: Tables):
+    a, b = geo.metric_axes(col("p_size").cast("double"), F.when(col("p_size") % 3 != 0, col("p_size") / 4), F.lit(1.5))
+    return t.part.select(col("p_partkey").alias("id"), a.alias("a"), b.alias("b"))
+
+
 @query("m12_in_ellipse", "hits", """
 WITH p AS (SELECT x_offset AS x, y_offset AS y, (x_offset - 2400) * sin(radians(30)) - (y_offset - 26000) * cos(radians(30)) AS a, (x_offset - 2400) * cos(radians(30)) + (y_offset - 26000) * sin(radians(30)) AS b FROM hits)
 SELECT x, y, pow(a / 20000, 2) + pow(b / 9000, 2) <= 1 + 1e-12 AS inside FROM p""")
@@ -216,13 +235,31 @@ def m14(t: Tables):
     return t.hits.select("lat", "lon", r6(lon).alias("lon2"), r6(lat).alias("lat2"))
 
 
-@query("m15_envelope_lonlat", "footprints", "SELECT product_id, round(min_lon + 0.25 * (max_lon - min_lon), 6) AS lon, round(max_lat - 0.5 * (max_lat - min_lat), 6) AS lat FROM footprints")
+@query("m15_envelope_lonlat", "footprints", """WITH b AS (SELECT product_id, CASE WHEN orderkey % 5 = 0 THEN 0 ELSE min_lon END AS a, CASE WHEN orderkey % 5 < 2 THEN -90 ELSE min_lat END AS b, CASE WHEN orderkey % 5 = 0 THEN 0 ELSE max_lon END AS c,
+  CASE WHEN orderkey % 5 = 0 THEN -75 WHEN orderkey % 5 = 1 THEN -90 ELSE max_lat END AS d FROM footprints)
+SELECT product_id, round(a + 0.25 * (c - a), 6) AS lon, round(b + 0.5 * (d - b), 6) AS lat FROM b""")
 def m15(t: Tables):
-    bounds = tuple(col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
+    """Of some footprints all bounds are null, of some the latitudes are NaN."""
+    k, nan = col("orderkey") % 5, F.lit(float("nan"))
+    bounds = tuple(F.when(k > 1, col(c)).when(k == 1, nan if "lat" in c else col(c)) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
     lon, lat = geo.envelope_lonlat(F.lit(25.0), F.lit(50.0), F.lit(100.0), F.lit(100.0), bounds)
     return t.footprints.select("product_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
+@query("f03_coordinate_chain", "footprints", """SELECT product_id, CASE orderkey % 4 WHEN 0 THEN 7.5 WHEN 1 THEN round(min_lon + 0.25 * (max_lon - min_lon), 6) ELSE round(min_lon + 0.5 * (max_lon - min_lon), 6) END AS lon,
+  CASE orderkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN round(max_lat - 0.5 * (max_lat - min_lat), 6) ELSE round(min_lat + 0.25 * (max_lat - min_lat), 6) END AS lat FROM footprints""")
+def f03(t: Tables):
+    """A quarter of the footprints has a pose, a quarter only corners; of the others one lacks, or is not a number or nowhere."""
+    fp, lons, lats = _pixel(t)
+    k = col("orderkey") % 4
+    pose = F.when(k == 0, 7.5).when(k == 1, F.lit(float("nan"))), F.when(k <= 1, 0.0)
+    corners = geo.pixel_to_lonlat(F.lit(250), F.lit(1000), F.lit(1001), F.lit(2001), lons, lats)
+    corners = tuple(F.when(k <= 1, c).when(k == 3, F.lit(0.0)) for c in corners)
+    bounds = tuple(col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
+    lon, lat = geo.first_place(pose, corners, geo.envelope_lonlat(F.lit(500), F.lit(500), F.lit(1000), F.lit(2000), bounds))
+    return fp.select("product_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
+
+
 @query("m16_calibrate", "hits", "SELECT product_id, round((score * 0.5 + 3) / max(score * 0.5 + 3) OVER (PARTITION BY product_id), 6) AS v FROM hits")
 def m16(t: Tables):
     from ..functions.raster import calibrate

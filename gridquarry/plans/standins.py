@@ -64,5 +64,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(names: str, body: str) -> str:
     """DuckDB SQL: body over the named stand-ins."""
+    body = body.strip()
+    if not names:
+        return body
     views = ", ".join(f"{n} AS ({TEXT[n].strip()})" for n in names.split())
-    return f"WITH {views}{', ' + body.strip()[5:] if body.strip().startswith('WITH ') else ' ' + body.strip()}" if names else body
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
+    return f"WITH {views} {body}"

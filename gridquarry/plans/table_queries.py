@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, ids, raster
-from ..operators import aggregates, coverage, evaluation, gates, joins, nms, search, tiles
+from ..operators import aggregates, coverage, evaluation, gates, joins, nms, order, search, tiles
 from ..session import scratch_path, stage
 from ..sources import tables as sources
 from .registry import Tables, query
@@ -14,8 +14,8 @@ from .scalar_queries import CODES_SQL, r6
 col = F.col
 ANCHORS_SQL = f"""{CODES_SQL},
 a0 AS (SELECT anchor_id, code AS acode, (strpos('0123456789abcdef', right(md5(name), 1)) - 1) % 8 AS family FROM anchors JOIN codes ON anchor_id = vec_id),
-n AS (SELECT family, count(*) AS n FROM a0 GROUP BY family),
-a AS (SELECT anchor_id, acode, family, least(63, greatest(16, 26 - greatest(1, 10 - n // 4))) AS threshold FROM a0 JOIN n USING (family)),
+fam AS (SELECT family, count(*) AS n FROM a0 GROUP BY family),
+a AS (SELECT anchor_id, acode, family, least(63, greatest(16, 26 - greatest(1, 10 - n // 4))) AS threshold FROM a0 JOIN fam USING (family)),
 p AS (SELECT anchor_id, family, threshold, vec_id, bit_count(xor(code, acode)) AS d FROM codes, a)"""
 
 
@@ -34,6 +34,10 @@ def vectors_of(t: Tables):
     return t.embeddings.select(col("vec_id").alias("id"), col("embedding").alias("v")), t.anchors.select(col("anchor_id").alias("query"), col("embedding").alias("v"))
 
 
+def _priority():
+    return [(-col("score")).alias("s"), col("orderkey"), col("partkey"), col("line")]
+
+
 # --- search -------------------------------------------------------------------------------------------------------
 
 
@@ -68,9 +72,8 @@ SELECT s.anchor_id, s.vec_id, round(least(greatest(1 - similarity, 0), 2), 6) AS
 def j15(t: Tables):
     vectors, queries = vectors_of(t)
     near = search.hamming_range(codes_of(t), anchors_of(t).withColumn("threshold", F.lit(64))).select("query", "id", "distance")
-    far = search.cosine_knn(vectors, queries, vectors.count())
-    distance = F.least(F.greatest(1 - col("similarity"), F.lit(0.0)), F.lit(2.0))
-    return far.join(near, ["query", "id"]).select(col("query").alias("anchor_id"), col("id").alias("vec_id"), r6(distance).alias("cosine_distance"), col("distance").alias("hamming"))
+    far = search.cosine_distances(vectors, queries)
+    return far.join(near, ["query", "id"]).select(col("query").alias("anchor_id"), col("id").alias("vec_id"), r6(col("cosine_distance")).alias("cosine_distance"), col("distance").alias("hamming"))
 
 
 @query("j17_contrastive", "anchors", f"""WITH {ANCHORS_SQL}, g AS (SELECT vec_id, min(d) FILTER (anchor_id % 100 = 0) AS d_pos, min(d) FILTER (anchor_id % 100 <> 0) AS d_neg FROM p GROUP BY vec_id)
@@ -105,14 +108,14 @@ def p09(t: Tables):
 
 
 @query("x03_delta_index", "anchors", f"""WITH {CODES_SQL}, live AS (SELECT vec_id AS id, code FROM codes WHERE vec_id % 10 >= 2 UNION ALL SELECT vec_id, xor(code, 7) FROM codes WHERE vec_id % 10 = 1)
-SELECT id, bit_count(xor(code, (SELECT code FROM codes WHERE vec_id = 50))) AS d FROM live""")
+SELECT anchor_id, id, bit_count(xor(live.code, codes.code)) AS d FROM live, codes JOIN anchors ON anchor_id = vec_id""")
 def x03(t: Tables):
     main = codes_of(t)
     changed = main.where("id % 10 < 2").withColumn("seq", F.lit(1)).withColumn("deleted", F.lit(False))
     last = changed.withColumn("seq", F.lit(2)).withColumn("deleted", col("id") % 10 == 0).withColumn("v", F.transform("v", lambda w: w.bitwiseXOR(F.lit(7).cast("long"))))
     live = search.merge_delta(main, changed.unionByName(last))
-    probe = main.where("id = 50").select(col("id").alias("query"), "v", F.lit(64).alias("threshold"))
-    return search.hamming_range(live, probe).select("id", col("distance").alias("d"))
+    found = search.hamming_range(live, anchors_of(t).withColumn("threshold", F.lit(64)))
+    return found.select(col("query").alias("anchor_id"), "id", col("distance").alias("d"))
 
 
 @query("f08_top_hit_provenance", "tiles anchors", f"""WITH {ANCHORS_SQL}, m AS (SELECT vec_id, min(d) AS d, min(anchor_id) FILTER (d = md) AS anchor_id FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS md FROM p) GROUP BY vec_id)
@@ -179,8 +182,7 @@ def j07_missed(t: Tables):
 
 @query("a17_catalog_recall", "hits catalog", "WITH " + NEAREST_SQL.replace("LIMIT_M", "300") + " SELECT count(b.name) AS matched, count(*) AS n, count(b.name) / count(*) AS rate FROM hits h LEFT JOIN b USING (lat, lon)")
 def a17(t: Tables):
-    found = joins.nearest_site(t.hits.select("lat", "lon"), t.catalog, 300.0)
-    return found.agg(F.count("name").alias("matched"), F.count("*").alias("n")).withColumn("rate", col("matched") / col("n"))
+    return joins.catalog_recall(t.hits.select("lat", "lon"), t.catalog, 300.0)
 
 
 @query("p08_exclude_known_sites", "hits", "SELECT lat, lon, CASE WHEN abs(lat - 10) < 0.5 AND abs(lon - 20) < 0.5 THEN 'a' WHEN abs(lat + 30) < 1 AND abs(lon - 300) < 1 THEN 'b' END AS site FROM hits")
@@ -191,8 +193,8 @@ def p08(t: Tables):
 @query("j10_pit_product_pairs", "catalog", """SELECT id, CASE WHEN id % 3 = 0 THEN 'own' || id WHEN id % 3 = 1 THEN 'mapped' || id END AS product_id FROM catalog""")
 def j10(t: Tables):
     own = t.catalog.select("id", F.when(col("id") % 3 == 0, F.array(F.concat(F.lit("own"), col("id").cast("string")))).otherwise(F.array().cast("array<string>")).alias("reference_nac"))
-    mapping = t.catalog.where("id % 3 <= 1").select("id", F.array(F.concat(F.lit("mapped"), col("id").cast("string")), F.lit("other")).alias("list"))
-    return own.join(mapping, "id", "left").select("id", F.coalesce(F.get("reference_nac", F.lit(0)), F.get("list", F.lit(0))).alias("product_id"))
+    mapping = t.catalog.where("id % 3 <= 1").select("id", F.array(F.concat(F.lit("mapped"), col("id").cast("string")), F.lit("other")).alias("products"))
+    return joins.pit_product_pairs(own, mapping, "id")
 
 
 @query("j11_new_only", "volumes", "SELECT volume_id FROM volumes WHERE ord % 4 <> 0")
@@ -223,6 +225,14 @@ def j18(t: Tables):
     return joins.as_of(t.events.select("event_id", "user_id", "ts"), last, "user_id", "ts", "orderkey").select("event_id", "orderkey")
 
 
+@query("j18_exact_pose", "", "SELECT l_orderkey AS product, l_linenumber AS line, l_partkey AS sample, o_totalprice AS px FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 3")
+def j18_exact(t: Tables):
+    """Pixels (product, line, sample) with the pose of exactly their line; poses are there for the first three lines."""
+    pixels = t.lineitem.select(col("l_orderkey").alias("product"), col("l_linenumber").alias("line"), col("l_partkey").alias("sample"))
+    poses = t.orders.select(col("o_orderkey").alias("product"), F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("line"), col("o_totalprice").alias("px"))
+    return joins.pixel_poses(pixels, poses, ["product", "line"])
+
+
 @query("j19_grid_tasks", "footprints", """SELECT product_id AS roi_id, round(greatest(min_lon, i * 0.5), 6) AS x0, round(greatest(min_lat, j * 0.5), 6) AS y0, round(least(max_lon, (i + 1) * 0.5), 6) AS x1, round(least(max_lat, (j + 1) * 0.5), 6) AS y1
 FROM footprints, range(30) a(i), range(30) b(j) WHERE least(max_lon, (i + 1) * 0.5) > greatest(min_lon, i * 0.5) AND least(max_lat, (j + 1) * 0.5) > greatest(min_lat, j * 0.5)""")
 def j19(t: Tables):
@@ -254,20 +264,23 @@ def a06(t: Tables):
     return found.select("y", "n", *[r6(col(c)).alias(c) for c in ("mean", "std", "below_35", "below_20")])
 
 
-@query("a07_precision_at_k", "scored", """WITH r AS (SELECT y, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM scored)
-SELECT k, round(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) / count(*), 6) AS precision, round(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) / (SELECT count(*) FROM scored WHERE y = 1), 6) AS recall FROM r, (VALUES (10), (50), (100)) v(k) WHERE rank <= k GROUP BY k""")
+@query("a07_precision_at_k", "scored", """WITH r AS (SELECT y, delta_h < 0.35 AS ok, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM scored), c AS (SELECT count(*) AS positives FROM scored WHERE y = 1),
+k AS (SELECT k, count(*) FILTER (y = 1) / count(*) AS p, count(*) FILTER (y = 1) AS hits, count(*) FILTER (ok AND y = 1) AS gated, count(*) FILTER (ok) AS m FROM r, (VALUES (10), (50), (100)) v(k) WHERE rank <= k GROUP BY k),
+g AS (SELECT *, CASE WHEN m > 0 THEN gated / m ELSE 0 END AS gp FROM k, c)
+SELECT k, round(p, 6) AS precision, round(hits / positives, 6) AS recall, round(gp, 6) AS gated_precision, round(gated / positives, 6) AS gated_recall, round((gp - p) * 100, 4) AS boost FROM g""")
 def a07(t: Tables):
-    found = evaluation.precision_at_k(t.scored, [10, 50, 100], [F.desc("s"), F.asc("doc_id")])
-    return found.select("k", r6(col("precision")).alias("precision"), r6(col("recall")).alias("recall"))
+    found = evaluation.precision_at_k(t.scored, [10, 50, 100], [F.desc("s"), F.asc("doc_id")], gate=col("delta_h") < 0.35)
+    return found.select("k", *[r6(col(c)).alias(c) for c in ("precision", "recall", "gated_precision", "gated_recall")], F.round("boost", 4).alias("boost"))
 
 
 @query("a08_class_metrics", "scored", """WITH c AS (SELECT doc_id % 3 AS p, CASE WHEN y = 1 THEN 1 ELSE toxic * 2 END AS t FROM scored),
-s AS (SELECT k, sum(CASE WHEN p = k AND t = k THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p = k AND t <> k THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN p <> k AND t = k THEN 1 ELSE 0 END) AS fn FROM c, (VALUES (0), (1), (2)) v(k) GROUP BY k)
-SELECT k AS class, round(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 1 END, 6) AS iou, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END, 6) AS recall FROM s""")
+s AS (SELECT k, sum(CASE WHEN p = k AND t = k THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p = k AND t <> k THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN p <> k AND t = k THEN 1 ELSE 0 END) AS fn FROM c, (VALUES (0), (1), (2)) v(k) GROUP BY k),
+m AS (SELECT k, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 1 END AS iou, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS r FROM s)
+SELECT k AS class, round(iou, 6) AS iou, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 1.25 * p * r / (0.25 * p + r + 1e-8) ELSE 0 END, 6) AS f05, round(avg(iou) OVER (), 6) AS miou FROM m""")
 def a08(t: Tables):
     rows = t.scored.select((col("doc_id") % 3).alias("p"), F.when(col("y") == 1, 1).otherwise(col("toxic") * 2).alias("t"))
     found = evaluation.class_metrics(rows, "p", "t", [0, 1, 2])
-    return found.select("class", *[r6(col(c)).alias(c) for c in ("iou", "precision", "recall")])
+    return found.select("class", *[r6(col(c)).alias(c) for c in ("iou", "precision", "recall", "f05", "miou")])
 
 
 @query("a09_best_per_class", "hits", """WITH c AS (SELECT product_id, score, class, CASE class WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS priority FROM hits WHERE score >= 10000)
@@ -296,13 +309,20 @@ MASK_SQL = f"""{PIXELS_SQL}, sm AS (SELECT vec_id, p % 8 AS x, p // 8 AS y FROM
 
 
 def masks_of(t: Tables):
-    px = tiles.pixels(t.embeddings, "vec_id", "embedding", 8)
-    return px.where("value < -0.05").drop("value"), px.where("value > 0.05").drop("value")
+    moments = lambda test: aggregates.array_moments(F.transform("embedding", lambda x: x.cast("double")), 8, test)
+    return t.embeddings.select("vec_id", moments(lambda x: x < -0.05).alias("shadow"), moments(lambda x: x > 0.05).alias("edge"))
 
 
 @query("a11_mask_moments", "", f"WITH {MASK_SQL} SELECT vec_id, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, min(x) AS x0, min(y) AS y0, max(x) - min(x) AS width, max(y) - min(y) AS height FROM sm GROUP BY vec_id")
 def a11(t: Tables):
-    return aggregates.mask_moments(masks_of(t)[0], "vec_id").withColumns({"cx": r6(col("cx")), "cy": r6(col("cy"))})
+    found = masks_of(t).select("vec_id", "shadow.*").where("area > 0")
+    return found.withColumns({"cx": r6(col("cx")), "cy": r6(col("cy"))})
+
+
+@query("a11_mask_moments_of_rows", "", f"WITH {MASK_SQL} SELECT vec_id, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, max(x) - min(x) AS width FROM em GROUP BY vec_id")
+def a11_rows(t: Tables):
+    px = tiles.pixels(t.embeddings, "vec_id", "embedding", 8).where("value > 0.05").drop("value")
+    return aggregates.mask_moments(px, "vec_id").select("vec_id", "area", r6(col("cx")).alias("cx"), r6(col("cy")).alias("cy"), "width")
 
 
 PHYSICS_SQL = f"""{MASK_SQL}, s AS (SELECT vec_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM sm GROUP BY vec_id), e AS (SELECT vec_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy, max(x) - min(x) AS w, max(y) - min(y) AS h FROM em GROUP BY vec_id),
@@ -314,7 +334,7 @@ h AS (SELECT *, CASE WHEN ok AND width > 0 THEN depth / width ELSE 0 END AS rati
 
 
 def physics_of(t: Tables):
-    return aggregates.physics_validate(*masks_of(t), "vec_id", F.pmod(col("vec_id").cast("double"), F.lit(360.0)), F.lit(60.0))
+    return aggregates.physics_validate(masks_of(t).where("shadow.area > 0 OR edge.area > 0"), "vec_id", F.pmod(col("vec_id").cast("double"), F.lit(360.0)), F.lit(60.0))
 
 
 @query("a21_physics_validate", "", f"""WITH {PHYSICS_SQL} SELECT vec_id, round(sv, 4) AS shadow_deg, round(solar, 4) AS solar_deg, round(err, 4) AS error_deg, round(depth, 6) AS depth_m, round(ratio, 6) AS ratio, err < 45 AND ratio >= 0.1 AS valid,
@@ -327,20 +347,11 @@ def a21(t: Tables):
 SELECT h.vec_id, CASE WHEN h.vec_id % 100 < 20 THEN 'score' WHEN coalesce(n.k, 0) < 25 THEN 'shadow' WHEN coalesce(m.k, 0) < 15 THEN 'edge' WHEN NOT (err < 45 AND ratio >= 0.1) THEN 'physics' WHEN depth < 0.1 THEN 'depth' WHEN err > 30 THEN 'alignment' WHEN h.vec_id % 10 < 2 THEN 'decision' ELSE 'valid' END AS reason
 FROM h LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)""")
 def p07(t: Tables):
-    shadow, edge = masks_of(t)
-    count = lambda m, name: m.groupBy("vec_id").agg(F.count("*").alias(name))
-    rows = physics_of(t).join(count(shadow, "shadow_px"), "vec_id", "left").join(count(edge, "edge_px"), "vec_id", "left")
+    rows = physics_of(t)
     rows = rows.withColumns({"score": (col("vec_id") % 100) / 100, "decision": (col("vec_id") % 10) / 10})
     return rows.select("vec_id", gates.first_failure(gates.strict_gates(score=0.2, depth_m=0.1)).alias("reason"))
 
 
-@query("a12_band_progress", "trace", """WITH s AS (SELECT band, count(DISTINCT product_id) FILTER (metric = 'node_complete') AS done, (epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / 3600.0 AS hours, 200 AS planned FROM trace GROUP BY band)
-SELECT band, done, planned, round(hours, 6) AS hours, round(least(1.0, done / planned), 6) AS coverage, round(CASE WHEN hours > 0 THEN done / hours ELSE 0 END, 6) AS per_hour, CASE WHEN done >= planned THEN 'done' ELSE 'running' END AS status FROM s""")
-def a12(t: Tables):
-    found = aggregates.band_progress(t.trace, {k: 200 for k in range(10)})
-    return found.select("band", "done", "planned", *[r6(col(c)).alias(c) for c in ("hours", "coverage", "per_hour")], "status")
-
-
 CURVE_SQL = """b AS (SELECT s, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS p, count(*) AS m FROM scored GROUP BY s),
 c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(m) OVER (ORDER BY s DESC) AS n, sum(p) OVER () AS a FROM b), d AS (SELECT s, tp, n, tp / n AS precision, tp / a AS recall FROM c)"""
 
@@ -388,33 +399,24 @@ def a23(t: Tables):
 
 @query("t01_global_top_k", "hits", "SELECT score, votes, orderkey, partkey, line FROM hits ORDER BY score DESC, orderkey, partkey, line LIMIT 100")
 def t01(t: Tables):
-    return t.hits.orderBy(F.desc("score"), "orderkey", "partkey", "line").limit(100).select("score", "votes", "orderkey", "partkey", "line")
+    return order.top_k(t.hits, 100, _priority()).select("score", "votes", "orderkey", "partkey", "line")
 
 
 @query("t02_top_k_per_query", "hits", "SELECT product_id, score, rank FROM (SELECT product_id, score, row_number() OVER (PARTITION BY product_id ORDER BY score DESC) AS rank FROM hits) WHERE rank <= 5")
 def t02(t: Tables):
-    w = F.row_number().over(_by("product_id").orderBy(F.desc("score")))
-    return t.hits.select("product_id", "score", w.alias("rank")).where("rank <= 5")
-
-
-def _by(*columns):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
+    return order.top_k_per_group(t.hits, "product_id", 5, _priority()).select("product_id", "score", "rank")
 
 
 @query("w03_first_per_key", "hits", "SELECT supp, min(score) AS score FROM hits GROUP BY supp")
 def w03(t: Tables):
-    return t.hits.withColumn("r", F.row_number().over(_by("supp").orderBy("score"))).where("r = 1").select("supp", "score")
+    return order.first_per_key(t.hits.select("supp", "score"), ["supp"], [F.asc("score")])
 
 
 @query("w05_zero_crossing", "", """WITH e AS (SELECT user_id, ts, value - 50 AS v, event_id FROM events), l AS (SELECT *, lag(v) OVER w AS pv, lag(epoch_us(ts)) OVER w AS pt FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, round(pt / 1e6 + (epoch_us(ts) - pt) / 1e6 * pv / (pv - v), 3) AS crossed FROM l WHERE pv * v < 0""")
 def w05(t: Tables):
-    w = _by("user_id").orderBy("ts", "event_id")
-    rows = t.events.withColumn("v", col("value") - 50).withColumn("us", F.unix_micros(col("ts").cast("timestamp"))).withColumn("pv", F.lag("v").over(w)).withColumn("pt", F.lag("us").over(w))
-    at = col("pt") / 1e6 + (col("us") - col("pt")) / 1e6 * col("pv") / (col("pv") - col("v"))
-    return rows.where("pv * v < 0").select("event_id", F.round(at, 3).alias("crossed"))
+    rows = t.events.select("user_id", "event_id", (F.unix_micros(col("ts").cast("timestamp")) / 1e6).alias("s"), (col("value") - 50).alias("v"))
+    return order.zero_crossings(rows, "user_id", ["s", "event_id"], "s", "v").select("event_id", F.round("crossed", 3).alias("crossed"))
 
 
 @query("w07_sequential_splits", "hits", """WITH r AS (SELECT supp, score, row_number() OVER (PARTITION BY supp ORDER BY score, orderkey, partkey, line) - 1 AS r, count(*) OVER (PARTITION BY supp) AS n FROM hits)
@@ -431,16 +433,13 @@ def w08(t: Tables):
 
 @query("w09_time_since_start", "trace", "SELECT event_id, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', min(ts) OVER (PARTITION BY band))) AS seconds, max(ts) OVER (PARTITION BY band) AS last_ts FROM trace")
 def w09(t: Tables):
-    w = _by("band")
-    return t.trace.select("event_id", (F.unix_timestamp("ts") - F.unix_timestamp(F.min("ts").over(w))).cast("double").alias("seconds"), F.max("ts").over(w).alias("last_ts"))
+    return order.since_start(t.trace, "band", "ts").select("event_id", col("seconds").cast("double").alias("seconds"), "last_ts")
 
 
-@query("t03_multi_key_sort", "hits", "SELECT class, score, rank FROM (SELECT class, score, row_number() OVER (ORDER BY class DESC, score, orderkey, partkey, line) AS rank FROM hits) WHERE rank <= 50")
+@query("t03_multi_key_sort", "hits", "SELECT class, score, row_number() OVER (ORDER BY class DESC, score, orderkey, partkey, line) AS rank FROM hits")
 def t03(t: Tables):
-    from pyspark.sql import Window
-
-    order = [F.desc("class"), F.asc("score"), F.asc("orderkey"), F.asc("partkey"), F.asc("line")]
-    return t.hits.orderBy(*order).limit(50).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("class", "score", "rank")
+    by = [F.desc("class"), F.asc("score"), F.asc("orderkey"), F.asc("partkey"), F.asc("line")]
+    return joins.ranked(t.hits.select("class", "score", "orderkey", "partkey", "line"), by).select("class", "score", "rank")
 
 
 @query("ua_union_hits", "hits catalog", "SELECT lat, lon, 'hit' AS kind FROM hits UNION ALL SELECT latitude, longitude, 'site' FROM catalog")
@@ -530,6 +529,33 @@ def r10(t: Tables):
     return rows.select("vec_id", F.posexplode("px").alias("p", "u8"))
 
 
+@query("r10_normalize_by_product", "tiles", f"""WITH {PIXELS_SQL}, m AS (SELECT product_id, min(v) AS a, max(v) AS b FROM px JOIN tiles ON tile_id = vec_id GROUP BY product_id)
+SELECT vec_id, p, CAST(floor(least(greatest((v - a) / (b - a), 0), 1) * 255) AS INT) AS u8 FROM px JOIN tiles ON tile_id = vec_id JOIN m USING (product_id)""")
+def r10_product(t: Tables):
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("px")).join(t.tiles.select(col("tile_id").alias("vec_id"), "product_id"), "vec_id")
+    return tiles.normalize(rows, "px", by="product_id").select("vec_id", F.posexplode("px").alias("p", "u8"))
+
+
+@query("r10_normalize_percentile", "", f"WITH {PIXELS_SQL}, m AS (SELECT vec_id, quantile_cont(v, 0.02) AS a, quantile_cont(v, 0.98) AS b FROM px GROUP BY vec_id) SELECT vec_id, p, CAST(floor(least(greatest((v - a) / (b - a), 0), 1) * 255 + 1e-9) AS INT) AS u8 FROM px JOIN m USING (vec_id)")
+def r10_percentile(t: Tables):
+    rows = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("px"))
+    return tiles.normalize(rows, "px", shares=(0.02, 0.98)).select("vec_id", F.posexplode("px").alias("p", "u8"))
+
+
+@query("r05_crop_roi", "", """WITH f AS (SELECT vec_id // 50 AS frame, vec_id % 50 AS line, embedding AS e FROM embeddings), n AS (SELECT frame, count(*) AS lines FROM f GROUP BY frame),
+q AS (SELECT vec_id, vec_id // 50 AS frame, vec_id * 7 % 90 - 12 AS x, vec_id * 3 % 80 - 15 AS y FROM embeddings), g AS (SELECT q.*, i, j, x - 4 + i AS c, y - 4 + j AS r, lines FROM q JOIN n USING (frame), range(8) a(i), range(8) b(j) WHERE x >= -8 AND x < 72 AND y >= -8 AND y < lines + 8)
+SELECT vec_id, count(e) AS inside, round(sum(CAST(e[c + 1] AS DOUBLE)), 5) AS total FROM g LEFT JOIN f ON f.frame = g.frame AND f.line = g.r AND c BETWEEN 0 AND 63 GROUP BY vec_id""")
+def r05(t: Tables):
+    """Crops of 8 by 8 around places in frames of 50 lines, some over the edge and some too far outside."""
+    lines = t.embeddings.select(F.floor(col("vec_id") / 50).alias("product_id"), (col("vec_id") % 50).cast("int").alias("line"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    frames = lines.groupBy("product_id").agg(F.count("*").cast("int").alias("lines"), F.lit(64).alias("samples"))
+    at = t.embeddings.select("vec_id", F.floor(col("vec_id") / 50).alias("product_id"), (col("vec_id") * 7 % 90 - 12 + 0.25).alias("x"), (col("vec_id") * 3 % 80 - 15 + 0.75).alias("y"))
+    found = tiles.crop_roi(at, frames, lines, "vec_id", 8, 8).where("pixels IS NOT NULL")
+    fine = F.filter("pixels", lambda v: ~F.isnan(v))
+    total = F.when(F.size(fine) > 0, F.round(F.aggregate(fine, F.lit(0.0), lambda a, v: a + v), 5))
+    return found.select("vec_id", F.size(fine).cast("long").alias("inside"), total.alias("total"))
+
+
 @query("f01_embed_tiles", "", f"WITH {PIXELS_SQL}, b AS (SELECT vec_id, p // 8 AS k, avg(v) AS m FROM px GROUP BY ALL), n AS (SELECT vec_id, sqrt(sum(m * m)) AS n FROM b GROUP BY vec_id) SELECT vec_id, k, round(m / n, 5) AS v FROM b JOIN n USING (vec_id)")
 def f01(t: Tables):
     px = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("px"))
@@ -538,16 +564,12 @@ def f01(t: Tables):
 
 
 @query("t04_dual_scale_pooling", "", """WITH r AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 9) DESC, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-q AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS p, CAST(unnest(embedding) AS DOUBLE) AS v, r <= greatest(1, floor(0.1 * n)) AS top FROM r) SELECT label, p, round(avg(v) FILTER (top), 6) AS top_mean, round(avg(v), 6) AS mean FROM q GROUP BY label, p""")
+q AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS p, CAST(unnest(embedding) AS DOUBLE) AS v, r <= greatest(1, floor(0.1 * n)) AS top FROM r), m AS (SELECT label, p, avg(v) FILTER (top) AS top_mean, avg(v) AS mean FROM q GROUP BY label, p),
+n AS (SELECT label, sqrt(sum(top_mean * top_mean)) AS a, sqrt(sum(mean * mean)) AS b FROM m GROUP BY label)
+SELECT label, p, round(mean / b / sqrt(2), 6) AS v FROM m JOIN n USING (label) UNION ALL SELECT label, p + 64, round(top_mean / a / sqrt(2), 6) FROM m JOIN n USING (label)""")
 def t04(t: Tables):
-    from ..functions.vectors import dot
-
-    e = t.embeddings.withColumn("n2", F.round(dot(col("embedding"), col("embedding")), 9))
-    n = e.groupBy("label").count()
-    ranked = e.withColumn("r", F.row_number().over(_by("label").orderBy(F.desc("n2"), "vec_id"))).join(F.broadcast(n), "label")
-    px = ranked.select("label", (col("r") <= F.greatest(F.lit(1), F.floor(0.1 * col("count")))).alias("top"), F.posexplode("embedding").alias("p", "v"))
-    v = col("v").cast("double")
-    return px.groupBy("label", "p").agg(r6(F.avg(F.when(col("top"), v))).alias("top_mean"), r6(F.avg(v)).alias("mean"))
+    found = aggregates.dual_scale_pooling(t.embeddings, "label", "embedding", "vec_id")
+    return found.select("label", F.posexplode("pooled").alias("p", "v")).withColumn("v", r6(col("v")))
 
 
 # --- windows of time ----------------------------------------------------------------------------------------------
@@ -564,38 +586,70 @@ def x07(t: Tables):
     return aggregates.session_gaps(t.trace, "band")
 
 
-# --- suppression and cover: no SQL on whole tables; tests hold them against brute force ------------------------------
+# --- suppression and cover ------------------------------------------------------------------------------------------
+# In SQL: rows n with their place in order (id), edges e of neighbours (low, high), and rounds in which every row that waits for
+# no better neighbour is kept (1) or, if one was kept, gone (2).
+
+
+def rounds_sql(n: str = "n", e: str = "e", kept: str = "kept") -> str:
+    r = f"{kept}_r"
+    return f"""{r} AS (SELECT 0 AS i, id, 0 AS st FROM {n} UNION ALL
+  SELECT {r}.i + 1, {r}.id, CASE WHEN {r}.st <> 0 THEN {r}.st WHEN l.kept THEN 2 WHEN l.waits THEN 0 ELSE 1 END
+  FROM {r} LEFT JOIN (SELECT {e}.high, bool_or(q.st = 1) AS kept, bool_or(q.st = 0) AS waits FROM {e} JOIN {r} q ON q.id = {e}.low GROUP BY {e}.high) l ON l.high = {r}.id WHERE EXISTS (SELECT 1 FROM {r} o WHERE o.st = 0)),
+{kept} AS (SELECT {n}.* FROM {n} JOIN {r} USING (id) WHERE st = 1 AND i = (SELECT max(i) FROM {r}))"""
+
+
+ROUNDS_SQL = rounds_sql()
+_HITS_SQL = "n AS (SELECT row_number() OVER (ORDER BY score DESC, orderkey, partkey, line) AS id, * FROM hits)"
+
+
+def plane_sql(x: str, y: str, distance: float, near: str, group: str = "") -> str:
+    """e: neighbours among rows n, by cells of the distance's size."""
+    same = f"AND a.{group} = b.{group}" if group else ""
+    cells = f"SELECT *, CAST(floor({x} / {distance}) AS BIGINT) AS ci, CAST(floor({y} / {distance}) AS BIGINT) AS cj FROM n"
+    return f"""c AS ({cells}), e AS (SELECT a.id AS low, b.id AS high FROM c a JOIN (SELECT * REPLACE (ci + di AS ci, cj + dj AS cj) FROM c, range(-1, 2) s(di), range(-1, 2) t(dj)) b
+  ON a.ci = b.ci AND a.cj = b.cj {same} WHERE a.id < b.id AND {near})"""
+
+
+def sphere_sql(metres: float, n: str = "n", e: str = "e") -> str:
+    """e: neighbours among rows n, by cubes around the sphere's surface."""
+    axes = ["cos(radians(lat)) * cos(radians(lon))", "cos(radians(lat)) * sin(radians(lon))", "sin(radians(lat))"]
+    cells = ", ".join(f"CAST(floor({a} * 1737400.0e0 / {metres}) AS BIGINT) AS c{k}" for k, a in enumerate(axes))
+    return f"""{e}_c AS (SELECT *, {cells} FROM {n}),
+{e} AS (SELECT a.id AS low, b.id AS high FROM {e}_c a JOIN (SELECT * REPLACE (c0 + d0 AS c0, c1 + d1 AS c1, c2 + d2 AS c2) FROM {e}_c, range(-1, 2) s(d0), range(-1, 2) t(d1), range(-1, 2) u(d2)) b ON a.c0 = b.c0 AND a.c1 = b.c1 AND a.c2 = b.c2 WHERE a.id < b.id
+  AND 2 * 1737400.0e0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) < {metres})"""
+
+
+SPHERE_SQL = sphere_sql(15_000)
 
 
-@query("i01_nms_pixels")
+@query("i01_nms_pixels", "hits", f"WITH RECURSIVE {_HITS_SQL}, {plane_sql('x_offset', 'y_offset', 512.0, 'sqrt(pow(a.x_offset - b.x_offset, 2) + pow(a.y_offset - b.y_offset, 2)) < 512', 'product_id')}, {ROUNDS_SQL} SELECT product_id, x_offset, y_offset, score FROM kept")
 def i01(t: Tables):
-    order = [(-col("score")).alias("s"), col("orderkey"), col("partkey"), col("line")]
-    kept = nms.nms_plane(t.hits, "x_offset", "y_offset", order, 512.0, group=["product_id"])
+    kept = nms.nms_plane(t.hits, "x_offset", "y_offset", _priority(), 512.0, group=["product_id"])
     return kept.select("product_id", "x_offset", "y_offset", "score")
 
 
-@query("i02_nms_sphere")
+@query("i02_nms_sphere", "hits", f"WITH RECURSIVE {_HITS_SQL}, {SPHERE_SQL}, {ROUNDS_SQL} SELECT product_id, lat, lon, score FROM kept")
 def i02(t: Tables):
-    order = [(-col("score")).alias("s"), col("orderkey"), col("partkey"), col("line")]
-    return nms.nms_sphere(t.hits, "lat", "lon", order, 15_000.0).select("product_id", "lat", "lon", "score")
+    return nms.nms_sphere(t.hits, "lat", "lon", _priority(), 15_000.0).select("product_id", "lat", "lon", "score")
 
 
-@query("i03_dedupe_l1")
+@query("i03_dedupe_l1", "hits", f"WITH RECURSIVE {_HITS_SQL}, {plane_sql('x_offset', 'y_offset', 300.0, 'abs(a.x_offset - b.x_offset) + abs(a.y_offset - b.y_offset) < 300', 'product_id')}, {ROUNDS_SQL} SELECT product_id, x_offset, y_offset, score FROM kept")
 def i03(t: Tables):
-    order = [(-col("score")).alias("s"), col("orderkey"), col("partkey"), col("line")]
-    return nms.nms_plane(t.hits, "x_offset", "y_offset", order, 300.0, "l1", ["product_id"]).select("product_id", "x_offset", "y_offset", "score")
+    return nms.nms_plane(t.hits, "x_offset", "y_offset", _priority(), 300.0, "l1", ["product_id"]).select("product_id", "x_offset", "y_offset", "score")
 
 
-@query("i04_dedupe_box")
+@query("i04_dedupe_box", "hits", f"WITH RECURSIVE {_HITS_SQL}, {plane_sql('lon', 'lat', 0.2, 'abs(a.lon - b.lon) < 0.2 AND abs(a.lat - b.lat) < 0.2')}, {ROUNDS_SQL} SELECT lon, lat, score FROM kept")
 def i04(t: Tables):
-    order = [(-col("score")).alias("s"), col("orderkey"), col("partkey"), col("line")]
-    return nms.nms_plane(t.hits, "lon", "lat", order, 0.2, "chebyshev").select("lon", "lat", "score")
+    return nms.nms_plane(t.hits, "lon", "lat", _priority(), 0.2, "chebyshev").select("lon", "lat", "score")
 
 
-@query("i05_nms_iou")
+@query("i05_nms_iou", "footprints", f"""WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY coalesce(resolution, 9), product_id) AS id, *, (max_lon - min_lon) * (max_lat - min_lat) AS area FROM footprints),
+o AS (SELECT a.id AS low, b.id AS high, a.area + b.area AS areas, greatest(least(a.max_lon, b.max_lon) - greatest(a.min_lon, b.min_lon), 0) * greatest(least(a.max_lat, b.max_lat) - greatest(a.min_lat, b.min_lat), 0) AS shared FROM n a JOIN n b ON a.orbit = b.orbit AND a.id < b.id),
+e AS (SELECT low, high FROM o WHERE shared > 0.3 * (areas - shared)), {ROUNDS_SQL} SELECT product_id, orbit FROM kept""")
 def i05(t: Tables):
-    order = [F.coalesce("resolution", F.lit(9.0)).alias("r"), col("product_id")]
-    return nms.nms_iou(t.footprints, tuple(joins.BOX), order, 0.3, 0.5, ["orbit"]).select("product_id", "orbit")
+    first = [F.coalesce("resolution", F.lit(9.0)).alias("r"), col("product_id")]
+    return nms.nms_iou(t.footprints, tuple(joins.BOX), first, 0.3, 0.5, ["orbit"]).select("product_id", "orbit")
 
 
 @query("i06_select_coverage")
@@ -604,13 +658,16 @@ def i06(t: Tables):
     return t.spark.createDataFrame([(k + 1, p, g) for k, (p, g) in enumerate(picks)], "pick int, product_id string, gain long")
 
 
-@query("w01_rerank")
+@query("w01_rerank", "hits", f"WITH RECURSIVE {_HITS_SQL}, {SPHERE_SQL}, {ROUNDS_SQL} SELECT product_id, lat, lon, score, row_number() OVER (ORDER BY score DESC, lat, lon, product_id) AS rank FROM kept")
 def w01(t: Tables):
     """Ranks after suppression, of every hit that stays."""
     return joins.ranked(i02(t), [F.desc("score"), F.asc("lat"), F.asc("lon"), F.asc("product_id")])
 
 
-@query("scan_candidates")
+@query("scan_candidates", "tiles anchors", f"""WITH RECURSIVE {ANCHORS_SQL}, v AS (SELECT vec_id AS tile_id, bit_count(bit_or(1 << family)) AS votes, min(d) AS best FROM p WHERE d <= threshold GROUP BY vec_id),
+n AS (SELECT row_number() OVER (ORDER BY votes DESC, best, tile_id) AS id, * FROM v JOIN tiles USING (tile_id)), {plane_sql('x_offset', 'y_offset', 512.0, 'sqrt(pow(a.x_offset - b.x_offset, 2) + pow(a.y_offset - b.y_offset, 2)) < 512', 'product_id')}, {ROUNDS_SQL},
+f AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY id) <= 100), {sphere_sql(150, 'f', 'g')}, {rounds_sql('f', 'g', 'apart')}
+SELECT row_number() OVER (ORDER BY id) AS rank, product_id, tile_id, votes, best, lon, lat FROM apart""")
 def scan_candidates(t: Tables):
     """The whole scan: codes, family votes, tile positions, suppression, rank."""
     from .scan import scan

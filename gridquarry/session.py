@@ -27,9 +27,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. If it is unset, a session in local mode gets a temporary
+    one; on a cluster, whose machines share no such folder, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gridquarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

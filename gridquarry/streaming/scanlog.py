@@ -1,65 +1,161 @@
-"""A scan's log as a stream: typed events, the state of bands, windows of throughput, late rows."""
+"""A scan's log: typed events, the bands they belong to, the state of bands, windows of throughput, late rows; batch and stream."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The lines that matter, by kind.
+# The lines that matter, by kind, with what is kept of each.
 PATTERNS = {
-    "selected": r"selected (\d+) products", "pipeline_time": r"pipeline time: ([\d.]+)", "index_hits": r"index hits: (\d+)", "node_complete": r"node complete: (\S+)", "solver": r"solver progress: ([\d.]+)%",
+    "start": r"PARAMETER CHECK.*max_inc:\s*([\d.]+)",
+    "candidates": r"QuickMap returned (\d+) candidate images",
+    "selected": r"Selected (\d+) images covering ([\d.]+)% of ROI",
+    "node_complete": r"NODE COMPLETE.*lattice frame (\S+)",
+    "solver": r"(\d+) images selected so far, ([\d.]+)% ROI still uncovered",
+    "pipeline_time": r"Total Pipeline Execution Time\s+[│|]+\s+([\d.]+)\s+s",
 }
-EVENT = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) band=(\d+) (.*)$"
+# A time of day with or without its date, pairs of longitude and latitude, and the corners that open and close a table.
+TIME, PAIR, OPENS, CLOSES, REGION = r"\[?(\d{4}-\d{2}-\d{2}\s+)?(\d{2}:\d{2}:\d{2})\]?", r"(-?\d+\.\d+),(-?\d+\.\d+)", "┌", "└", "Target ROI"
+# The bands of latitude of a global scan, and the day of lines that name none.
+BANDS = [(-89.999, -80.0), (-80.0, -50.0), (-50.0, -20.0), (-20.0, -10.0), (-10.0, 0.0), (0.0, 10.0), (10.0, 20.0), (20.0, 50.0), (50.0, 80.0), (80.0, 89.999)]
+DAY = "2026-07-16"
 
 
-def read_scan_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files as a stream; Spark's checkpoint remembers what was read."""
-    return spark.readStream.format("text").load(path)
+def read_scan_log(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
+    """Lines of logs: log (the folder of a line's file), at (its place: files by name, then by place in the file), value. A folder
+    is one log, in one or several files, whose names are in order of time.
+
+    As a stream, Spark's checkpoint remembers which files were read. A file comes as one row and is split in its task, so a
+    log that still grows is cut into files of some MB, at line ends; in batch, files may have any size."""
+    file = F.col("_metadata.file_path")
+    log, name = F.regexp_extract(file, "^(.*)/[^/]*$", 1).alias("log"), F.element_at(F.split(file, "/"), -1).alias("file")
+    if stream:
+        whole = spark.readStream.format("text").option("wholetext", True).load(path).select(log, name, F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")).alias("row", "value"))
+        return whole.select("log", F.struct("file", F.lit(0).cast("long").alias("block"), F.col("row").cast("long").alias("row")).alias("at"), "value")
+    at = F.struct(name, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(log, at.alias("at"), "value")
 
 
 def parse_scan_log(lines: DataFrame) -> DataFrame:
-    """ts, band, kind, arg of each line (value) that has a known form; other lines are left out. Batch or stream."""
-    rest = F.regexp_extract("value", EVENT, 3)
-    kind, arg = F.lit(None).cast("string"), F.lit(None).cast("string")
+    """log, at, ts, kind, arg, share of each line of a known form, and of lines of tables opens, region, closes and lats (latitudes
+    in the line); other lines are left out. Each line is read by itself. lines: log, at, value; batch or stream."""
+    kind, arg, share = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
     for name, pattern in reversed(PATTERNS.items()):
-        kind, arg = F.when(rest.rlike(pattern), name).otherwise(kind), F.when(rest.rlike(pattern), F.regexp_extract(rest, pattern, 1)).otherwise(arg)
-    rows = lines.select(F.regexp_extract("value", EVENT, 1).try_cast("timestamp").alias("ts"), F.regexp_extract("value", EVENT, 2).try_cast("int").alias("band"), kind.alias("kind"), arg.alias("arg"))
-    return rows.where("ts IS NOT NULL AND band IS NOT NULL AND kind IS NOT NULL")
+        hit = F.col("value").rlike(pattern)
+        kind, arg = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract("value", pattern, 1)).otherwise(arg)
+        if pattern.count("(") > 1:
+            share = F.when(hit, F.regexp_extract("value", pattern, 2).try_cast("double")).otherwise(share)
+    day = F.coalesce(F.nullif(F.trim(F.regexp_extract("value", TIME, 1)), F.lit("")), F.lit(DAY))
+    ts = F.concat(day, F.lit(" "), F.regexp_extract("value", TIME, 2)).try_cast("timestamp")
+    lats = F.transform(F.regexp_extract_all("value", F.lit(PAIR), F.lit(2)), lambda x: x.cast("double"))
+    rows = lines.select(
+        "log", "at", ts.alias("ts"), kind.alias("kind"), arg.alias("arg"), share.alias("share"), F.contains("value", F.lit(OPENS)).alias("opens"),
+        F.contains("value", F.lit(REGION)).alias("region"), F.contains("value", F.lit(CLOSES)).alias("closes"), lats.alias("lats"),
+    )
+    return rows.where("kind IS NOT NULL OR opens OR region OR closes OR size(lats) > 0")
+
+
+def _band(low: Column, high: Column, starts: Column) -> Column:
+    """The first band, from 0, whose edges lie within 0.1 of low and high; without one, the bands in turn."""
+    band = F.pmod(starts - 1, F.lit(len(BANDS))).cast("int")
+    for k, (a, b) in reversed(list(enumerate(BANDS))):
+        band = F.when((F.abs(low - a) < 0.1) & (F.abs(high - b) < 0.1), k).otherwise(band)
+    return band
+
+
+def place_events(events: DataFrame) -> DataFrame:
+    """Events (of parse_scan_log, batch) with run and band: the parameter check before a line starts a run of a band, which the
+    latitudes of the last table of a region tell. Lines before the first run are left out.
 
+    Each log is put in order by itself, after all but the lines that matter have gone."""
+    log = Window.partitionBy("log").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("log", "table").orderBy("at")
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("table", F.sum(F.col("opens").cast("int")).over(log))
+    on = F.max("region").over(upto) & ~F.coalesce(F.max("closes").over(before), F.lit(False))
+    rows = rows.withColumn("lats", F.when(on, F.col("lats")))
+    edges = F.struct(F.min(F.array_min("lats")).over(upto).alias("low"), F.max(F.array_max("lats")).over(upto).alias("high"))
+    rows = rows.withColumn("edges", edges).withColumn("edges", F.when(F.col("closes") & F.col("edges.low").isNotNull(), F.col("edges")))
+    rows = rows.withColumn("edges", F.last("edges", ignorenulls=True).over(log)).withColumn("run", F.count(F.when(F.col("kind") == "start", 1)).over(log))
+    band = F.when(F.col("kind") == "start", _band(F.col("edges.low"), F.col("edges.high"), F.col("run")))
+    rows = rows.withColumn("band", F.last(band, ignorenulls=True).over(log)).where("run > 0 AND kind IS NOT NULL")
+    return rows.select("log", "at", "ts", "kind", "arg", "share", "run", "band")
 
-def band_states(events: DataFrame) -> DataFrame:
-    """Batch: planned, done and status of each band. Done when the planned number of nodes is complete or a pipeline time was logged."""
+
+def band_states(placed: DataFrame) -> DataFrame:
+    """Of place_events, one row per log and band, of its last run: planned, coverage, candidates, done, seconds, status, first_ts, last_ts.
+
+    Done when as many nodes are complete as images were selected, or a pipeline time was logged; else running."""
     k = F.col("kind")
-    per = events.groupBy("band").agg(
-        F.max(F.when(k == "selected", F.col("arg").cast("long"))).alias("planned"), F.count(F.when(k == "node_complete", 1)).alias("done"),
-        F.max((k == "pipeline_time").cast("int")).alias("ended"), F.max("ts").alias("last_ts"),
+    w = Window.partitionBy("log", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far, planned = F.count(F.when(k == "node_complete", 1)).over(w), F.last(F.when(k == "selected", F.col("arg").cast("long")), ignorenulls=True).over(w)
+    rows = placed.withColumn("full", (planned > 0) & (so_far >= planned))
+    last = lambda kind, what: F.max_by(F.when(k == kind, what), F.when((k == kind) & what.isNotNull(), F.col("at")))
+    per = rows.groupBy("log", "run", "band").agg(
+        last("selected", F.col("arg")).cast("long").alias("planned"), last("selected", F.col("share")).alias("coverage"), last("candidates", F.col("arg")).cast("long").alias("candidates"),
+        F.count(F.when(k == "node_complete", 1)).alias("done"), last("pipeline_time", F.col("arg")).cast("double").alias("seconds"),
+        F.max(F.coalesce("full", F.lit(False))).alias("full"), F.min_by("ts", "at").alias("first_ts"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("at"))).alias("last_ts"),
     )
-    over = (F.col("ended") == 1) | (F.col("planned").isNotNull() & (F.col("done") >= F.col("planned")))
-    status = F.when(over, "done").when(F.col("done") > 0, "running").otherwise("pending")
-    return per.select("band", "planned", "done", status.alias("status"), "last_ts")
+    status = F.when(F.col("full") | F.col("seconds").isNotNull(), "done").otherwise("running")
+    row = F.struct("planned", "coverage", "candidates", "done", "seconds", status.alias("status"), "first_ts", "last_ts")
+    return per.groupBy("log", "band").agg(F.max_by(row, "run").alias("s")).select("log", "band", "s.*")
+
+
+#: What a log's state holds between batches: edges of the last table, numbers of the table that is open, runs, the band, all bands.
+_START = {"edges": None, "on": False, "lats": [], "runs": 0, "band": None, "bands": {}}
+
+
+def _step(state: dict, row) -> None:
+    """One event of a log in order; what place_events and band_states do with windows."""
+    if row.opens:
+        state["on"], state["lats"] = False, []
+    state["on"] = state["on"] or bool(row.region)
+    if state["on"]:
+        state["lats"] += list(row.lats)
+    if row.closes and state["lats"]:
+        state["edges"], state["on"] = (min(state["lats"]), max(state["lats"])), False
+    if row.kind == "start":
+        state["runs"] += 1
+        low, high = state["edges"] or (999, 999)
+        near = [k for k, (a, b) in enumerate(BANDS) if abs(a - low) < 0.1 and abs(b - high) < 0.1]
+        state["band"] = str(near[0] if near else (state["runs"] - 1) % len(BANDS))
+        state["bands"][state["band"]] = {"planned": None, "done": 0, "status": "running", "last": None}
+    if row.kind is None or state["band"] is None:
+        return
+    band = state["bands"][state["band"]]
+    band["done"] += row.kind == "node_complete"
+    band["planned"] = int(row.arg) if row.kind == "selected" else band["planned"]
+    if row.kind == "pipeline_time" or row.kind == "node_complete" and 0 < (band["planned"] or 0) <= band["done"]:
+        band["status"] = "done"
+    band["last"] = str(row.ts) if not pd.isna(row.ts) else band["last"]
 
 
 def band_state_stream(events: DataFrame) -> DataFrame:
-    """The same as a stream, one row per band and update: a state of four numbers per band, whatever the log's length."""
+    """band_states as a stream, over parse_scan_log: log, band, planned, done, status, last_ts of every band that a batch touched.
+
+    A log's state is a few numbers for each of its bands, whatever its length. Files of a log must come in order of their
+    names, and the lines of a batch are put in order."""
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        planned, done, ended, last = state.get if state.exists else (-1, 0, 0, pd.Timestamp(0).to_pydatetime())
-        for rows in batches:
-            chosen = rows.loc[rows["kind"] == "selected", "arg"].astype("int64")
-            planned = max(planned, int(chosen.max())) if len(chosen) else planned
-            done += int((rows["kind"] == "node_complete").sum())
-            ended = max(ended, int((rows["kind"] == "pipeline_time").any()))
-            last = max(last, rows["ts"].max().to_pydatetime())
-        state.update((planned, done, ended, last))
-        status = "done" if ended or 0 <= planned <= done else "running" if done else "pending"
-        yield pd.DataFrame({"band": [key[0]], "planned": pd.array([planned if planned >= 0 else None], "Int64"), "done": [done], "status": [status], "last_ts": [last]})
-
-    return events.groupBy("band").applyInPandasWithState(
-        update, "band int, planned long, done long, status string, last_ts timestamp", "planned long, done long, ended int, last timestamp", "update", "NoTimeout"
-    )
+        held = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(_START))
+        rows = pd.concat(list(batches))
+        at = rows["at"].map(lambda a: (a["file"], a["block"], a["row"]) if isinstance(a, dict) else tuple(a))
+        touched = set()
+        for k in sorted(range(len(rows)), key=lambda k: at.iloc[k]):
+            _step(held, rows.iloc[k])
+            touched.add(held["band"])
+        state.update((json.dumps(held),))
+        bands = [(key[0], int(b), held["bands"][b]) for b in sorted(touched - {None})]
+        yield pd.DataFrame({
+            "log": [x for x, _, _ in bands], "band": pd.array([b for _, b, _ in bands], "Int32"), "planned": pd.array([s["planned"] for *_, s in bands], "Int64"),
+            "done": pd.array([s["done"] for *_, s in bands], "Int64"), "status": [s["status"] for *_, s in bands], "last_ts": pd.to_datetime([s["last"] for *_, s in bands]),
+        })
+
+    return events.groupBy("log").applyInPandasWithState(update, "log string, band int, planned long, done long, status string, last_ts timestamp", "held string", "update", "NoTimeout")
 
 
 def throughput_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -72,27 +168,28 @@ def session_stream(events: DataFrame, key: str, gap: str = "30 minutes", late: s
     return events.withWatermark("ts", late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def split_late(sink: Callable[[DataFrame, int], None], rejects: Callable[[DataFrame, int], None], late_s: int = 600) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: rows older than the latest time of batches before, by more than late_s, go to rejects."""
-    seen: dict[str, object] = {}
+def split_late(sink: Callable[[DataFrame, int], None], rejects: Callable[[DataFrame, int], None], state: str, late_s: int = 600) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: rows older than the latest time of batches before, by more than late_s, go to rejects.
+
+    The latest time of each batch is written under state, a shared folder, by the batch's number, so it outlives a restart
+    and a batch that is run again is split as the first time. Rows without a time are not late."""
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        limit = seen.get("ts")
-        old = F.lit(False) if limit is None else F.col("ts") < F.lit(limit) - F.expr(f"INTERVAL {late_s} SECONDS")
+        spark = batch.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
+        known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        limit = spark.read.schema("newest timestamp, number long").parquet(state).where(F.col("number") < number).agg(F.max("newest")).first()[0] if known else None
+        old = F.lit(False) if limit is None else F.coalesce(F.col("ts") < F.lit(limit) - F.expr(f"INTERVAL {late_s} SECONDS"), F.lit(False))
         sink(batch.where(~old), number)
         rejects(batch.where(old), number)
-        newest = batch.agg(F.max("ts")).first()[0]
-        if newest is not None:
-            seen["ts"] = max(newest, limit) if limit is not None else newest
-        batch.unpersist()
+        batch.agg(F.max(F.col("ts").cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{state}/number={number}")
 
     return run
 
 
-def new_arrivals(snapshots: DataFrame, key: str = "volume_id") -> DataFrame:
-    """Rows of a stream of snapshots whose key was in none before."""
-    return snapshots.dropDuplicates([key])
+def new_arrivals(snapshots: DataFrame, key: str = "volume_id", ts: str = "ts", within: str = "30 days") -> DataFrame:
+    """Rows of a stream of snapshots (key, ts) whose key came in none before, as far back as within: what is older leaves the state."""
+    return snapshots.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
 def incremental_ingest(tiles: DataFrame, path: str, checkpoint: str):

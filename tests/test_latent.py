@@ -37,12 +37,21 @@ def test_sammon_strain(spark):
     u = h / np.linalg.norm(h, axis=1, keepdims=True)
     a = np.array([[min(max(1 - p @ q, 0), 2) for q in u] for p in u])
     b = np.array([[np.linalg.norm(p - q) for q in low] for p in low])
-    a, b = a / np.median(a), b / np.median(b)
+    b = b * np.median(a) / np.median(b)
     for i in range(20):
         assert got[i] == pytest.approx(sum((a[i, j] - b[i, j]) ** 2 / a[i, j] for j in range(20) if j != i))
     assert latent.sammon_strain(table(spark, h).limit(0), table(spark, low)).count() == 0
 
 
+def test_strain_worked_by_hand(spark):
+    """Three directions at right angles or opposite, and places 0, 1 and 4 on a line. Cosine distances: 1, 2, 1, and lines:
+    1, 4, 3; medians with the diagonal's zeros: 1 and 1, so the scale is 1."""
+    high, low = np.array([[2.0, 0.0], [0.0, 3.0], [-1.0, 0.0]]), np.array([[0.0, 0.0], [1.0, 0.0], [4.0, 0.0]])
+    got = {r["id"]: (r["strain"], r["stress"]) for r in latent.sammon_strain(table(spark, high), table(spark, low)).collect()}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({0: (1 - 1) ** 2 / 1 + (2 - 4) ** 2 / 2, 1: 0 + (1 - 3) ** 2 / 1, 2: 2 + 4})
+    assert got[0][1] == pytest.approx((2 + 4 + 6) / (3 + 2 + 3))
+
+
 def test_gate_separates(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(float(y), float(a), float(b)) for y in (0, 1) for a, b in rng.normal(size=(40 if y else 160, 2)) + 4 * y], "y double, a double, b double")

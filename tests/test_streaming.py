@@ -1,42 +1,84 @@
-"""Streams give what their batch twins give."""
+"""Logs and streams: lines of a scan's log, streams against their batch twins."""
+
+from pyspark.sql import functions as F
 
 from gridquarry.streaming import scanlog
 
-LINES = [
-    "2024-01-01 00:00:00 band=1 selected 2 products", "2024-01-01 00:01:00 band=1 node complete: M1", "noise", "2024-01-01 00:02:00 band=1 node complete: M2",
-    "2024-01-01 00:00:30 band=2 selected 5 products", "2024-01-01 01:00:30 band=2 node complete: M3", "2024-01-01 00:00:40 band=3 solver progress: 12.5%", "2024-01-01 00:09:40 band=4 pipeline time: 12.5",
-]
+HEAD = "[2026-07-16 10:00:00] INFO PARAMETER CHECK: min_inc: 30.0 | max_inc: 60.0"
+TABLE = ["┌──── Plan ────┐", "│ Target ROI  │ 0.00000,{a} 10.00000,{a} │", "│             │ 10.00000,{b} 0.00000,{b} │", "└──────────────┘"]
+LOGS = {
+    "one": [
+        "2026-07-16 09:59:00 before any band: Selected 99 images covering 1.0% of ROI", *[x.format(a="20.00000", b="50.00000") for x in TABLE], HEAD,
+        "[10:00:30] QuickMap returned 120 candidate images", "[10:00:40] 3 images selected so far, 40.5% ROI still uncovered", "[10:01:00] Selected 2 images covering 99.1% of ROI",
+        "[2026-07-16 10:20:00] NODE COMPLETE: resonant lattice frame M1", "noise", "[2026-07-16 10:40:00] NODE COMPLETE: resonant lattice frame M2",
+        "┌ Summary ┐ 1.5,77.7", "└ end ┘", HEAD.replace("10:00:00", "11:00:00"), "[11:05:00] Selected 5 images covering 80.0% of ROI", "[2026-07-16 11:10:00] NODE COMPLETE: resonant lattice frame M3",
+    ],
+    "two": [
+        HEAD, "NODE COMPLETE without a time: lattice frame X", HEAD, "Total Pipeline Execution Time   │ 12.5 s", *[x.format(a="-80.00000", b="-89.99900") for x in TABLE], HEAD.replace("10:00:00", "23:00:00"),
+        "Selected 4 images covering 50% of ROI",
+    ],
+}
+# band, planned, done, status: the second run of "one" starts band 7 anew (the table's edges still hold); in "two" bands go in turn
+WANT = {("one", 7): (5, 1, "running"), ("two", 0): (4, 0, "running"), ("two", 1): (None, 0, "done")}
+
+
+def write(tmp_path):
+    for name, lines in LOGS.items():
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / "0.log").write_text("\n".join(lines) + "\n")
 
 
-def run(spark, df, mode, name):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run(spark, df, mode, name, **options):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).options(**options).start()
     q.awaitTermination(120)
     return spark.table(name)
 
 
-def test_band_states(spark, tmp_path):
-    for k in range(2):
-        (tmp_path / f"{k}.log").write_text("\n".join(LINES[4 * k : 4 * k + 4]) + "\n")
-    batch = scanlog.band_states(scanlog.parse_scan_log(spark.read.text(str(tmp_path))))
-    want = {r["band"]: (r["planned"], r["done"], r["status"]) for r in batch.collect()}
-    assert want == {1: (2, 2, "done"), 2: (5, 1, "running"), 3: (None, 0, "pending"), 4: (None, 0, "done")}
-    events = scanlog.parse_scan_log(scanlog.read_scan_log(spark, str(tmp_path)))
-    got = run(spark, scanlog.band_state_stream(events), "update", "bands")
-    last = {}
-    for r in sorted(got.collect(), key=lambda r: (r["last_ts"], r["done"])):
-        last[r["band"]] = (r["planned"], r["done"], r["status"])
-    assert last == want
+def states(df):
+    return {(r["log"].rsplit("/", 1)[-1], r["band"]): (r["planned"], r["done"], r["status"]) for r in df.collect()}
+
+
+def test_lines_of_a_log(spark, tmp_path):
+    write(tmp_path)
+    placed = scanlog.place_events(scanlog.parse_scan_log(scanlog.read_scan_log(spark, str(tmp_path / "*"), stream=False)))
+    found = scanlog.band_states(placed)
+    assert states(found) == WANT
+    first = scanlog.band_states(placed.where("run = 1 AND log LIKE '%one'")).first()
+    assert (first["band"], first["planned"], first["coverage"], first["candidates"], first["done"], first["status"]) == (7, 2, 99.1, 120, 2, "done")
+    assert str(first["first_ts"]) == "2026-07-16 10:00:00" and str(first["last_ts"]) == "2026-07-16 10:40:00"
+    assert found.where("log LIKE '%two' AND band = 1").first()["seconds"] == 12.5
+    assert scanlog.band_states(placed.limit(0)).count() == 0
+
+
+def test_band_state_stream(spark, tmp_path):
+    """The same states when logs come in two parts and the stream starts again between, wherever the first part ends."""
+    for cut in (3, 6, 9):
+        path, last = tmp_path / str(cut), {}
+        for name in LOGS:
+            (path / name).mkdir(parents=True)
+
+        def keep(batch, _, last=last):
+            for r in batch.collect():
+                last[r["log"].rsplit("/", 1)[-1], r["band"]] = (r["planned"], r["done"], r["status"])
+
+        for k in range(2):
+            for name, lines in LOGS.items():
+                (path / name / f"{k}.log").write_text("\n".join(lines[cut:] if k else lines[:cut]) + "\n")
+            stream = scanlog.band_state_stream(scanlog.parse_scan_log(scanlog.read_scan_log(spark, str(path / "*"))))
+            stream.writeStream.outputMode("update").option("checkpointLocation", str(path / "marks")).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination(120)
+        assert last == WANT
 
 
 def test_throughput_stream(spark, tmp_path):
-    (tmp_path / "a.log").write_text("\n".join([*LINES, "2024-01-01 03:00:00 band=9 node complete: M9"]) + "\n")
-    events = scanlog.parse_scan_log(scanlog.read_scan_log(spark, str(tmp_path)))
+    write(tmp_path)
+    events = scanlog.parse_scan_log(scanlog.read_scan_log(spark, str(tmp_path / "*"))).where("kind IS NOT NULL")
     got = run(spark, scanlog.throughput_stream(events), "append", "hours").collect()
-    assert sum(r["n"] for r in got) == 7  # all but the last hour, which is open until the watermark passes it
+    batch = scanlog.parse_scan_log(scanlog.read_scan_log(spark, str(tmp_path / "*"), stream=False)).where("kind IS NOT NULL AND ts < '2026-07-16 22:00'")
+    assert sum(r["n"] for r in got) == batch.count()  # all but the last hour, which is open until the watermark passes it
 
 
 def test_new_arrivals_and_ingest(spark, tmp_path):
-    rows = spark.createDataFrame([("p1", 1), ("p1", 2), ("p2", 3)], "product_id string, tile_id int")
+    rows = spark.createDataFrame([("p1", 1), ("p1", 2), ("p2", 3)], "product_id string, tile_id int").withColumn("ts", F.timestamp_seconds("tile_id"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     assert run(spark, scanlog.new_arrivals(stream, "product_id"), "append", "fresh").count() == 2
@@ -45,10 +87,14 @@ def test_new_arrivals_and_ingest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
-def test_late_rows_are_split(spark):
+def test_late_rows_are_split(spark, tmp_path):
     kept, late = [], []
-    run_batch = scanlog.split_late(lambda d, _: kept.extend(d.collect()), lambda d, _: late.extend(d.collect()))
+    make = lambda: scanlog.split_late(lambda d, _: kept.extend(d.collect()), lambda d, _: late.extend(d.collect()), str(tmp_path / "times"))
     at = lambda *s: spark.sql("SELECT timestamp(col1) AS ts FROM VALUES " + ", ".join(f"('2024-01-01 {x}')" for x in s))
-    run_batch(at("12:00:00"), 0)
-    run_batch(at("11:45:00", "11:55:00", "12:10:00"), 1)
-    assert len(kept) == 3 and len(late) == 1
+    make()(at("12:00:00"), 0)
+    for _ in range(2):  # after a restart, and again: the batch's own times do not count
+        kept.clear(), late.clear()
+        make()(at("11:45:00", "11:55:00", "12:10:00"), 1)
+        assert len(kept) == 2 and len(late) == 1
+    make()(spark.sql("SELECT CAST(NULL AS timestamp) AS ts UNION ALL SELECT timestamp'2024-01-01 11:59:00'"), 2)
+    assert len(kept) == 3 and len(late) == 2
