@@ -8,17 +8,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
 from .common import held_out, stage
 
 UNKNOWN = "und"
-#: Bounds of what is learned: texts of each language (by hash of the id), and n-grams of each language.
-SAMPLE_TEXTS, GRAMS = 4000, 20_000
-#: Cells and hash functions of the filter.
-CELLS, HASHES = 1 << 19, 3
+#: Bound of what is learned: texts of each language, by hash of the id.
+SAMPLE_TEXTS = 4000
+#: An n-gram belongs to a language if it stands in this share of its sampled texts, and in two at least.
+SHARE = 0.001
+#: Hash functions of the filter, its cells for each n-gram of a language, and the bits of a hash that each function takes.
+HASHES, PER_GRAM, BITS = 3, 16, 21
 
 
 @cache
@@ -63,17 +65,20 @@ class LanguageFilters:
     cells: np.ndarray
     false_positives: np.ndarray
 
-    @staticmethod
-    def places(hashes: np.ndarray) -> list[np.ndarray]:
-        return [((hashes >> np.uint64(20 * h)) % np.uint64(CELLS)).astype(np.int64) for h in range(HASHES)]
+    def places(self, hashes: np.ndarray) -> list[np.ndarray]:
+        return [((hashes >> np.uint64(BITS * h)) % np.uint64(len(self.cells))).astype(np.int64) for h in range(HASHES)]
 
     @classmethod
     def build(cls, languages: list[str], hashes: np.ndarray, language: np.ndarray) -> LanguageFilters:
-        cells = np.zeros((CELLS, max(1, -(-len(languages) // 64))), np.uint64)
-        for at in cls.places(hashes):
-            np.bitwise_or.at(cells, (at, language // 64), np.uint64(1) << (language % 64).astype(np.uint64))
-        fill = np.array([((cells[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
-        return cls(languages, cells, fill**HASHES)
+        """The filter of n-grams (hashes, language: its number). Cells are as many as the largest language asks for."""
+        most = int(np.bincount(language, minlength=1).max()) if len(language) else 0
+        size = 1 << min(BITS, max(16, (PER_GRAM * most).bit_length()))
+        found = cls(languages, np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64), np.zeros(len(languages)))
+        for at in found.places(hashes):
+            np.bitwise_or.at(found.cells, (at, language // 64), np.uint64(1) << (language % 64).astype(np.uint64))
+        fill = np.array([((found.cells[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
+        found.false_positives = fill**HASHES
+        return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language of each text, and the share of its n-grams that the language holds, false positives taken off."""
@@ -96,17 +101,17 @@ class LanguageFilters:
         return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, has_letter, strict=True)], np.where(has_letter, share.max(0), 0.0)
 
 
-def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_texts: int = SAMPLE_TEXTS, n_grams: int = GRAMS) -> LanguageFilters:
-    """Filters from labelled texts: a bounded sample (about sample_texts of each language, by hash of the id). Of each
-    language the n_grams most frequent n-grams go in; an n-gram belongs to the languages in which its share of all n-grams
-    is at least half of its largest share. Null or letterless labels and texts teach nothing. Ties go by hash."""
+def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_texts: int = SAMPLE_TEXTS, share: float = SHARE) -> LanguageFilters:
+    """Filters from labelled texts: a bounded sample (about sample_texts of each language, by hash of the id). A language's
+    filter holds every n-gram that stands in the share of its sampled texts, and in two at least (in one, if there is only
+    one), whatever other languages hold it too. Null or blank labels and null texts teach nothing."""
     known = df.where(F.col(lang_col).isNotNull() & (F.trim(lang_col) != "") & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")
     )
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     languages = list(sizes)
     if not languages:
-        return LanguageFilters([], np.zeros((CELLS, 1), np.uint64), np.zeros(0))
+        return LanguageFilters.build([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
     span = 1 << 30
     limit = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, span * sample_texts // n))])
     sample = known.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(span)) < limit[F.col("lang")])
@@ -117,17 +122,19 @@ def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang
                 hashes, of, _ = grams([x or "" for x in block.column("text").to_pylist()])
                 names = block.column("lang").dictionary_encode()
                 lang = names.indices.to_numpy()[of]
+                own = names.indices.to_numpy()
                 for k, name in enumerate(names.dictionary.to_pylist()):
-                    gram, n = np.unique(hashes[lang == k], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                    mine = lang == k
+                    pairs = np.unique(np.stack([of[mine].astype(np.uint64), hashes[mine]]), axis=1)  # each n-gram once a text
+                    gram, n = np.unique(pairs[1], return_counts=True)
+                    gram, n = [None, *gram.view(np.int64).tolist()], [int((own == k).sum()), *n.tolist()]  # null: texts
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = stage(counted, "grams")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= n_grams)
-    shares = top.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    largest = shares.groupBy("gram").agg(F.max("share").alias("largest"))
-    rows = shares.join(largest, "gram").where(F.col("share") * 2 >= F.col("largest")).select("lang", "gram").collect()  # n_grams rows a language at most
+    texts = counted.where("gram IS NULL").select("lang", F.col("n").alias("texts"))
+    often = counted.where("gram IS NOT NULL").join(F.broadcast(texts), "lang").where(F.col("n") >= F.least(F.col("texts"), F.greatest(F.lit(2), F.lit(share) * F.col("texts"))))
+    rows = often.select("lang", "gram").collect()  # of a bounded sample, and n-grams of several texts only
     index = {lang: k for k, lang in enumerate(languages)}
     return LanguageFilters.build(languages, np.array([r["gram"] for r in rows], np.int64).view(np.uint64), np.array([index[r["lang"]] for r in rows], np.int64))
 
@@ -148,7 +155,9 @@ def identify(df: DataFrame, filters: LanguageFilters, text_col: str = "text") ->
 
 
 def keep_identified(df: DataFrame, least: float = 0.1, **columns) -> DataFrame:
-    """df without texts that have no letter, or of whose n-grams hardly any belong to the best language; in df's own columns."""
+    """df without texts that have no letter (null and empty ones too), or of whose n-grams a share below least belongs to the
+    best language; in df's own columns, which may have any names. Repeated rows fare alike; an empty table gives an empty
+    one, and without labelled texts nothing is identified."""
     filters = learn_languages(df.where(~held_out(F.col(columns.get("id_col", "doc_id")))), **columns)
     return identify(df, filters, columns.get("text_col", "text")).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("record.*")
 
