@@ -12,24 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import held_out
+from .common import held_out, stage
 
-#: Bounds of what is learned: labelled texts (by hash of the id) and words of the learned lexicon.
-SAMPLE_TEXTS, LEXICON = 20_000, 4000
-#: Lengths in bytes of word beginnings that may enter the lexicon beside whole words, so that unseen endings are met.
+#: Bound of what is learned: labelled texts, by hash of the id.
+SAMPLE_TEXTS = 20_000
+#: Lengths in bytes of word beginnings that may enter the lexicons beside whole words, so that unseen endings are met.
 STEMS = (4, 5, 6)
-#: Voters over parts of the learned lexicon.
-PARTS = 12
-# Insults for a voter that needs no labels.
+# Insults for voters that need no labels.
 INSULTS = ["clown", "disgusting", "dumb", "fool", "garbage", "idiot", "idiots", "imbecile", "loser", "losers", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
-#: Log-likelihood ratio from which a word counts as tied to the label (chance reaches it for about one word in 40,000).
-_TIED = 18.0
-VOTERS = [*(f"lexicon {k}" for k in range(PARTS)), "lexicon, one word", "lexicon, several words", "lexicon, dense", "insults", "insults, several", "shouting", "exclamations", "no lexicon word"]
+#: Log-likelihood ratios from which a word counts as tied to the label (chance reaches the first for about one word in 40,000):
+#: words from each on make a lexicon of their own.
+TIED = (18.0, 40.0, 120.0)
+KINDS = ("words", *(f"beginnings of {n}" for n in STEMS))
+PARTS = len(KINDS) * len(TIED)
+VOTERS = [*(f"{kind}, tied by {t:.0f}" for kind in KINDS for t in TIED), "any tied word", "several tied words", "dense tied words", "insults", "several insults", "shouting", "exclamations"]
 
 
 @dataclass
 class Toxicity:
-    """The learned words and word beginnings (hashes in order, with their voters) and the weights of the classifier."""
+    """The learned words and word beginnings (hashes in order, with their lexicons) and the weights of the classifier."""
 
     lexicon: np.ndarray
     part: np.ndarray
@@ -53,8 +54,7 @@ class Toxicity:
         insults = np.bincount(of[insult], minlength=n)
         totals = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))]), np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))]), np.concatenate([[0], np.cumsum(data == 33)])
         upper, lower, marks = (t[offsets[1:]] - t[offsets[:-1]] for t in totals)
-        votes[:, PARTS:] = np.stack([hits >= 1, hits >= 2, hits >= 0.01 * np.maximum(words, 1), insults >= 1, insults >= 2, upper > lower, marks > 0.05 * np.maximum(words, 1), hits == 0], 1)
-        votes[:, PARTS + 2] *= hits > 0
+        votes[:, PARTS:] = np.stack([hits >= 1, hits >= 2, (hits > 0) & (hits >= 0.01 * words), insults >= 1, insults >= 2, upper > lower, marks > 0.05 * np.maximum(words, 1)], 1)
         return votes, np.stack([np.log1p(hits), np.log1p(100 * hits / np.maximum(words, 1)), np.log1p(words) / 10], 1)
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -96,31 +96,30 @@ def _design(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(votes), 1)), votes, counts], 1)
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of class 1, accuracies, correlations): a generative model of 0/1 votes given a hidden class, fitted by EM.
+def label_model(votes: np.ndarray, rounds: int = 50, shrink: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of class 1, accuracies, correlations) of 0/1 votes for a hidden class: a generative model fitted by EM.
 
-    Each voter has a rate of votes in either class. The labels are one more voter, of unknown accuracy, so mislabelled
-    rows may be outvoted. Voters are not independent: from the votes' residuals under the current posterior come their
-    correlations, and a voter counts with weight 1 / (sum of its absolute correlations), so copies of a voter count once."""
-    x = np.concatenate([votes, label[:, None].astype(float)], 1)
-    posterior = np.clip(label.astype(float), 0.05, 0.95)
-    correlation = np.eye(x.shape[1])
+    Each voter has a rate of votes in either class, and within the classes votes have one covariance: the log odds of a row
+    are those of two such clouds of votes, so voters that say the same share one weight, and ones that never vote have none.
+    The start is a vote of its own: class 1 where a third of the voters vote. shrink times the mean variance on the diagonal
+    keeps copies of a voter apart."""
+    n, m = votes.shape
+    posterior = np.where(votes.mean(1) >= 1 / 3, 0.95, 0.05)
+    covariance = np.eye(m)
     for _ in range(rounds):
-        prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
-        rate = [(w @ x + 0.1) / (w.sum() + 0.2) for w in (1 - posterior, posterior)]
-        residual = x - np.outer(1 - posterior, rate[0]) - np.outer(posterior, rate[1])
-        spread = np.sqrt((residual**2).mean(0)) + 1e-6
-        correlation = (residual.T @ residual) / len(x) / np.outer(spread, spread)
-        weight = 1 / np.maximum(1.0, np.abs(np.where(np.abs(correlation) > 0.1, correlation, 0)).sum(0))
-        weight[-1] = 1.0
-        log = np.log(prior / (1 - prior)) + x @ (weight * np.log(rate[1] / rate[0])) + (1 - x) @ (weight * np.log((1 - rate[1]) / (1 - rate[0])))
-        new = _sigmoid(log)
+        prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
+        rate = [(w @ votes + 0.05) / (w.sum() + 0.1) for w in (1 - posterior, posterior)]
+        residual = votes - np.outer(1 - posterior, rate[0]) - np.outer(posterior, rate[1])
+        covariance = residual.T @ residual / n
+        weight = np.linalg.solve(covariance + (shrink * np.trace(covariance) / m + 1e-9) * np.eye(m), rate[1] - rate[0])
+        new = _sigmoid((votes - (rate[0] + rate[1]) / 2) @ weight + np.log(prior / (1 - prior)))
         done = np.abs(new - posterior).max() < 1e-4
         posterior = new
         if done:
             break
-    accuracy = (posterior[:, None] * x + (1 - posterior)[:, None] * (1 - x)).mean(0)
-    return posterior, accuracy, correlation
+    spread = np.sqrt(np.diag(covariance)) + 1e-9
+    accuracy = (posterior[:, None] * votes + (1 - posterior)[:, None] * (1 - votes)).mean(0)
+    return posterior, accuracy, covariance / np.outer(spread, spread)
 
 
 def fit_linear(design: np.ndarray, target: np.ndarray, penalty: float = 0.05, rounds: int = 50) -> np.ndarray:
@@ -137,18 +136,21 @@ def fit_linear(design: np.ndarray, target: np.ndarray, penalty: float = 0.05, ro
     return w
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_texts: int = SAMPLE_TEXTS, lexicon: int = LEXICON) -> Toxicity:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_texts: int = SAMPLE_TEXTS) -> Toxicity:
     """Learn from labelled texts: a bounded sample (about sample_texts, by hash of the id), with its words counted in Spark.
 
-    The lexicon holds the words and word beginnings most tied to label 1 by log-likelihood ratio; voters hold parts of it. Ids with several
-    labels count as 1 if any is; null labels teach nothing. Without labels of both kinds, every score is 0."""
+    Labels make the lexicons: words and word beginnings tied to label 1 by log-likelihood ratio, in as many lexicons as there
+    are kinds and strengths. These and patterns vote, and so does the label, whose accuracy is estimated like any other's; the
+    label model turns votes into posteriors, and the classifier learns these from the text's own votes. Ids with several labels count as 1 if any is, ids with several texts by the smallest;
+    null labels teach nothing. Without labels of both kinds, every score is 0."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n = known.count()
     if not n:
         return Toxicity(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     span = 1 << 30
     sample = known.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(span)) < min(span, span * sample_texts // n))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")  # about sample_texts rows
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    texts = stage(texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y")), "labelled")  # about sample_texts rows
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,22 +158,24 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 data, offsets = arrays.utf8(block.column("text"))
                 start, end, n_words = arrays.words(data, offsets, arrays.PUNCTUATION)
                 of = np.repeat(np.arange(block.num_rows), n_words)
-                parts = list(_stems(data, start, end))
-                found = np.unique(np.stack([np.concatenate([of[word] for _, word in parts]).astype(np.uint64), np.concatenate([h for h, _ in parts])]), axis=1)
-                yield pa.RecordBatch.from_arrays([block.column("y").take(pa.array(found[0].astype(np.int64))), pa.array(found[1].view(np.int64))], ["y", "word"])
+                for kind, (hashes, word) in enumerate(_stems(data, start, end)):
+                    found = np.unique(np.stack([of[word].astype(np.uint64), hashes]), axis=1)
+                    y = block.column("y").take(pa.array(found[0].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([y, pa.array(np.full(len(y), kind, np.int32)), pa.array(found[1].view(np.int64))], ["y", "kind", "word"])
 
-    words = texts.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(stems, "y int, word long")
+    words = texts.select("y", "text").mapInArrow(stems, "y int, kind int, word long")
     n1, n0 = texts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     if not n1 or not n0:
         return Toxicity(np.zeros(0, np.uint64), np.zeros(0, np.int64))
     a, b, rate = F.col("a"), F.col("b"), n1 / (n0 + n1)
     part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
     both = part(a, (a + b) * rate) + part(b, (a + b) * (1 - rate)) + part(n1 - a, (n1 + n0 - a - b) * rate) + part(n0 - b, (n1 + n0 - a - b) * (1 - rate))
-    tied = words.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).withColumn("g", 2 * both)
-    tied = tied.where((F.col("g") >= _TIED) & (a > 3 * rate * (a + b))).orderBy(F.desc("g"), "word").limit(lexicon).collect()
+    tied = words.groupBy("kind", "word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).withColumn("g", 2 * both)
+    tied = tied.where((F.col("g") >= TIED[0]) & (a > 3 * rate * (a + b))).orderBy("word", "kind").collect()  # words of several sampled texts each
+    part = [len(TIED) * r["kind"] + sum(r["g"] >= t for t in TIED) - 1 for r in tied]
     hashes = np.array([r["word"] for r in tied], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    model = Toxicity(hashes[order], (np.arange(len(hashes)) % PARTS)[order])
+    model = Toxicity(hashes[order], np.array(part, np.int64)[order])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,12 +183,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 votes, counts = model.features(block.column("text"))
                 yield pa.RecordBatch.from_arrays([block.column("y"), pa.array(np.concatenate([votes, counts], 1).tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = texts.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(featurise, "y int, x array<double>").toPandas()  # about sample_texts rows
-    x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy()
-    order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order]
-    votes, counts = x[:, : len(VOTERS)], x[:, len(VOTERS) :]
-    model.weights = fit_linear(_design(votes, counts), label_model(votes, y)[0])
+    rows = texts.select("y", "text").mapInArrow(featurise, "y int, x array<double>").toPandas()  # about sample_texts rows
+    x = np.concatenate([np.array(rows["x"].tolist()), rows["y"].to_numpy(float)[:, None]], 1)
+    x = x[np.lexsort(x.T)]
+    votes, counts, label = np.split(x, [len(VOTERS), x.shape[1] - 1], axis=1)
+    model.weights = fit_linear(_design(votes, counts), label_model(np.concatenate([votes, label], 1))[0])
     return model
 
 
