@@ -377,12 +377,12 @@ def f07_scan_roi(t: Tables):
     box = [f(c).alias(n) for f, c, n in ((F.min, "lon", "min_lon"), (F.min, "lat", "min_lat"), (F.max, "lon", "max_lon"), (F.max, "lat", "max_lat"))]
     footprints = t.tiles.groupBy("product_id").agg(*box).withColumns({"orbit": F.lit(1).cast("long"), "resolution": F.lit(None).cast("double"), "incidence": F.lit(None).cast("double")})
     low, west = t.tiles.agg(F.min("lat")).first()[0], 300.0
-    return scan.scan_roi(footprints, (west + 0.004, low, west + 0.036, 10.0), vectors_of(t)[0], t.anchors, t.tiles, 0.002)
+    return scan.scan_roi(footprints, (west + 0.004, low, west + 0.036, 10.0), vectors_of(t)[0], t.anchors, t.tiles, 0.002, base=40)
 
 
 @query("i07_spectral_coords")
 def i07(t: Tables):
-    return latent.spectral_coords(stage(latent.knn_graph(vectors_of(t)[0], 8), "graph"), 2, 12)
+    return latent.spectral_coords(stage(latent.knn_graph(vectors_of(t)[0], 8), "graph"))
 
 
 @query("k08_latent_summary")
@@ -397,7 +397,7 @@ def k08(t: Tables):
     ratio = latent.jl_ratios(vectors, _low(t), queries=queries).select("id", F.when(col("pairs") > 0, col("ratio") / col("pairs")).otherwise(1.0).alias("ratio"))
     graph = stage(latent.knn_graph(vectors, 8), "graph")
     degree = graph.groupBy(col("src").alias("id")).agg(F.sum("w").alias("degree"))
-    parts = [latent.reduce_2d(vectors), strain, ratio, degree, latent.spectral_coords(graph, 2, 12)]
+    parts = [latent.reduce_2d(vectors), strain, ratio, degree, latent.spectral_coords(graph)]
     for part in parts:
         near = near.join(part, "id", "left")
     return near.withColumn("gate", ids.pit_gate(col("strain"), F.lit(1.0), col("distance"), F.lit(99)))

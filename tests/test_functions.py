@@ -87,3 +87,41 @@ def test_null_bearing_is_the_default(spark):
 
 def test_ray_misses(spark):
     assert one(spark, geo.ray_sphere([lit(3e6), lit(2e6), lit(0.0)], [lit(-1.0), lit(0.0), lit(0.0)]))[0] is None
+
+
+def ring(points):
+    return F.array(*[F.struct(lit(float(x)).alias("lon"), lit(float(y)).alias("lat")) for x, y in points])
+
+
+@pytest.mark.parametrize("by, area", [
+    ([(0, 0), (4, 0), (0, 4)], 6.0), ([(0, 4), (4, 0), (0, 0)], 6.0), ([(5, 5), (6, 5), (6, 6)], 0.0), ([(-9, -9), (9, -9), (9, 9), (-9, 9)], 9.0), ([(1, 1), (2, 1), (2, 2), (1, 2)], 1.0),
+    ([(1.5, -1), (4, 1.5), (1.5, 4), (-1, 1.5)], 9 - 4 * 0.5 * 0.5 * 0.5),
+])
+def test_convex_clip(spark, by, area):
+    square = [(0, 0), (3, 0), (3, 3), (0, 3)]
+    want = 6.0 if area == 6.0 else area
+    if area == 6.0:  # the triangle loses its two corners beyond the square
+        want = 8 - 2 * 0.5
+    got = one(spark, geo.convex_clip_area(ring(square), ring(by)), geo.convex_clip_area(ring(square[::-1]), ring(by)))
+    assert got[0] == pytest.approx(want) and got[1] == pytest.approx(want)
+
+
+def test_clip_of_random_triangles_is_symmetric(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(4):
+        p, q = rng.uniform(0, 4, (2, 3, 2))
+        a, b, n = one(spark, geo.convex_clip_area(ring(p), ring(q)), geo.convex_clip_area(ring(q), ring(p)), lit(1))
+        at = rng.uniform(0, 4, (200_000, 2))
+
+        def inside(t):
+            d = [(t[(k + 1) % 3][0] - t[k][0]) * (at[:, 1] - t[k][1]) - (t[(k + 1) % 3][1] - t[k][1]) * (at[:, 0] - t[k][0]) for k in range(3)]
+            return (np.array(d) >= 0).all(0) | (np.array(d) <= 0).all(0)
+
+        assert a == pytest.approx(b) and a == pytest.approx((inside(p) & inside(q)).mean() * 16, abs=0.1)
+
+
+def test_chain_of_places(spark):
+    nan, none = lit(float("nan")), lit(None).cast("double")
+    lon, lat = geo.first_place((none, lit(1.0)), (nan, lit(1.0)), (lit(0.0), lit(0.0)), (lit(0.0), lit(5.0)), (lit(9.0), lit(9.0)))
+    assert tuple(one(spark, lon, lat)) == (0.0, 5.0)
+    assert tuple(one(spark, *geo.first_place((none, none)))) == (None, None)

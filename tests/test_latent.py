@@ -4,24 +4,41 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridquarry.operators import coverage, joins, latent, shapes
+from gridquarry.operators import coverage, joins, latent, search, shapes
 
 
 def table(spark, x):
     return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
 
 
+def residuals(edges, got):
+    """(eigenvalues of a dense solver, residuals of the coordinates against their own quotients, these)."""
+    rows = {r["id"]: (r["c1"], r["c2"]) for r in got.collect()}
+    place = {i: k for k, i in enumerate(sorted(rows))}
+    dense = np.zeros((len(rows), len(rows)))
+    for r in edges.collect():
+        dense[place[r["src"]], place[r["dst"]]] = r["l"]
+    x = np.array([rows[i] for i in sorted(rows)])
+    value = np.diag(x.T @ dense @ x)
+    assert np.allclose(x.T @ x, np.eye(2), atol=1e-6)
+    return np.linalg.eigvalsh(dense), np.linalg.norm(dense @ x - x * value, axis=0), value
+
+
 def test_spectral_coords_equal_eigenvectors(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(12, 6)) * 0.3 + c for c in (np.eye(6)[0] * 3, np.eye(6)[1] * 3, np.eye(6)[2] * 3)])
     edges = latent.knn_graph(table(spark, x), 20)
-    dense = np.zeros((36, 36))
-    for r in edges.collect():
-        dense[r["src"], r["dst"]] = r["l"]
-    values, want = np.linalg.eigh(dense)
-    got = np.array([(r["c1"], r["c2"]) for r in latent.spectral_coords(edges, 2, 60).orderBy("id").collect()])
-    residual = np.linalg.norm(dense @ got - got * values[1:3], axis=0)
-    assert (residual < 0.02).all() and np.allclose(got.T @ got, np.eye(2), atol=1e-6)
+    values, off, own = residuals(edges, latent.spectral_coords(edges))
+    assert (off < 2e-3).all() and own == pytest.approx(values[1:3], abs=1e-5)
+
+
+def test_all_knn_in_blocks(spark):
+    x = np.random.default_rng(11).normal(size=(90, 5))
+    got = {(r["query"], r["rank"]): r["id"] for r in search.all_knn(table(spark, x), 4, block=13).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    assert got == {(i, r + 1): j for i in range(90) for r, j in enumerate(sorted(range(90), key=lambda j: (-s[i, j], j))[:4])}
+    assert search.all_knn(table(spark, x).limit(0), 4).count() == 0
 
 
 def test_distortion_of_the_same_vectors_is_none(spark):

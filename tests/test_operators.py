@@ -127,3 +127,66 @@ def test_family_thresholds_and_merge(spark):
     q = spark.createDataFrame([(k, 0 if k < 50 else 1) for k in range(51)], "query int, family int")
     got = {r["family"]: r["threshold"] for r in search.family_thresholds(q, 113).collect()}
     assert got == {0: 112, 1: 103}
+
+
+def test_nms_with_priorities_along_a_chain(spark):
+    """The worst case for rounds: every row waits for the one before."""
+    df = spark.createDataFrame([(k, float(k)) for k in range(12)], "s int, x double").withColumn("y", F.lit(0.0))
+    assert sorted(r["s"] for r in nms.nms_plane(df, "x", "y", [F.col("s")], 1.5).collect()) == list(range(0, 12, 2))
+
+
+def test_crop_roi(spark):
+    frame = np.arange(12 * 10, dtype=float).reshape(12, 10)
+    stripes = spark.createDataFrame([("p", k, row.tolist()) for k, row in enumerate(frame)], "product_id string, line int, values array<double>")
+    frames = spark.createDataFrame([("p", 12, 10), ("empty", 5, 5)], "product_id string, lines int, samples int")
+    at = [(1, "p", 5.9, 6.2), (2, "p", 0.0, 0.0), (3, "p", 11.5, 13.0), (4, "p", 14.1, 0.0), (5, "p", None, 1.0), (6, "none", 1.0, 1.0), (7, "empty", 2.0, 2.0), (8, "p", -4.0, -4.0)]
+    got = {r["k"]: r["pixels"] for r in tiles.crop_roi(spark.createDataFrame(at, "k int, product_id string, x double, y double"), frames, stripes, "k", 4, 4).collect()}
+    for k, _, x, y in at[:3] + at[7:]:
+        want = np.full((4, 4), np.nan)
+        for i in range(4):
+            for j in range(4):
+                r, c = int(np.floor(y)) - 2 + i, int(np.floor(x)) - 2 + j
+                if 0 <= r < 12 and 0 <= c < 10:
+                    want[i, j] = frame[r, c]
+        assert np.array_equal(np.array(got[k]).reshape(4, 4), want, equal_nan=True)
+    assert got[4] is None and got[5] is None and got[6] is None and np.isnan(got[7]).all() and len(got[7]) == 16
+
+
+def test_read_rasters(spark, tmp_path):
+    from gridquarry.sources import tables
+
+    one, two = np.array([[1, -32768, 3], [4, 5, 6]]), np.arange(6).reshape(3, 2)
+    (tmp_path / "a.IMG").write_bytes(b"label" + one.astype(">i2").tobytes())
+    (tmp_path / "b.IMG").write_bytes(two.astype("<u1").tobytes()[:4])  # a line is missing
+    labels = [("a.IMG", "A", 5, 2, 3, 16, True, True, 0.5, 1.0), ("b.IMG", "B", 0, 3, 2, 8, False, False, 1.0, 0.0), ("c.IMG", "C", 0, 1, 1, 8, False, False, 1.0, 0.0)]
+    schema = "file string, product_id string, header_bytes int, lines int, samples int, bits int, msb boolean, signed boolean, scale double, offset double"
+    found = tables.read_rasters(spark, str(tmp_path), spark.createDataFrame(labels, schema))
+    got = {(r["product_id"], r["line"]): r["values"] for r in found.collect()}
+    assert np.isnan(got["A", 0][1]) and got["A", 0][::2] == [1.5, 2.5] and got["A", 1] == [3.0, 3.5, 4.0] and got["B", 1] == [2.0, 3.0] and len(got) == 4
+    most = {(r["product_id"], r["line"]): r["values"] for r in tables.by_frame_maximum(found).collect()}
+    assert most["A", 1] == [0.75, 0.875, 1.0] and most["B", 0] == [0.0, pytest.approx(1 / 3)]
+
+
+def test_scan_of_a_region(spark):
+    """The same as a scan of the chosen product's tiles in the region."""
+    from gridquarry.plans import scan
+    from gridquarry.plans.queries import QUERIES
+    from gridquarry.plans.standins import table
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["f07_scan_roi"](spark, sf).collect()
+    pieces = table(spark, sf, "tiles")
+    inside = pieces.where("lon BETWEEN 300.004 AND 300.036")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    names = {r["product_id"] for r in got}
+    whole = scan.scan(vectors, table(spark, sf, "anchors"), inside.where(F.col("product_id").isin(sorted(names))), base=40)
+    assert 1 <= len(names) < pieces.select("product_id").distinct().count() and got == whole.collect()
+    roi_tiles = {r["tile_id"] for r in inside.collect()}
+    assert {r["tile_id"] for r in got} <= roi_tiles
+
+
+def test_files_without_a_window_go_with_all(spark):
+    products = spark.createDataFrame([("p",), ("q",)], "product_id string").withColumn("ts", F.lit("2020-01-05").cast("timestamp"))
+    files = spark.createDataFrame([(f"open{k}",) for k in range(2500)] + [("x_2020001_2020010",), ("x_2021001_2021010",)], "name string")
+    got = joins.covering_files(products, files)
+    assert got.count() == 2 * 2501 and got.where("name LIKE 'x%'").count() == 2
