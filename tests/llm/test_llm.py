@@ -172,6 +172,37 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.count() == len(EDGES) and set(docs.columns) < set(back.columns)
 
 
+def test_op5_equals_brute_force(spark):
+    """The whole query: every row once, sizes and checksums, and the law."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = queries.QUERIES["op5_sharding"](spark, SF).collect()
+    raw = {r["doc_id"]: (r["text"] or "").encode() for r in docs}
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((i, len(t) + 1, zlib.crc32(t)) for i, t in raw.items())
+    slots = {k: sorted(r["slot"] for r in got if r["shard"] == k) for k in range(8)}
+    assert all(v == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
+def test_op3_equals_brute_force(spark):
+    """The whole query: every document's ids in pieces, sequences gapless and not above 2048, and few of them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = queries.QUERIES["op3_packing"](spark, SF).collect()
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [*exact.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
+        want += [(r["doc_id"], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    ends = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert ends.get(r["sequence_id"], 0) == r["offset"]
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048 and len(ends) <= 1.02 * sum(ends.values()) / 2048 + 1
+
+
 # --- packing
 
 
@@ -663,3 +694,20 @@ def test_pipeline(spark):
     docs = common.stage(corpus_pipeline.mix(spark, docs, SF), "mix")
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.where("piece = 0").count() == docs.count()
+
+
+def test_pipeline_edges(spark, clashing, empty):
+    """Nulls, short and long texts, repeated rows and clashing names go through all stages; so does an empty table."""
+    import corpus_pipeline
+
+    for docs in (clashing, empty):
+        n = docs.count()
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            columns, docs = docs.columns, common.stage(function(spark, docs, SF), name)
+            assert docs.columns == columns
+            if name != "mixing":
+                assert docs.count() <= n
+                n = docs.count()
+            if name == "jaccard":
+                assert {(r["doc_id"], r["text"][:5]) for r in docs.collect()} == ({(1, "Hello"), (None, "Ünïco"), (5, "word "), (7, "ÄHell"), (8, "ähell")} if n else set())
+        assert corpus_pipeline.pack(spark, docs, SF).where("piece = 0").count() == docs.count()
