@@ -68,6 +68,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct_pairs(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the first of each different pair of a text's number and a hash, told apart by 64 bits of both."""
+    with np.errstate(over="ignore"):
+        return np.unique(mix(hashes ^ mix(of.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, counts): places of the words in the bytes, and words of each text. No word spans two texts."""
     if not len(data):

@@ -122,11 +122,9 @@ def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang
                 hashes, of, _ = grams([x or "" for x in block.column("text").to_pylist()])
                 names = block.column("lang").dictionary_encode()
                 lang = names.indices.to_numpy()[of]
-                own = names.indices.to_numpy()
+                own, once = names.indices.to_numpy(), arrays.distinct_pairs(of, hashes)  # each n-gram once a text
                 for k, name in enumerate(names.dictionary.to_pylist()):
-                    mine = lang == k
-                    pairs = np.unique(np.stack([of[mine].astype(np.uint64), hashes[mine]]), axis=1)  # each n-gram once a text
-                    gram, n = np.unique(pairs[1], return_counts=True)
+                    gram, n = np.unique(hashes[once][lang[once] == k], return_counts=True)
                     gram, n = [None, *gram.view(np.int64).tolist()], [int((own == k).sum()), *n.tolist()]  # null: texts
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 

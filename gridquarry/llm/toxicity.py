@@ -159,9 +159,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 start, end, n_words = arrays.words(data, offsets, arrays.PUNCTUATION)
                 of = np.repeat(np.arange(block.num_rows), n_words)
                 for kind, (hashes, word) in enumerate(_stems(data, start, end)):
-                    found = np.unique(np.stack([of[word].astype(np.uint64), hashes]), axis=1)
-                    y = block.column("y").take(pa.array(found[0].astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([y, pa.array(np.full(len(y), kind, np.int32)), pa.array(found[1].view(np.int64))], ["y", "kind", "word"])
+                    once = arrays.distinct_pairs(of[word], hashes)
+                    y = block.column("y").take(pa.array(of[word][once]))
+                    yield pa.RecordBatch.from_arrays([y, pa.array(np.full(len(y), kind, np.int32)), pa.array(hashes[once].view(np.int64))], ["y", "kind", "word"])
 
     words = texts.select("y", "text").mapInArrow(stems, "y int, kind int, word long")
     n1, n0 = texts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
