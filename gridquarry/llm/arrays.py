@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once; what a task holds is a small multiple of it (and of its longest text).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -49,13 +49,17 @@ def blocks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
 
 
 def _power(n: int) -> list[np.ndarray]:
-    """_BASE to the powers 0 to n, and the inverses."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(2 * n + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+    """_BASE to the powers 0 to n, and the inverses; kept for up to BLOCK_BYTES."""
+    if len(_powers[0]) > n:
+        return _powers
+    found = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(max(n, BLOCK_BYTES) + 1, base, np.uint64)
+        steps[0] = 1
+        found.append(np.multiply.accumulate(steps))
+    if n <= BLOCK_BYTES:
+        _powers[:] = found
+    return found
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,12 +96,20 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words with A-Z in lower case: a polynomial over the word's bytes, mixed."""
+    """64-bit hashes of words (in order of start) with A-Z in lower case: a polynomial over the word's bytes, mixed. Words are
+    taken in runs of about BLOCK_BYTES, so a long text needs no more memory than a block does."""
+    out, at = np.empty(len(start), np.uint64), 0
     with np.errstate(over="ignore"):
-        power, inverse = _power(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        while at < len(start):
+            low = start[at]
+            to = max(at + 1, int(np.searchsorted(end, low + BLOCK_BYTES, "right")))
+            part, first, last = data[low : end[to - 1]], start[at:to] - low, end[at:to] - low
+            power, inverse = _power(len(part))
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[_LOWER[part]] * power[: len(part)], out=total[1:])
+            out[at:to] = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+            at = to
+    return out
 
 
 def hash_word(word: str) -> int:

@@ -54,19 +54,22 @@ def _signatures(rows: DataFrame, k: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
-        kinds = None
+        kinds, seen, waiting = None, [], 0
         for batch in batches:
             for block in arrays.blocks(batch):
                 found = np.zeros((3, block.num_rows), np.int64)
-                seen = []
                 for row, own, one, two in _sets(block, k):
                     found[:, row] = len(own), one, two
                     seen.append(own)
-                if seen:
-                    counts += np.bincount(_cell(np.concatenate(seen)), minlength=len(counts)).astype(np.uint32)
+                    waiting += len(own)
+                    if waiting >= 1 << 20:
+                        counts += np.bincount(_cell(np.concatenate(seen)), minlength=len(counts)).astype(np.uint32)
+                        seen, waiting = [], 0
                 kinds = [block.schema.field(c).type for c in own_columns]
                 empty = pa.nulls(block.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in own_columns), *(pa.array(x) for x in found), empty], [*own_columns, "n", "c1", "c2", "cells"])
+        if seen:
+            counts += np.bincount(_cell(np.concatenate(seen)), minlength=len(counts)).astype(np.uint32)
         if kinds is not None:
             chunks = counts.reshape(-1, _CHUNK)
             n, part = len(chunks), TaskContext.get().partitionId()
