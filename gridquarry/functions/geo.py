@@ -206,7 +206,7 @@ def convex_clip_area(ring: Column, by: Column) -> Column:
 
 def ring_bounds(ring: Column) -> list[Column]:
     """min_lon, min_lat, max_lon, max_lat of a ring."""
-    lons, lats = (F.transform(ring, lambda p, k=k: p[k]) for k in ("lon", "lat"))
+    lons, lats = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
     return [F.array_min(lons), F.array_min(lats), F.array_max(lons), F.array_max(lats)]
 
 

@@ -20,6 +20,11 @@ def footprint_cells(footprints: DataFrame, roi: tuple[float, float, float, float
     return rows.where(inside & region).select("product_id", F.col("c.i").alias("i"), F.col("c.j").alias("j")).distinct()
 
 
+def _named(like: DataFrame, names: list[str]) -> DataFrame:
+    """A table of product_id; picks are few, as they are what a user goes through."""
+    return like.sparkSession.createDataFrame([(n,) for n in names], like.select("product_id").schema)
+
+
 def greedy_cover(cells: DataFrame, min_gain: int = 1, stop_uncovered: int = 0, most: int | None = None, batch: int = 64) -> tuple[list[tuple[str, int]], DataFrame]:
     """Greedy set cover over (product_id, i, j): the picks in order with their gains, and the cells left uncovered.
 
@@ -35,7 +40,7 @@ def greedy_cover(cells: DataFrame, min_gain: int = 1, stop_uncovered: int = 0, m
         bound = gains[batch]["count"] if len(gains) > batch else 0
         names = [r["product_id"] for r in gains[:batch]]
         own: dict[str, set] = {n: set() for n in names}
-        for r in left.where(F.col("product_id").isin(names)).toLocalIterator():  # batch footprints
+        for r in left.join(_named(left, names), "product_id", "left_semi").toLocalIterator():  # batch footprints
             own[r["product_id"]].add((r["i"], r["j"]))
         chosen = []
         while own and (most is None or len(picks) < most):
@@ -49,7 +54,7 @@ def greedy_cover(cells: DataFrame, min_gain: int = 1, stop_uncovered: int = 0, m
             chosen.append(name)
             for rest in own.values():
                 rest -= taken
-        covered = left.where(F.col("product_id").isin(chosen)).select("i", "j").distinct()
+        covered = left.join(_named(left, chosen), "product_id", "left_semi").select("i", "j").distinct()
         left = stage(left.join(covered, ["i", "j"], "left_anti"), "cells")
         if stop_uncovered and left.select("i", "j").distinct().count() <= stop_uncovered:
             break
@@ -75,6 +80,6 @@ def select_coverage(footprints: DataFrame, roi: tuple[float, float, float, float
             break
         found, _ = greedy_cover(cells, min_gain)
         picks += found
-        names = [n for n, _ in picks]
-        done = stage(footprint_cells(sized.where(F.col("product_id").isin(names)), roi, cell).select("i", "j").distinct(), "done")
+        chosen = sized.join(_named(sized, [n for n, _ in picks]), "product_id", "left_semi")
+        done = stage(footprint_cells(chosen, roi, cell).select("i", "j").distinct(), "done")
     return picks

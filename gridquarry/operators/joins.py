@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS_M, flat_distance_m, rect_overlap_area
+from ..functions.geo import RADIUS_M, convex_clip_area, flat_distance_m, rect_overlap_area, ring_bounds
 from ..functions.ids import file_window, product_sort_key
 from ..session import stage
 
@@ -54,6 +54,18 @@ def box_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float) -> D
     return met.where((area > 0) & (F.col("cell") == corner)).select(F.col("a.id").alias(a_id), F.col("b.id").alias(b_id), area.alias("area"))
 
 
+def ring_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float, a_ring: str = "ring", b_ring: str = "ring") -> DataFrame:
+    """Pairs of rings that share area: a_id, b_id, area, exact where the rings of b are convex (see geo.convex_clip). Rings meet by
+    the cells of their boxes; ids are unique on either side, and only pairs whose boxes meet are cut."""
+    def boxed(df: DataFrame, key: str, ring: str) -> DataFrame:
+        return df.select(F.col(key).alias("id"), F.col(ring).alias("ring"), *[c.alias(n) for c, n in zip(ring_bounds(F.col(ring)), BOX, strict=True)]).where(F.size("ring") >= 3)
+
+    left, right = boxed(a, a_id, a_ring), boxed(b, b_id, b_ring)
+    pairs = box_join(left.withColumnRenamed("id", "p"), right.withColumnRenamed("id", "q"), "p", "q", cell).select("p", "q")
+    met = pairs.join(left.select(F.col("id").alias("p"), F.col("ring").alias("x")), "p").join(right.select(F.col("id").alias("q"), F.col("ring").alias("y")), "q")
+    return met.select(F.col("p").alias(a_id), F.col("q").alias(b_id), convex_clip_area(F.col("x"), F.col("y")).alias("area")).where("area > 0")
+
+
 def nearest_site(hits: DataFrame, sites: DataFrame, max_m: float, radius: float = RADIUS_M) -> DataFrame:
     """hits (lat, lon, …) with the nearest site within max_m: name and distance_m, null without one; ties by name.
 

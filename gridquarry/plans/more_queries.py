@@ -387,8 +387,8 @@ def i07(t: Tables):
 
 @query("k08_latent_summary")
 def k08(t: Tables):
-    """Of each vector: nearest anchor, strain and mean distortion against the query set, principal and spectral coordinates,
-    degree in the neighbour graph, gate."""
+    """Of each vector: place, nearest anchor and its name, whether it is one, strain and mean distortion against the query set,
+    three principal and two spectral coordinates, degree in the neighbour graph, gate."""
     from ..operators.search import nearest_query
 
     vectors, queries = vectors_of(t)
@@ -397,7 +397,11 @@ def k08(t: Tables):
     ratio = latent.jl_ratios(vectors, _low(t), queries=queries).select("id", F.when(col("pairs") > 0, col("ratio") / col("pairs")).otherwise(1.0).alias("ratio"))
     graph = stage(latent.knn_graph(vectors, 8), "graph")
     degree = graph.groupBy(col("src").alias("id")).agg(F.sum("w").alias("degree"))
-    parts = [latent.reduce_2d(vectors), strain, ratio, degree, latent.spectral_coords(graph)]
+    places = t.tiles.select(col("tile_id").alias("id"), "product_id", "lon", "lat")
+    names = t.anchors.select("anchor_id", "name")
+    marked = t.anchors.select(col("anchor_id").alias("id"), F.lit(True).alias("is_anchor"))
+    near = near.join(names, "anchor_id").join(marked, "id", "left").withColumn("is_anchor", F.coalesce("is_anchor", F.lit(False)))
+    parts = [places, latent.reduce_2d(vectors, ("x_3d", "y_3d", "z_3d")), strain, ratio, degree, latent.spectral_coords(graph)]
     for part in parts:
         near = near.join(part, "id", "left")
     return near.withColumn("gate", ids.pit_gate(col("strain"), F.lit(1.0), col("distance"), F.lit(99)))

@@ -163,6 +163,17 @@ def j03(t: Tables):
     return joins.box_join(t.footprints, rois_of(t), "product_id", "roi_id", 0.5).withColumn("area", r6(col("area")))
 
 
+@query("j03_ring_join", "footprints", """WITH t AS (SELECT product_id, max_lon - min_lon AS w, max_lat - min_lat AS h, min_lon, min_lat, max_lon, max_lat FROM footprints)
+SELECT product_id, 1 AS roi_id, round(w * h / 2, 6) AS area FROM t""")
+def j03_rings(t: Tables):
+    """Triangles, each half of a footprint's box, against a region that holds them all and one far away."""
+    point = lambda x, y: F.struct(col(x).alias("lon"), col(y).alias("lat"))
+    triangles = t.footprints.select("product_id", F.array(point("min_lon", "min_lat"), point("max_lon", "min_lat"), point("min_lon", "max_lat")).alias("ring"))
+    corner = lambda x, y: f"named_struct('lon', cast({x} AS DOUBLE), 'lat', cast({y} AS DOUBLE))"
+    regions = t.spark.sql(" UNION ALL ".join(f"SELECT {k} AS roi_id, array({', '.join(corner(x, y) for x, y in ring)}) AS ring" for k, ring in ((1, ((-1, -1), (30, -1), (30, 30), (-1, 30))), (2, ((40, 40), (41, 40), (41, 41))))))
+    return joins.ring_join(triangles, regions, "product_id", "roi_id", 2.0).withColumn("area", r6(col("area")))
+
+
 NEAREST_SQL = """d AS (SELECT h.lat, h.lon, c.name, 1737400.0 * sqrt(pow(radians(h.lat - c.latitude), 2) + pow(radians((h.lon - c.longitude + 540) % 360 - 180) * cos(radians((h.lat + c.latitude) / 2)), 2)) AS m
   FROM (SELECT DISTINCT lat, lon FROM hits) h JOIN catalog c ON abs(h.lat - c.latitude) < 0.02),
 b AS (SELECT lat, lon, arg_min(name, {(m, name)}) AS name, round(min(m), 3) AS distance_m FROM d WHERE m <= LIMIT_M GROUP BY lat, lon)""".replace("{(m, name)}", "ROW(m, name)")
@@ -214,6 +225,14 @@ def j13(t: Tables):
     return joins.covering_files(t.footprints, files).select("product_id", "name")
 
 
+@query("j13_newest_files", "footprints", "SELECT 'clock_' || orbit AS family, max('clock_' || orbit || '_v' || lpad(CAST(orderkey % 1000 AS VARCHAR), 4, '0') || '.tsc') AS name FROM footprints GROUP BY orbit")
+def j13_newest(t: Tables):
+    """Of each family of clock files the one of the largest version."""
+    version = F.lpad((col("orderkey") % 1000).cast("string"), 4, "0")
+    files = t.footprints.select(F.concat(F.lit("clock_"), col("orbit").cast("string"), F.lit("_v"), version, F.lit(".tsc")).alias("name"))
+    return joins.newest(files, F.regexp_extract("name", "^(.*)_v", 1), F.regexp_extract("name", r"_v(\d+)", 1).cast("int"))
+
+
 @query("j16_band_of", "hits", "SELECT lat, CASE WHEN lat <= -30 THEN 0 WHEN lat <= 0 THEN 1 WHEN lat <= 30 THEN 2 ELSE 3 END AS band FROM hits")
 def j16(t: Tables):
     return t.hits.select("lat", joins.band_of(col("lat"), [-60.0, -30.0, 0.0, 30.0, 60.0]).alias("band"))
