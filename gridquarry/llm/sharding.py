@@ -30,8 +30,8 @@ def shuffle_into_shards(
     most. Law "key": the id and the shard count decide (largest hash of id and shard), so one more shard takes records
     only into itself. In both, copies of a text are spread, since order is random.
 
-    The buckets are written as a table in the shared folder; what follows reads it. The hash covers the id, the text and the record's place in the input, so repeated or null ids fill no bucket. A
-    single text above bucket_bytes is a record like others. Null texts have no bytes. Empty tables give empty results;
+    The buckets are written as a table in the shared folder; what follows reads it. The hash covers the id, the text and the
+    record's place in the input, so repeated or null ids fill no bucket. A single text above bucket_bytes is a record like others. Null texts have no bytes. Empty tables give empty results;
     the record is a struct, so names in it cannot clash. Order depends on the seed and on how the input is split."""
     if law not in ("rows", "key"):
         raise ValueError(f"no such law: {law}")
@@ -55,7 +55,8 @@ def shuffle_into_shards(
     starts = stage(counts.select("bucket", *key, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")), "starts")
     if law == "key":
         shuffled = shuffled.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("at")) - 1)
-    found = small_join(shuffled, starts, ["bucket", *key], bound=1_000_000)  # a row is two or three numbers.withColumn("index", F.col("start") + F.col("at"))
+    # a row of starts is two or three numbers
+    found = small_join(shuffled, starts, ["bucket", *key], bound=1_000_000).withColumn("index", F.col("start") + F.col("at"))
     if law == "key":
         return found.select("record", "shard", F.col("index").alias("slot"))
     return found.select("record", F.pmod("index", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("index") / shards).alias("slot"))
