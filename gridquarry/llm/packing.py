@@ -18,8 +18,9 @@ from .common import stage
 _COMMON = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>")
 
 
-def _encoder(tokenizer: str | None, ranks: str | None):
-    """A function from texts to lists of ids. ranks holds tokenizer's own vocabulary for a faster library, or is empty."""
+def text_encoder(tokenizer: str | None, ranks: str | None, plain_specials: bool = False):
+    """A function from texts to lists of ids. ranks holds tokenizer's own vocabulary for a faster library, or is empty. With
+    plain_specials, the strings of special tokens are text like others."""
     import base64
 
     import public_tokenizers
@@ -27,6 +28,7 @@ def _encoder(tokenizer: str | None, ranks: str | None):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    exact.encode_special_tokens = plain_specials
     if tokenizer and not ranks:
         return lambda texts: [x.ids for x in exact.encode_batch_fast(texts, add_special_tokens=False)]
     with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
@@ -59,7 +61,7 @@ def token_pieces(
         encode = None
         for batch in batches:
             for block in arrays.blocks(batch):
-                encode = encode or _encoder(tokenizer, ranks)
+                encode = encode or text_encoder(tokenizer, ranks)
                 at, piece, start, length, crc, held = [], [], [], [], [], []
                 for row, ids in enumerate(encode([x or "" for x in block.column("text").to_pylist()])):
                     ids = np.array([*ids, end_id], "<u4")

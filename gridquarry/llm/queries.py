@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dedup, jaccard, language, licenses, mixing, packing, sharding, tokens, toxicity, vectors, whitening
+from . import alignment, chat, dedup, jaccard, language, licenses, mixing, packing, sharding, tokens, toxicity, vectors, whitening
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_embeddings": vectors.op9_embeddings,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_alignment": alignment.op11_alignment,
     "op12_whitening": whitening.op12_whitening,
     "op13_tokens": tokens.op13_tokens,
 }

@@ -259,7 +259,7 @@ def test_fast_ids_equal_the_defining_library():
     letters = list("abcXYZ 01.,!'\n\t  éüßñÀ ſ日本́😀<|endoftext|>")
     texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(2000)] + ["", "<|endoftext|>", "it's we'll  x\n\n y"]
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert packing._encoder(None, None)(texts) == [exact.encode(x, add_special_tokens=False).ids for x in texts]
+    assert packing.text_encoder(None, None)(texts) == [exact.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 @pytest.mark.parametrize("n", [300, 3000, 20_000])
