@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +47,22 @@ def _query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
         yield block
 
 
-def _scan(rows: DataFrame, queries: DataFrame, columns: list[str], dtype, visit, schema: str) -> DataFrame:
-    """visit(ids, vectors, block's rows, block's vectors) -> columns of schema, for every batch of rows and block of queries."""
+def _scan(rows: DataFrame, queries: DataFrame, columns: list[str], dtype, visit, schema: str, prepare: Callable | None = None) -> DataFrame:
+    """visit(ids, vectors, block's rows, block's vectors) -> columns of schema, for every batch of rows and block of queries. With
+    prepare, a task makes prepare(block's rows, block's vectors) once, which takes the place of the vectors."""
     names = [field.split()[0] for field in schema.split(", ")]
     out = None
     for block in _query_blocks(queries, columns):
         values = np.array([r[1] for r in block], dtype)
 
         def run(batches: Iterator[pa.RecordBatch], block=block, values=values) -> Iterator[pa.RecordBatch]:
+            ready = None
             for whole in batches:
+                if ready is None:
+                    ready = values if prepare is None else prepare(block, values)
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
-                    found = visit(batch.column("id").to_numpy(), _lists(batch.column("v"), dtype), block, values)
+                    found = visit(batch.column("id").to_numpy(), _lists(batch.column("v"), dtype), block, ready)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
 
         part = rows.mapInArrow(run, schema)
@@ -72,6 +77,82 @@ def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
+class CodeIndex:
+    """A block of query codes (rows of 64-bit words), each with a threshold, as a multi-index over parts of PART bits.
+
+    Of m parts of two codes within t bits, one differs in t // m bits at most (pigeonhole). So every query is entered, for
+    each of its parts, under all values within that radius, and a code looks up its own parts: only pairs that meet are
+    compared, word by word, and each leaves as soon as its distance so far passes the threshold. Where the entries would
+    let a fourth of all pairs or more through, or be more than MOST a query, all pairs start at the first word instead. Rows
+    are the same either way. full counts the pairs that were compared to the last word."""
+
+    PART, MOST = 16, 4096
+
+    def __init__(self, codes: np.ndarray, thresholds: np.ndarray):
+        self.codes, self.thresholds, self.full = np.ascontiguousarray(codes), thresholds, 0
+        parts = self._parts(self.codes)
+        self.m = parts.shape[1]
+        radius = np.where(thresholds >= 0, thresholds // max(self.m, 1), -1)
+        most = int(radius.max(initial=-1))
+        flips = [0]
+        sizes = [0] + [1]  # entries up to each radius: sizes[r + 1]
+        for r in range(1, most + 1):
+            if sizes[-1] * self.m > self.MOST:
+                break
+            flips += [sum(1 << b for b in bits) for bits in itertools.combinations(range(self.PART), r)]
+            sizes.append(len(flips))
+        share = sum(sizes[min(r + 1, len(sizes) - 1)] for r in radius.tolist()) * self.m / 2**self.PART / max(len(codes), 1)
+        self.selective = len(sizes) == most + 2 and share < 0.25
+        if not self.selective:
+            return
+        self.tables = []
+        near = np.array(flips, np.uint16)
+        for part in range(self.m):
+            entries = [parts[radius == r, part][:, None] ^ near[None, : sizes[r + 1]] for r in range(most + 1)]
+            owners = [np.repeat(np.flatnonzero(radius == r), sizes[r + 1]) for r in range(most + 1)]
+            values, owner = np.concatenate([e.ravel() for e in entries] or [np.zeros(0, np.uint16)]), np.concatenate(owners or [np.zeros(0, np.int64)])
+            order = np.argsort(values, kind="stable")
+            starts = np.searchsorted(values[order], np.arange(2**self.PART + 1))
+            self.tables.append((starts, owner[order]))
+
+    def _parts(self, codes: np.ndarray) -> np.ndarray:
+        return codes.view(np.uint16) if codes.size else np.zeros((len(codes), 0), np.uint16)
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of x, query, distance) of all pairs within the query's threshold, in order of row and query."""
+        if not len(x) or not len(self.codes):
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
+        if self.selective:
+            row, query = self._meet(np.ascontiguousarray(x))
+            distance, first = np.zeros(len(row), np.int32), 0
+        else:
+            d = np.bitwise_count((x[:, 0, None] ^ self.codes[None, :, 0]).view(np.uint64)).astype(np.int32)
+            self.full += d.size if x.shape[1] == 1 else 0
+            row, query = np.nonzero(d <= self.thresholds[None, :])
+            distance, first = d[row, query], 1
+        for word in range(first, x.shape[1]):
+            self.full += len(row) if word == x.shape[1] - 1 else 0
+            distance = distance + np.bitwise_count((x[row, word] ^ self.codes[query, word]).view(np.uint64)).astype(np.int32)
+            on = distance <= self.thresholds[query]
+            row, query, distance = row[on], query[on], distance[on]
+        return row, query, distance
+
+    def _meet(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts, found = self._parts(x), []
+        for part, (starts, owner) in enumerate(self.tables):
+            low = starts[parts[:, part].astype(np.int64)]
+            times = starts[parts[:, part].astype(np.int64) + 1] - low
+            row = np.repeat(np.arange(len(x)), times)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+            found.append(row * len(self.codes) + owner[at])
+        met = np.unique(np.concatenate(found))
+        return met // len(self.codes), met % len(self.codes)
+
+
+def _code_index(block: list, values: np.ndarray) -> CodeIndex:
+    return CodeIndex(values, np.array([r[2] for r in block], np.int64))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm > 0, norm, 1)
@@ -143,28 +224,28 @@ def all_knn(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
 
 
 def hamming_range(codes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs within the threshold of the query: query, id, distance. queries: query, v, threshold."""
+    """Pairs within the threshold of the query: query, id, distance. queries: query, v, threshold. See CodeIndex."""
 
-    def visit(ids, x, block, q):
-        d = _distances(x, q)
-        row, j = np.nonzero(d <= np.array([r[2] for r in block])[None, :])
-        return np.array([r[0] for r in block])[j], ids[row], d[row, j]
+    def visit(ids, x, block, index):
+        row, j, d = index.near(x)
+        return np.array([r[0] for r in block])[j], ids[row], d
 
-    return _scan(codes, queries, ["query", "v", "threshold"], np.int64, visit, "query long, id long, distance int")
+    return _scan(codes, queries, ["query", "v", "threshold"], np.int64, visit, "query long, id long, distance int", _code_index)
 
 
 def resonant_vote(codes: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each code within the threshold of any query, the families of such queries: id, mask (bit per family), n_families, best."""
-
-    def visit(ids, x, block, q):
-        d = _distances(x, q)
-        near = d <= np.array([r[2] for r in block])[None, :]
-        family = 1 << np.array([r[3] for r in block], np.int64)
-        mask = np.bitwise_or.reduce(np.where(near, family[None, :], 0), axis=1)
+    """For each code within the threshold of any query, the families of such queries: id, mask (bit per family), n_families, best.
+    See CodeIndex."""
+
+    def visit(ids, x, block, index):
+        row, j, d = index.near(x)
+        mask, best = np.zeros(len(ids), np.int64), np.full(len(ids), 1 << 30, np.int32)
+        np.bitwise_or.at(mask, row, (1 << np.array([r[3] for r in block], np.int64))[j])
+        np.minimum.at(best, row, d)
         keep = mask > 0
-        return ids[keep], mask[keep].astype(np.int32), np.where(near, d, 1 << 30).min(1)[keep].astype(np.int32)
+        return ids[keep], mask[keep].astype(np.int32), best[keep]
 
-    found = _scan(codes, queries, ["query", "v", "threshold", "family"], np.int64, visit, "id long, mask int, best int")
+    found = _scan(codes, queries, ["query", "v", "threshold", "family"], np.int64, visit, "id long, mask int, best int", _code_index)
     found = found.groupBy("id").agg(F.bit_or("mask").alias("mask"), F.min("best").alias("best"))
     return found.withColumn("n_families", F.bit_count("mask").cast("int"))
 

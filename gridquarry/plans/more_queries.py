@@ -222,17 +222,20 @@ def k02(t: Tables):
     return t.spark.read.parquet(path).select("product_id", "tile_id", "hamming_dist", "x_2d")
 
 
-@query("k05_write_geojson_features", "hits", """SELECT orderkey * 10 + line AS det_id, round(score, 4) AS score, 12.0e0 AS area, round(lon + 2, 3) AS centroid_x, round(lat + 1.5, 3) AS centroid_y, 5 AS points FROM hits""")
+@query("k05_write_geojson_features", "hits", """SELECT row_number() OVER (ORDER BY orderkey, line, partkey, supp, score, votes) AS det_id, round(score, 4) AS score, 12.0e0 AS area, round(lon + 2, 3) AS centroid_x, round(lat + 1.5, 3) AS centroid_y, 5 AS points FROM hits""")
 def k05(t: Tables):
-    """Two boxes a detection, of areas 2 and 12, and one that is no ring."""
+    """Two boxes a detection, of areas 2 and 12, and one that is no ring. All is read back from the file."""
     path = scratch_path(t.spark, "geojson")
     point = lambda x, y: F.struct((col("lon") + x).alias("lon"), (col("lat") + y).alias("lat"))
     box = lambda w, h: F.array(point(0, 0), point(w, 0), point(w, h), point(0, h))
-    dets = t.hits.select((col("orderkey") * 10 + col("line")).alias("det_id"), "class", "score", F.array(box(2, 1), box(4, 3), F.array(point(0, 0))).alias("rings"))
+    places = joins.ranked(t.hits, [col(c).asc() for c in ("orderkey", "line", "partkey", "supp", "score", "votes")], "det_id")
+    dets = places.select("det_id", "class", "score", F.array(box(2, 1), box(4, 3), F.array(point(0, 0))).alias("rings"))
     sources.write_geojson_features(dets, path)
     back = t.spark.read.schema("properties struct<det_id:bigint,score:double,area:double>, geometry struct<coordinates:array<array<array<double>>>>").json(path)
-    found = back.select("properties.*", F.size(col("geometry.coordinates")[0]).cast("long").alias("points"))
-    return found.join(sources.geojson_features(dets).select("det_id", "centroid_x", "centroid_y"), "det_id").select("det_id", "score", "area", "centroid_x", "centroid_y", "points")
+    ring = col("geometry.coordinates")[0]
+    corners = F.slice(ring, 1, F.size(ring) - 1)  # a box: its centroid is the mean of its corners
+    mean = lambda k: F.round(F.aggregate(corners, F.lit(0.0), lambda s, p: s + p[k]) / F.size(corners), 3)
+    return back.select("properties.det_id", "properties.score", "properties.area", mean(0).alias("centroid_x"), mean(1).alias("centroid_y"), F.size(ring).cast("long").alias("points"))
 
 
 @query("k06_write_splits", "hits", """WITH r AS (SELECT supp, row_number() OVER (PARTITION BY supp ORDER BY score, orderkey, partkey, line) - 1 AS r, count(*) OVER (PARTITION BY supp) AS n FROM hits)
@@ -302,21 +305,22 @@ def a12(t: Tables):
     return found.select("band", "images", "done", r6(col("coverage")).alias("coverage"), "seconds", "status", "confidence", r6(col("per_hour")).alias("per_hour"), F.round("estimate_s", 4).alias("estimate_s"))
 
 
-def _run(stream, mode: str, path: str, where: str):
-    """A stream's result up to what is there now, written as Parquet (append mode) and read again."""
-    stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{where}-marks").trigger(availableNow=True).start(path).awaitTermination()
-
-
-@query("x04_new_arrivals", "volumes", "SELECT volume_id, CASE WHEN ord % 3 = 0 THEN 1 ELSE 2 END AS sweep FROM volumes")
+@query("x04_new_arrivals", "volumes", """SELECT volume_id, CASE WHEN ord % 3 = 0 THEN 1 WHEN ord % 3 = 1 THEN 2 ELSE 4 END AS sweep FROM volumes
+UNION ALL SELECT volume_id, 5 FROM volumes WHERE ord % 6 = 1""")
 def x04(t: Tables):
-    """Two sweeps' snapshots: a third of the volumes is in the first, all are in the second."""
+    """Five sweeps, 31 days apart: a third of the volumes is in all of them, a third comes with the second, half of which is away in
+    the fourth, and a third comes with the fourth."""
     into, out = scratch_path(t.spark, "snapshots"), scratch_path(t.spark, "arrivals")
-    rows = t.volumes.select("volume_id", "ord", F.explode(F.array(F.lit(1), F.lit(2))).alias("sweep")).where("sweep = 2 OR ord % 3 = 0")
-    rows = rows.withColumn("ts", F.timestamp_seconds(col("sweep") * 86_400))
-    for sweep in (1, 2):  # the stream reads what one sweep has left, then the next
+    rows = t.volumes.select("volume_id", "ord", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("sweep"))
+    rows = rows.where("sweep >= CASE ord % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AND NOT (sweep = 4 AND ord % 6 = 1)")
+    rows = rows.withColumn("ts", F.timestamp_seconds(col("sweep") * 31 * 86_400))
+    tell = scanlog.new_arrivals(lambda new, number: new.write.mode("overwrite").parquet(f"{out}/number={number}"), f"{out}-known", sweep="ts")
+    for sweep in range(1, 6):  # the stream reads what one sweep has left, then the next
         rows.where(col("sweep") == sweep).write.mode("append").parquet(into)
-        _run(scanlog.new_arrivals(t.spark.readStream.schema(rows.schema).parquet(into)), "append", out, out)
-    return t.spark.read.parquet(out).select("volume_id", "sweep")
+        stream = t.spark.readStream.schema(rows.schema).parquet(into).writeStream.option("checkpointLocation", f"{out}-marks").trigger(availableNow=True)
+        stream.foreachBatch(tell).start().awaitTermination()
+    found = t.spark.read.schema("volume_id string, ts timestamp").parquet(out)
+    return found.select("volume_id", (F.unix_timestamp("ts") / (31 * 86_400)).cast("int").alias("sweep"))
 
 
 @query("x05_incremental_ingest", "tiles", "SELECT product_id, tile_id, CASE WHEN product_id < 'M100000002RC' THEN 1 ELSE 2 END AS written FROM tiles")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..session import stage
 
 # The lines that matter, by kind, with what is kept of each.
 PATTERNS = {
@@ -105,57 +108,122 @@ def band_states(placed: DataFrame) -> DataFrame:
     return per.groupBy("log", "band").agg(F.max_by(row, "run").alias("s")).select("log", "band", "s.*")
 
 
-#: What a log's state holds between batches: edges of the last table, numbers of the table that is open, runs, the band, all bands.
-_START = {"edges": None, "on": False, "lats": [], "runs": 0, "band": None, "bands": {}}
-
-
-def _step(state: dict, row) -> None:
-    """One event of a log in order; what place_events and band_states do with windows."""
-    if row.opens:
-        state["on"], state["lats"] = False, []
-    state["on"] = state["on"] or bool(row.region)
-    if state["on"]:
-        state["lats"] += list(row.lats)
-    if row.closes and state["lats"]:
-        state["edges"], state["on"] = (min(state["lats"]), max(state["lats"])), False
-    if row.kind == "start":
-        state["runs"] += 1
-        low, high = state["edges"] or (999, 999)
-        near = [k for k, (a, b) in enumerate(BANDS) if abs(a - low) < 0.1 and abs(b - high) < 0.1]
-        state["band"] = str(near[0] if near else (state["runs"] - 1) % len(BANDS))
-        state["bands"][state["band"]] = {"planned": None, "done": 0, "status": "running", "last": None}
-    if row.kind is None or state["band"] is None:
-        return
-    band = state["bands"][state["band"]]
-    band["done"] += row.kind == "node_complete"
-    band["planned"] = int(row.arg) if row.kind == "selected" else band["planned"]
-    if row.kind == "pipeline_time" or row.kind == "node_complete" and 0 < (band["planned"] or 0) <= band["done"]:
-        band["status"] = "done"
-    band["last"] = str(row.ts) if not pd.isna(row.ts) else band["last"]
-
-
-def band_state_stream(events: DataFrame) -> DataFrame:
-    """band_states as a stream, over parse_scan_log: log, band, planned, done, status, last_ts of every band that a batch touched.
-
-    A log's state is a few numbers for each of its bands, whatever its length. Files of a log must come in order of their
-    names, and the lines of a batch are put in order."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(_START))
-        rows = pd.concat(list(batches))
-        at = rows["at"].map(lambda a: (a["file"], a["block"], a["row"]) if isinstance(a, dict) else tuple(a))
-        touched = set()
-        for k in sorted(range(len(rows)), key=lambda k: at.iloc[k]):
-            _step(held, rows.iloc[k])
-            touched.add(held["band"])
-        state.update((json.dumps(held),))
-        bands = [(key[0], int(b), held["bands"][b]) for b in sorted(touched - {None})]
+#: A log's place between batches: edges of the last table, whether a table is open at its region and the latitudes in it so far,
+#: runs begun, and the band of the last.
+_PLACE = "low double, high double, open boolean, least double, most double, runs int, band int"
+#: A band's counters, of its last run.
+_BAND = "planned long, done long, finished boolean, last timestamp"
+
+
+def _band_number(low: float | None, high: float | None, runs: int) -> int:
+    """As _band, in a task."""
+    for k, (a, b) in enumerate(BANDS):
+        if low is not None and abs(low - a) < 0.1 and abs(high - b) < 0.1:
+            return k
+    return (runs - 1) % len(BANDS)
+
+
+class _BandProcessor(StatefulProcessor):
+    """Follows each log: a value state for its place, a map state of counters by band, and a timer that forgets logs that fell
+    silent."""
+
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", _PLACE)
+        self.bands = handle.getMapState("bands", "band int", _BAND)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        if self.forget_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
+        events = pd.concat(list(rows), ignore_index=True)
+        at = pd.DataFrame([tuple(a.values()) if isinstance(a, dict) else tuple(a) for a in events["at"]])
+        events = events.iloc[np.lexsort([at[c] for c in reversed(at.columns)])].reset_index(drop=True)
+        low, high, is_open, least, most, runs, band = self.place.get() if self.place.exists() else (None, None, False, None, None, 0, None)
+
+        # the lines that open, fill and close tables and start runs are few; they cut the others into stretches of one band
+        stretches, begin = [], 0
+        lats, opens, region, closes, kind = (events[c].to_numpy() for c in ("lats", "opens", "region", "closes", "kind"))
+        marks = np.flatnonzero(opens | region | closes | (kind == "start") | np.array([x is not None and len(x) > 0 for x in lats], bool))
+        for k in marks.tolist():
+            if opens[k]:
+                is_open, least, most = False, None, None
+            is_open = bool(is_open or region[k])
+            if is_open and len(lats[k]):
+                own = [float(x) for x in lats[k]]
+                least, most = min(own + ([least] if least is not None else [])), max(own + ([most] if most is not None else []))
+            if closes[k]:
+                if least is not None:
+                    low, high = least, most
+                is_open = False
+            if kind[k] == "start":
+                stretches.append((band, begin, k, False))
+                runs, begin = runs + 1, k
+                band = _band_number(low, high, runs)
+                stretches.append((band, k, k, True))  # a run starts anew
+        stretches.append((band, begin, len(events), False))
+        self.place.update((low, high, is_open, least, most, runs, band))
+
+        held: dict[int, list] = {}
+        number = pd.to_numeric(events["arg"].where(kind == "selected"), errors="coerce").to_numpy()
+        ts = events["ts"].to_numpy()
+        for band, begin, end, anew in stretches:
+            if band is None or (begin == end and not anew):
+                continue
+            if anew:
+                held[band] = [None, 0, False, None]
+                continue
+            if band not in held:
+                held[band] = list(self.bands.getValue((band,))) if self.bands.containsKey((band,)) else [None, 0, False, None]
+            self._count(held[band], kind[begin:end], number[begin:end], ts[begin:end])
+        for band, counters in held.items():
+            self.bands.updateValue((band,), tuple(counters))
+        names = sorted(held)
         yield pd.DataFrame({
-            "log": [x for x, _, _ in bands], "band": pd.array([b for _, b, _ in bands], "Int32"), "planned": pd.array([s["planned"] for *_, s in bands], "Int64"),
-            "done": pd.array([s["done"] for *_, s in bands], "Int64"), "status": [s["status"] for *_, s in bands], "last_ts": pd.to_datetime([s["last"] for *_, s in bands]),
+            "log": pd.Series([key[0]] * len(names), dtype=object), "band": pd.array(names, "Int32"), "planned": pd.array([held[b][0] for b in names], "Int64"), "done": pd.array([held[b][1] for b in names], "Int64"),
+            "status": pd.Series(["done" if held[b][2] else "running" for b in names], dtype=object), "last_ts": pd.to_datetime([held[b][3] for b in names]),
         })
 
-    return events.groupBy("log").applyInPandasWithState(update, "log string, band int, planned long, done long, status string, last_ts timestamp", "held string", "update", "NoTimeout")
+    @staticmethod
+    def _count(counters: list, kind: np.ndarray, number: np.ndarray, ts: np.ndarray) -> None:
+        """A stretch of one run's lines, by columns."""
+        planned, done, finished, last = counters
+        nodes = kind == "node_complete"
+        so_far = done + np.cumsum(nodes)
+        known = pd.Series(np.concatenate([[np.nan if planned is None else planned], number])).ffill().to_numpy()[1:]
+        full = bool(((known > 0) & (so_far >= known)).any())
+        matters = ts[(kind != None) & ~pd.isna(ts)]  # noqa: E711  by element
+        counters[:] = [
+            planned if not len(known) or np.isnan(known[-1]) else int(known[-1]), int(done + nodes.sum()), bool(finished or full or (kind == "pipeline_time").any()),
+            pd.Timestamp(matters[-1]).to_pydatetime() if len(matters) else last,
+        ]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.place.clear()
+        self.bands.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def band_state_stream(events: DataFrame, forget: str | None = None) -> DataFrame:
+    """band_states as a stream, over parse_scan_log: log, band, planned, done, status, last_ts of every band that a batch touched.
+
+    A log's state is its place and, by band, a few counters, so it has a bounded size whatever the log's length; it is kept in
+    Spark's RocksDB state store, which this session is set to. Files of a log must come in order of their names, and a
+    batch's lines of a log are put in order in one task (maxFilesPerTrigger bounds them). With forget, a log without a line
+    for that long, by the clock, is forgotten: lines that come later are those of a new log. Timers make Spark run batches
+    without data, so a stream that should end by itself needs spark.sql.streaming.noDataMicroBatches.enabled = false."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    forget_ms = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
+    schema = "log string, band int, planned long, done long, status string, last_ts timestamp"
+    return events.groupBy("log").transformWithStateInPandas(_BandProcessor(forget_ms), schema, "Update", "None" if forget is None else "ProcessingTime")
 
 
 def throughput_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -168,6 +236,11 @@ def session_stream(events: DataFrame, key: str, gap: str = "30 minutes", late: s
     return events.withWatermark("ts", late).groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def split_late(sink: Callable[[DataFrame, int], None], rejects: Callable[[DataFrame, int], None], state: str, late_s: int = 600) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: rows older than the latest time of batches before, by more than late_s, go to rejects.
 
@@ -175,10 +248,8 @@ def split_late(sink: Callable[[DataFrame, int], None], rejects: Callable[[DataFr
     and a batch that is run again is split as the first time. Rows without a time are not late."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
-        known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-        limit = spark.read.schema("newest timestamp, number long").parquet(state).where(F.col("number") < number).agg(F.max("newest")).first()[0] if known else None
+        known = _exists(batch.sparkSession, state)
+        limit = batch.sparkSession.read.schema("newest timestamp, number long").parquet(state).where(F.col("number") < number).agg(F.max("newest")).first()[0] if known else None
         old = F.lit(False) if limit is None else F.coalesce(F.col("ts") < F.lit(limit) - F.expr(f"INTERVAL {late_s} SECONDS"), F.lit(False))
         sink(batch.where(~old), number)
         rejects(batch.where(old), number)
@@ -187,9 +258,45 @@ def split_late(sink: Callable[[DataFrame, int], None], rejects: Callable[[DataFr
     return run
 
 
-def new_arrivals(snapshots: DataFrame, key: str = "volume_id", ts: str = "ts", within: str = "30 days") -> DataFrame:
-    """Rows of a stream of snapshots (key, ts) whose key came in none before, as far back as within: what is older leaves the state."""
-    return snapshots.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+def new_arrivals(sink: Callable[[DataFrame, int], None], state: str, key: str = "volume_id", sweep: str = "sweep", since: str = "last") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over snapshots (key, sweep: a number or time that rises): sink gets, for every sweep, the keys that the
+    sweep before it did not hold (key, sweep; each once), however long ago that was.
+
+    since "last" compares with the last sweep alone, so a key that was gone for a sweep is new when it comes back; "ever" with
+    all sweeps. In the first sweep all keys are new. A batch may hold several sweeps, and a sweep may come in several batches;
+    rows of sweeps that were over in an earlier batch tell nothing new and are left out. Rows without key or sweep are left out.
+
+    What must be known is a table of keys under state, a shared folder, by the batch's number: for "last" the keys of the two
+    newest sweeps, for "ever" each key with its first sweep. A batch reads that of the one before it and writes its own, so it
+    outlives restarts, and a batch that is run again announces the same and writes the same. Keys are joined, never gathered."""
+    if since not in ("last", "ever"):
+        raise ValueError(f"no such choice: {since}")
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.col(key).alias("key"), F.col(sweep).alias("sweep")).where("key IS NOT NULL AND sweep IS NOT NULL").distinct()
+        spark, before = batch.sparkSession, f"{state}/number={number - 1}"
+        known = spark.read.schema(rows.schema).parquet(before) if number and _exists(spark, before) else spark.createDataFrame([], rows.schema)
+        newest = known.agg(F.max("sweep").alias("newest"))
+        known = known.where("key IS NOT NULL")  # the row without a key tells the newest sweep
+        rows = stage(rows.join(F.broadcast(newest)).where("newest IS NULL OR sweep >= newest").drop("newest"), "sweep")  # newest is one row
+        every = stage(known.unionByName(rows).distinct(), "known")
+        if since == "ever":
+            kept = every.groupBy("key").agg(F.min("sweep").alias("sweep"))
+            new = rows.join(kept, ["key", "sweep"], "left_semi")
+        else:
+            order = Window.orderBy("sweep")
+            sweeps = every.select("sweep").distinct()  # a row for each sweep of the batch, and two
+            following = sweeps.withColumn("next", F.lead("sweep").over(order))
+            held = every.join(F.broadcast(following), "sweep").where("next IS NOT NULL").select("key", F.col("next").alias("sweep"))
+            new = rows.join(held, ["key", "sweep"], "left_anti")
+            kept = every.join(F.broadcast(sweeps.orderBy(F.desc("sweep")).limit(2)), "sweep", "left_semi")
+        new = new.join(known, ["key", "sweep"], "left_anti")  # a sweep's earlier batch has told it
+        sink(new.select(F.col("key").alias(key), F.col("sweep").alias(sweep)), number)
+        last = rows.select("sweep").unionByName(newest.toDF("sweep")).agg(F.max("sweep").alias("sweep"))
+        kept = kept.select("key", "sweep").unionByName(last.select(F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "sweep"))
+        kept.write.mode("overwrite").parquet(f"{state}/number={number}")
+
+    return run
 
 
 def incremental_ingest(tiles: DataFrame, path: str, checkpoint: str):
