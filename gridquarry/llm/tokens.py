@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import running_sums
 from ..session import scratch_path
 from . import arrays
-from .common import row_key, stage
+from .common import row_key
 
 #: Ids of a shard, about: whole documents, so that a longer one makes a longer shard.
 SHARD_TOKENS = 1 << 19
@@ -28,7 +28,7 @@ LEAST_COUNT, LEAST_SHARE = 8, 0.02
 #: Places of the sequence between two entries of the table of starts.
 _STEP = 64
 #: Words whose ids a Python worker remembers.
-_WORDS = 1 << 19
+_WORDS = 1 << 20
 _MAGIC = b"RPG1"
 
 
@@ -135,8 +135,9 @@ def re_pair(ids: np.ndarray, least_count: int = LEAST_COUNT, least_share: float
     """Replace frequent pairs of neighbours by nonterminals, round by round, the most frequent first.
 
     A round counts all pairs and gives a nonterminal to those that stand least_count times or more. Where replaceable pairs
-    overlap, the more frequent one is taken, and of equal ones the first; nonterminals that few places are left for are given
-    back. Rounds end when one would shorten the sequence by less than least_share of it."""
+    overlap, the more frequent one is taken, by powers of two, and among those of a power the one that a hash puts first, so
+    that a chain of equally frequent pairs is replaced in many places at once; nonterminals that few places are left for are
+    given back. Rounds end when one would shorten the sequence by less than least_share of it."""
     sequence = ids.astype(np.uint32)
     first = int(sequence.max(initial=0)) + 1
     rules, lengths = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.int64)]
@@ -149,7 +150,8 @@ def re_pair(ids: np.ndarray, least_count: int = LEAST_COUNT, least_share: float
             break
         pairs, of, counts = np.unique(keys[may], return_inverse=True, return_counts=True)
         rank = np.zeros(len(keys) + 2, np.int64)  # by place, with one more place at either end; 0: no rule
-        rank[1:-1][may] = np.where(counts >= least_count, counts * (len(pairs) + 1) + len(pairs) - np.arange(len(pairs)), 0)[of]
+        power = np.frexp(counts.astype(float))[1].astype(np.int64) << 32
+        rank[1:-1][may] = np.where(counts >= least_count, power + (arrays.mix(pairs) >> np.uint64(32)).astype(np.int64), 0)[of]
         own, before, after = rank[1:-1], rank[:-2], rank[2:]
         taken = (own > 0) & (own > before) & (own >= after)
         same = (own > 0) & (own == before)  # runs of one pair overlap themselves: every second place
@@ -187,7 +189,7 @@ def re_pair(ids: np.ndarray, least_count: int = LEAST_COUNT, least_share: float
     return Grammar(first, np.concatenate(rules), np.concatenate(lengths), sequence)
 
 
-class _Remembered(dict):
+class Remembered(dict):
     """Keys with what make gives for them, looked up once; a full table starts anew."""
 
     def __init__(self, make: Callable, most: int = _WORDS):
@@ -222,9 +224,9 @@ def word_encoder(tokenizer: str | None = None) -> Callable[[str], bytes]:
 
     if tokenizer:
         return encode
-    common, special = re.compile("[\x09-\x0D\x20-\x7E\u00C0-\u00FF]*"), re.compile(r"<\|(start|end)oftext\|>")
+    common, special = re.compile("[\x21-\x7E\u00C0-\u00FF]*"), re.compile(r"<\|(start|end)oftext\|>")
     # Fixed value: the tokenizer's own pattern, for lower case of common letters and signs.
-    units = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-/:-@\\[-`{-~\u00D7\u00F7]+")
+    units = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-/:-@\\[-`{-~\u00D7\u00F7]+").findall
     level, model = ByteLevel(add_prefix_space=False, use_regex=False), exact.model
     as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})  # letters that stand for bytes
 
@@ -232,57 +234,54 @@ def word_encoder(tokenizer: str | None = None) -> Callable[[str], bytes]:
         ids = [x.id for x in model.tokenize(text if text.isascii() else text.translate(as_bytes))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    known_units, known_words = _Remembered(unit), _Remembered(lambda raw: encode(raw.decode()))
+    known_units = Remembered(unit, _WORDS // 2)
 
-    def look_up(text: str) -> bytes:
+    def word(raw: bytes) -> bytes:
+        text = raw.decode()
+        if text.isalpha() and text.isascii():
+            return known_units[text.lower()]
         if common.fullmatch(text) and not special.search(text):
-            return b"".join(map(known_units.__getitem__, units.findall(text.lower())))
-        return b"".join(map(known_words.__getitem__, text.encode().split()))
+            return b"".join([known_units[x] for x in units(text.lower())])
+        return encode(text)
 
-    return look_up
+    known_words = Remembered(word)
+    return lambda text: b"".join(map(known_words.__getitem__, text.encode().split()))
 
 
-def encode_documents(df: DataFrame, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """id, key (a digest of id and text), ids: the ids of each whole text and end_id, as little-endian 32-bit numbers. Null is empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = None, struct.pack("<I", end_id)
-        for batch in batches:
-            for block in arrays.blocks(batch):
-                encode = encode or word_encoder(tokenizer)
-                ids = [encode(x or "") + end for x in block.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([block.column("id"), block.column("key"), pa.array(ids, pa.binary())], ["id", "key", "ids"])
-
-    rows = df.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key string, ids binary")
-
-
-def write_token_files(df: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, **options) -> None:
-    """The ids of df's documents in ascending order of id under path: shards, and index, the ids before each shard.
+def write_token_files(
+    df: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None
+) -> None:
+    """The ids of df's documents, each whole text's and end_id, in ascending order of document id under path: shards, and index, the
+    ids before each shard.
 
     A row of shards is one shard: part and shard (its place), ids and lengths (of its documents, in order), n_tokens, and grammar
-    (see Grammar.to_bytes), its ids replaced by Re-Pair. A shard holds whole documents, shard_tokens ids or the one that
-    passes them, so a task holds one shard, and a frequent id fills as many shards as it needs. Null ids come first; rows
-    of equal id are ordered by a digest of their text, and equal rows are alike. Null and empty texts are one end id. An empty
-    table gives empty files; other columns are left out."""
-    encoded = stage(encode_documents(df, **options).withColumn("at", F.monotonically_increasing_id()), "encoded")
-    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = max(1, -(-total // (16 * shard_tokens)))  # some four shards a task
-    kind = encoded.schema["id"].dataType.simpleString()
+    (see Grammar.to_bytes), its token ids replaced by Re-Pair. A shard holds whole documents, shard_tokens ids or the one that
+    passes them, so a task holds one shard, and a frequent document id fills as many shards as it needs. Null ids come first;
+    rows of equal id are ordered by a digest of their text, and equal rows are alike. Null and empty texts are one end_id. An
+    empty table gives empty files; other columns are left out.
+
+    Texts are put in order as they are, and become ids and grammars in the tasks that write them."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = max(1, -(-total // (16 * shard_tokens)))  # a few shards a task
+    kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, held, held_ids, size = TaskContext.get().partitionId(), 0, [], [], 0
+        encode, end = None, struct.pack("<I", end_id)
 
         def made() -> pa.RecordBatch:
             grammar = re_pair(np.frombuffer(b"".join(held), "<u4")).to_bytes()
             lengths = [len(x) // 4 for x in held]
-            columns = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(held_ids)), pa.array([lengths], pa.list_(pa.int32())), pa.array([size], pa.int64()), pa.array([grammar], pa.binary())]
+            ids = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(held_ids))
+            columns = [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), ids, pa.array([lengths], pa.list_(pa.int32())), pa.array([size], pa.int64()), pa.array([grammar], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "shard", "ids", "lengths", "n_tokens", "grammar"])
 
         for batch in batches:
+            encode = encode or word_encoder(tokenizer)
             start = 0
-            for row, ids in enumerate(batch.column("ids")):
-                held.append(ids.as_py())
+            for row, text in enumerate(batch.column("text")):
+                held.append(encode(text.as_py()) + end)
                 size += len(held[-1]) // 4
                 if size >= shard_tokens:
                     held_ids.append(batch.column("id").slice(start, row + 1 - start))
@@ -293,8 +292,10 @@ def write_token_files(df: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS
         if held:
             yield made()
 
-    ordered = encoded.repartitionByRange(parts, "id", "key", "at").sortWithinPartitions("id", "key", "at").select("id", "ids")
-    ordered.mapInArrow(cut, f"part int, shard int, ids array<{kind}>, lengths array<int>, n_tokens long, grammar binary").write.parquet(f"{path}/shards")
+    placed = rows.select("id", row_key(F.col("id"), F.col("text")).alias("key"), F.monotonically_increasing_id().alias("at"), "text")
+    ordered = placed.repartitionByRange(parts, "id", "key", "at").sortWithinPartitions("id", "key", "at").select("id", "text")
+    shards = ordered.mapInArrow(cut, f"part int, shard int, ids array<{kind}>, lengths array<int>, n_tokens long, grammar binary")
+    shards.write.option("compression", "zstd").parquet(f"{path}/shards")
     sizes = df.sparkSession.read.parquet(f"{path}/shards").select("part", "shard", "n_tokens")
     found = running_sums(sizes, [F.col("part"), F.col("shard")], {"upto": F.col("n_tokens")})
     found.select("part", "shard", (F.col("upto") - F.col("n_tokens")).alias("base")).write.parquet(f"{path}/index")
