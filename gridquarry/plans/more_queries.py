@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import aggregates, evaluation, gates, joins, latent, shapes
+from ..operators import aggregates, evaluation, gates, joins, latent, shapes, tiles
 from ..session import scratch_path, stage
+from ..sources import rasters
 from ..sources import tables as sources
 from ..streaming import scanlog
 from . import scan
@@ -182,6 +183,19 @@ def s03(t: Tables):
     return found.select("product_id", r6(col("ul_lon")).alias("ul_lon"), r6(col("ul_lat")).alias("ul_lat"), r6(col("center_lon")).alias("center_lon"), "resolution", "orbit")
 
 
+@query("s06_read_rasters", "", """WITH s AS (SELECT 'P' || CAST(vec_id // 50 AS VARCHAR) AS product_id, vec_id % 50 AS line, list_transform(embedding, lambda z: CAST(floor(CAST(z AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings),
+g AS (SELECT * FROM range(0, 49, 16) a(x), range(0, 35, 16) b(y))
+SELECT product_id, x AS x_offset, y AS y_offset, round(sum(list_sum(list_transform(list_slice(v, x + 1, x + 16), lambda z: z * 0.5e0 + 3))), 4) AS total FROM s, g WHERE line BETWEEN y AND y + 15 GROUP BY ALL HAVING count(*) = 16""")
+def s06(t: Tables):
+    """Frames of 50 lines, a vector each, written as raster files; then read by ranges of eight lines, and cut into tiles."""
+    path = scratch_path(t.spark, "rasters")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int"))
+    stripes = t.embeddings.select(F.concat(F.lit("P"), F.floor(col("vec_id") / 50).cast("string")).alias("product_id"), (col("vec_id") % 50).cast("int").alias("line"), whole.alias("values"))
+    rasters.write_rasters(stripes, path, 0.5, 3.0)
+    cut = tiles.cut_tiles(rasters.read_rasters(t.spark, path, range_bytes=8 * 128), 16, 16)
+    return cut.select("product_id", "x_offset", "y_offset", F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 @query("s07_read_anchors", "anchors", "SELECT anchor_id, (strpos('0123456789abcdef', right(md5(name), 1)) - 1) % 8 AS family, 'Pit Candidate' AS category, CASE WHEN anchor_id % 100 = 0 THEN 1 ELSE 64 END AS dim FROM anchors")
 def s07(t: Tables):
     """Half of the anchors are compiled too, with vectors of one number that tell them apart."""

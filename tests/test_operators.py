@@ -153,14 +153,14 @@ def test_crop_roi(spark):
 
 
 def test_read_rasters(spark, tmp_path):
-    from gridquarry.sources import tables
+    from gridquarry.sources import rasters, tables
 
     one, two = np.array([[1, -32768, 3], [4, 5, 6]]), np.arange(6).reshape(3, 2)
     (tmp_path / "a.IMG").write_bytes(b"label" + one.astype(">i2").tobytes())
     (tmp_path / "b.IMG").write_bytes(two.astype("<u1").tobytes()[:4])  # a line is missing
     labels = [("a.IMG", "A", 5, 2, 3, 16, True, True, 0.5, 1.0), ("b.IMG", "B", 0, 3, 2, 8, False, False, 1.0, 0.0), ("c.IMG", "C", 0, 1, 1, 8, False, False, 1.0, 0.0)]
     schema = "file string, product_id string, header_bytes int, lines int, samples int, bits int, msb boolean, signed boolean, scale double, offset double"
-    found = tables.read_rasters(spark, str(tmp_path), spark.createDataFrame(labels, schema))
+    found = rasters.read_rasters(spark, str(tmp_path), spark.createDataFrame(labels, schema), range_bytes=5)
     got = {(r["product_id"], r["line"]): r["values"] for r in found.collect()}
     assert np.isnan(got["A", 0][1]) and got["A", 0][::2] == [1.5, 2.5] and got["A", 1] == [3.0, 3.5, 4.0] and got["B", 1] == [2.0, 3.0] and len(got) == 4
     most = {(r["product_id"], r["line"]): r["values"] for r in tables.by_frame_maximum(found).collect()}
