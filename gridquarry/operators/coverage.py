@@ -1,14 +1,20 @@
-"""Small sets of footprints that cover a region: greedy by cells not yet covered."""
+"""Small sets of footprints that cover a region: greedy by area, or by cells, not yet covered."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rings
 from ..session import stage
 from .aggregates import reject_area_outliers
 from .gates import filter_footprints
-from .joins import BOX, _box_cells
+from .joins import BOX, _box_cells, running_sums
+from .ringparts import POINTS, points
 
 
 def footprint_cells(footprints: DataFrame, roi: tuple[float, float, float, float], cell: float) -> DataFrame:
@@ -61,25 +67,132 @@ def greedy_cover(cells: DataFrame, min_gain: int = 1, stop_uncovered: int = 0, m
     return picks, left.select("i", "j").distinct()
 
 
-def select_coverage(footprints: DataFrame, roi: tuple[float, float, float, float], cell: float = 0.1, ceilings: tuple[float, ...] = (60.0, 85.0, 89.5), uncovered: float = 0.01, min_gain: int = 1) -> list[tuple[str, int]]:
-    """Footprints that cover the region but for a share uncovered of its cells, in passes: incidence up to each ceiling, then any.
-
-    Footprints of outlying area within their orbit are left out in each pass. Cells stand for area, so the cover is exact
-    for boxes on the grid and an approximation for others."""
-    picks: list[tuple[str, int]] = []
-    sized = footprints.withColumn("area", (F.col("max_lon") - F.col("min_lon")) * (F.col("max_lat") - F.col("min_lat")))
-    total = round((roi[2] - roi[0]) / cell) * round((roi[3] - roi[1]) / cell)
-    done = None
-    for low, high in [*((30.0, c) for c in ceilings), (0.0, 90.0)]:
-        allowed = reject_area_outliers(filter_footprints(sized, 1e9, low, high))
-        cells = footprint_cells(allowed, roi, cell)
-        if done is not None:
-            cells = cells.join(done, ["i", "j"], "left_anti")
-        left_before = total - (0 if done is None else done.count())
-        if left_before <= uncovered * total:
+_PIECES = "array<array<double>>"
+_CELLS = "array<struct<i:int,j:int>>"
+
+
+def _columns(held: list[list[np.ndarray]], cell: float) -> list[pa.Array]:
+    """pieces (corners in a row of numbers), gain (their area) and the cells of their boxes, of each candidate."""
+    cells = []
+    for pieces in held:
+        own = set()
+        for piece in pieces:
+            (a, b), (c, d) = np.floor(piece.min(0) / cell).astype(int).tolist(), np.floor(piece.max(0) / cell).astype(int).tolist()
+            own |= {(i, j) for i in range(a, c + 1) for j in range(b, d + 1)}
+        cells.append([{"i": i, "j": j} for i, j in sorted(own)])
+    flat = pa.array([[piece.ravel().tolist() for piece in pieces] for pieces in held], pa.list_(pa.list_(pa.float64())))
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+    return [flat, pa.array([float(sum(map(rings.area, pieces))) for pieces in held], pa.float64()), pa.array(cells, kind)]
+
+
+def _candidates(footprints: DataFrame, roi: list[np.ndarray], cell: float) -> DataFrame:
+    """product_id, orbit, incidence, resolution, and what each footprint shares with the region: pieces, gain, cells."""
+    own = ["product_id", "orbit", "incidence", "resolution"]
+    orbit = F.coalesce(F.col("orbit").cast("long"), F.lit(0).cast("long")).alias("orbit")
+    rows = footprints.dropDuplicates(["product_id"]).select("product_id", orbit, F.col("incidence").cast("double").alias("incidence"), F.col("resolution").cast("double").alias("resolution"), F.col("ring").cast(POINTS).alias("ring"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[piece for part in rings.turned_parts(points(r)) for by in roi if len(piece := rings.clip(part, by))] for r in batch.column("ring").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *_columns(held, cell)], [*own, "pieces", "gain", "cells"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.mapInArrow(run, f"{schema}, pieces {_PIECES}, gain double, cells {_CELLS}").where("gain > 0")
+
+
+def _without(candidates: DataFrame, taken: DataFrame, cell: float) -> DataFrame:
+    """candidates less what taken (product_id, taken: pieces) covers, and less those of which nothing is left."""
+    rows = candidates.join(taken, "product_id", "left")
+    own = [c for c in candidates.columns if c not in ("pieces", "gain", "cells")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for pieces, gone in zip(batch.column("pieces").to_pylist(), batch.column("taken").to_pylist(), strict=True):
+                pieces = [np.array(p).reshape(-1, 2) for p in pieces]
+                for by in gone or []:
+                    pieces = rings.subtract(pieces, np.array(by).reshape(-1, 2))
+                held.append(pieces)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *_columns(held, cell)], [*own, "pieces", "gain", "cells"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    left = rows.select(*own, "pieces", "taken").mapInArrow(run, f"{schema}, pieces {_PIECES}, gain double, cells {_CELLS}")
+    return left.where("gain > 0").select(*candidates.columns)
+
+
+def _greedy_areas(candidates: DataFrame, cell: float, min_gain: float) -> tuple[DataFrame | None, DataFrame]:
+    """Picks (product_id, gain) of the greedy cover by area among candidates that are open, and what is left of the others.
+
+    Greedy takes the candidate that adds most, again and again. One that adds more than all those it shares a cell with is
+    taken with just this gain whatever happens elsewhere, since only they could lessen it. So a round takes all such
+    candidates at once, and cuts from the others in their cells, where each cell has one taker, what they cover: picks and
+    gains equal those of greedy one at a time, whose order is that of falling gain. Nothing is compared in pairs, and rounds
+    are as many as the longest chain of candidates that wait for one another."""
+    picks = None
+    by = (-F.round("gain", 9)).alias("loss")
+    while True:
+        live = candidates.where(F.col("open") & (F.col("gain") >= min_gain))
+        cells = live.select("product_id", F.struct(by, "product_id").alias("rank"), F.explode("cells").alias("cell"))
+        best = cells.groupBy("cell").agg(F.min("rank").alias("best"))
+        waits = cells.join(best, "cell").where("best.product_id <> product_id").select("product_id").distinct()
+        taken = stage(live.join(waits, "product_id", "left_anti").select("product_id", "gain", "pieces", "cells"), "taken")
+        if taken.isEmpty():
+            return picks, candidates
+        picks = taken.select("product_id", "gain") if picks is None else picks.unionByName(taken.select("product_id", "gain"))
+        others = candidates.join(taken.select("product_id"), "product_id", "left_anti")
+        takers = taken.select(F.col("product_id").alias("taker"), F.explode("cells").alias("cell"))
+        met = others.select("product_id", F.explode("cells").alias("cell")).join(takers, "cell").select("product_id", "taker").distinct()
+        gone = met.join(taken.select(F.col("product_id").alias("taker"), "pieces"), "taker").groupBy("product_id").agg(F.flatten(F.collect_list("pieces")).alias("taken"))
+        candidates = stage(_without(others, gone, cell), "candidates")
+
+
+def box_ring(box: list[Column]) -> Column:
+    """A box (min_lon, min_lat, max_lon, max_lat) as a ring."""
+    corner = lambda x, y: F.struct(box[x].cast("double").alias("lon"), box[y].cast("double").alias("lat"))
+    return F.array(corner(0, 1), corner(2, 1), corner(2, 3), corner(0, 3))
+
+
+def select_coverage(
+    footprints: DataFrame,
+    roi: list[tuple[float, float]],
+    cell: float = 1.0,
+    ceilings: tuple[float, ...] = (60.0, 85.0, 89.5),
+    uncovered: float = 0.01,
+    min_gain: float = 1e-3,
+    max_resolution: float = 1.5,
+) -> DataFrame:
+    """Footprints that cover a region but for a share uncovered of its area: pick (from 1), product_id, gain (square degrees that it
+    added), pass. Greedy by area: each pick adds most, ties by product_id, and at least min_gain.
+
+    footprints: product_id, ring (array of struct(lon, lat)), orbit, incidence, resolution; roi: a ring. Both may have any shape
+    and cross 180 degrees (see rings.turned_parts); areas are exact in the plane. Passes open footprints of more incidence:
+    30 degrees up to each ceiling, then any; a null incidence or resolution passes. In each pass, footprints whose part of
+    what is uncovered is an outlier in their orbit (null: 0) are left out. Passes and picks end when no more than the share is
+    uncovered. Of rows of equal product_id one counts; rings without area in the region are no candidates. A region without
+    area, and an empty table, give no picks.
+
+    cell is the side of the cells by which candidates find each other: about a footprint's size. See _greedy_areas."""
+    spark = footprints.sparkSession
+    region = rings.turned_parts(np.array(roi, float))
+    total = sum(map(rings.area, region))
+    out = spark.createDataFrame([], f"pick long, product_id {footprints.schema['product_id'].dataType.simpleString()}, gain double, pass int")
+    if not total:
+        return out
+    candidates = stage(_candidates(footprints, region, cell), "candidates")
+    covered, number = 0.0, 0
+    for k, (low, high) in enumerate([*((30.0, c) for c in ceilings), (0.0, 90.0)]):
+        if (total - covered) / total < uncovered:
             break
-        found, _ = greedy_cover(cells, min_gain)
-        picks += found
-        chosen = sized.join(_named(sized, [n for n, _ in picks]), "product_id", "left_semi")
-        done = stage(footprint_cells(chosen, roi, cell).select("i", "j").distinct(), "done")
-    return picks
+        allowed = filter_footprints(candidates, max_resolution, low, high).withColumn("area", F.col("gain"))
+        fine = reject_area_outliers(allowed).select("product_id", F.lit(True).alias("open"))
+        marked = stage(candidates.join(fine, "product_id", "left").withColumn("open", F.coalesce("open", F.lit(False))), "marked")
+        picks, rest = _greedy_areas(marked, cell, min_gain)
+        candidates = rest.drop("open")
+        if picks is None:
+            continue
+        ordered = running_sums(picks, [(-F.round("gain", 9)).alias("loss"), F.col("product_id").asc()], {"upto": F.col("gain"), "at": F.lit(1).cast("long")})
+        before = covered + F.col("upto") - F.col("gain")
+        kept = stage(ordered.where((total - before) / total >= uncovered).select((F.col("at") + number).alias("pick"), "product_id", "gain", F.lit(k).alias("pass")), "picks")
+        gain, n = kept.agg(F.coalesce(F.sum("gain"), F.lit(0.0)), F.count("*")).first()
+        covered, number, out = covered + gain, number + n, out.unionByName(kept)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS_M, convex_clip_area, flat_distance_m, rect_overlap_area, ring_bounds
+from ..functions.geo import RADIUS_M, convex_clip, convex_clip_area, flat_distance_m, polygon_area, rect_overlap_area
 from ..functions.ids import file_window, product_sort_key
 from ..session import stage
 
@@ -55,15 +55,21 @@ def box_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float) -> D
 
 
 def ring_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float, a_ring: str = "ring", b_ring: str = "ring") -> DataFrame:
-    """Pairs of rings that share area: a_id, b_id, area, exact where the rings of b are convex (see geo.convex_clip). Rings meet by
-    the cells of their boxes; ids are unique on either side, and only pairs whose boxes meet are cut."""
-    def boxed(df: DataFrame, key: str, ring: str) -> DataFrame:
-        return df.select(F.col(key).alias("id"), F.col(ring).alias("ring"), *[c.alias(n) for c, n in zip(ring_bounds(F.col(ring)), BOX, strict=True)]).where(F.size("ring") >= 3)
+    """Pairs of rings that share area: a_id, b_id, area. Rings may have any shape and cross 180 degrees (see ringparts.ring_parts);
+    both become convex parts, which meet by the cells of their boxes, and only parts whose boxes meet are cut. ids are unique
+    on either side."""
+    from .ringparts import ring_parts
 
-    left, right = boxed(a, a_id, a_ring), boxed(b, b_id, b_ring)
-    pairs = box_join(left.withColumnRenamed("id", "p"), right.withColumnRenamed("id", "q"), "p", "q", cell).select("p", "q")
-    met = pairs.join(left.select(F.col("id").alias("p"), F.col("ring").alias("x")), "p").join(right.select(F.col("id").alias("q"), F.col("ring").alias("y")), "q")
-    return met.select(F.col("p").alias(a_id), F.col("q").alias(b_id), convex_clip_area(F.col("x"), F.col("y")).alias("area")).where("area > 0")
+    def side(df: DataFrame, key: str, ring: str, name: str) -> DataFrame:
+        parts = ring_parts(df, key, ring)
+        return parts.select(F.struct(F.col(key).alias("id"), "ring", *BOX).alias(name), F.explode(_box_cells([F.col(c) for c in BOX], cell)).alias("cell"))
+
+    met = side(a, a_id, a_ring, "a").join(side(b, b_id, b_ring, "b"), "cell")
+    p, q = ([F.col(f"{s}.{c}") for c in BOX] for s in "ab")
+    corner = F.struct(F.floor(F.greatest(p[0], q[0]) / cell).alias("i"), F.floor(F.greatest(p[1], q[1]) / cell).alias("j"))
+    met = met.where((rect_overlap_area(p, q) > 0) & (F.col("cell") == corner))
+    shared = met.select(F.col("a.id").alias(a_id), F.col("b.id").alias(b_id), convex_clip_area(F.col("a.ring"), F.col("b.ring")).alias("area"))
+    return shared.groupBy(a_id, b_id).agg(F.sum("area").alias("area")).where("area > 1e-12")
 
 
 def nearest_site(hits: DataFrame, sites: DataFrame, max_m: float, radius: float = RADIUS_M) -> DataFrame:
@@ -156,6 +162,26 @@ def grid_tasks(rois: DataFrame, cell: float = 2.0) -> DataFrame:
     return clipped.where("x1 > x0 AND y1 > y0")
 
 
+def ring_grid_tasks(rois: DataFrame, cell: float = 2.0, roi_id: str = "roi_id") -> DataFrame:
+    """Cells of the grid that begins at the lower left corner of each region's bounds, where they share area with the region's ring:
+    roi_id, i, j, the cell's box within the bounds (x0, y0, x1, y1), area and pieces (convex rings that make it up).
+
+    Rings may have any shape and cross 180 degrees, where they are cut. A region's parts are cut cell by cell, so no task holds
+    a region's cells together."""
+    from .ringparts import ring_parts
+
+    parts = ring_parts(rois, roi_id)
+    low, size = {"i": F.col("low_lon"), "j": F.col("low_lat")}, F.lit(float(cell))
+    span = lambda a, b, k: F.sequence(F.floor((F.col(a) - low[k]) / size), F.floor((F.col(b) - low[k]) / size))
+    cells = parts.withColumn("i", F.explode(span("min_lon", "max_lon", "i"))).withColumn("j", F.explode(span("min_lat", "max_lat", "j")))
+    x0, y0 = low["i"] + F.col("i") * size, low["j"] + F.col("j") * size
+    box = cells.withColumns({"x0": x0, "y0": y0, "x1": F.least(x0 + size, "high_lon"), "y1": F.least(y0 + size, "high_lat")}).where("x1 > x0 AND y1 > y0")
+    corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
+    piece = convex_clip(F.col("ring"), F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")))
+    cut = box.withColumn("piece", piece).withColumn("area", polygon_area(F.col("piece"))).where("area > 1e-12")
+    return cut.groupBy(roi_id, "i", "j", "x0", "y0", "x1", "y1").agg(F.sum("area").alias("area"), F.collect_list("piece").alias("pieces"))
+
+
 def delta_rows(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Rows of current that previous lacks, with their numbers (set difference of volumes)."""
     return current.exceptAll(previous)

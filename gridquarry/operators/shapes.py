@@ -98,3 +98,10 @@ def split_dateline(boxes: DataFrame) -> DataFrame:
     part = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     parts = F.when(east > 180, F.array(part(west, F.lit(180.0)), part(F.lit(-180.0), east - 360))).otherwise(F.array(part(west, east)))
     return boxes.withColumn("__p", F.explode(parts)).withColumns({"min_lon": F.col("__p.a"), "max_lon": F.col("__p.b")}).drop("__p")
+
+
+def split_dateline_rings(rows: DataFrame, key: str, ring: str = "ring") -> DataFrame:
+    """key and ring: rings of any shape within -180 to 180, cut where they cross 180 degrees, as convex parts; a row per part."""
+    from .ringparts import ring_parts
+
+    return ring_parts(rows, key, ring).select(key, "ring")

@@ -395,7 +395,7 @@ def f07_scan_roi(t: Tables):
     box = [f(c).alias(n) for f, c, n in ((F.min, "lon", "min_lon"), (F.min, "lat", "min_lat"), (F.max, "lon", "max_lon"), (F.max, "lat", "max_lat"))]
     footprints = t.tiles.groupBy("product_id").agg(*box).withColumns({"orbit": F.lit(1).cast("long"), "resolution": F.lit(None).cast("double"), "incidence": F.lit(None).cast("double")})
     low, west = t.tiles.agg(F.min("lat")).first()[0], 300.0
-    return scan.scan_roi(footprints, (west + 0.004, low, west + 0.036, 10.0), vectors_of(t)[0], t.anchors, t.tiles, 0.002, base=40)
+    return scan.scan_roi(footprints, (west + 0.004, low, west + 0.036, 10.0), vectors_of(t)[0], t.anchors, t.tiles, 0.01, 1e-7, base=40)
 
 
 @query("i07_spectral_coords")

@@ -120,11 +120,11 @@ def test_cover_reaches_the_region(spark):
     rng = np.random.default_rng(6)
     rows = [(f"p{k:03d}", k % 5, *(round(float(v), 1) for v in (x, y, x + 1.5, y + 1.5)), 1.0, 45.0) for k, (x, y) in enumerate(rng.uniform(-1, 4, (200, 2)))]
     df = spark.createDataFrame(rows, "product_id string, orbit int, min_lon double, min_lat double, max_lon double, max_lat double, resolution double, incidence double")
-    picks = coverage.select_coverage(df, (0.0, 0.0, 4.0, 4.0), 0.5)
-    cells = coverage.footprint_cells(df.where(F.col("product_id").isin([p for p, _ in picks])), (0.0, 0.0, 4.0, 4.0), 0.5)
-    assert cells.select("i", "j").distinct().count() == 64 and sum(g for _, g in picks) == 64
-    gains = [g for _, g in picks]
-    assert gains == sorted(gains, reverse=True)
+    boxes = df.withColumn("ring", coverage.box_ring([F.col(c) for c in joins.BOX]))
+    picks = coverage.select_coverage(boxes, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], 1.5).orderBy("pick").collect()
+    gains = [r["gain"] for r in picks]
+    assert 0.99 * 16 < sum(gains) <= 16 + 1e-9 and gains == sorted(gains, reverse=True) and {r["pass"] for r in picks} == {0}
+    assert sum(gains[:-1]) <= 0.99 * 16 and [r["pick"] for r in picks] == list(range(1, len(picks) + 1))
 
 
 def test_terrain_converges(spark):
