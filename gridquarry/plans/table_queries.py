@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, ids, raster
-from ..operators import aggregates, coverage, evaluation, gates, joins, nms, order, search, tiles
+from ..operators import aggregates, coverage, delta, evaluation, gates, joins, nms, order, search, tiles
 from ..session import scratch_path, stage
 from ..sources import tables as sources
 from .registry import Tables, query
@@ -118,6 +118,18 @@ def x03(t: Tables):
     return found.select(col("query").alias("anchor_id"), "id", col("distance").alias("d"))
 
 
+@query("x03_delta_knn", "anchors", f"""WITH {CODES_SQL}, live AS (SELECT vec_id AS id, code FROM codes WHERE vec_id % 10 >= 2 UNION ALL SELECT vec_id, xor(code, 7) FROM codes WHERE vec_id % 10 = 1)
+SELECT anchor_id, id, d, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY d, id) AS rank FROM (SELECT anchor_id, id, bit_count(xor(live.code, codes.code)) AS d FROM live, codes JOIN anchors ON anchor_id = vec_id)) WHERE rank <= 10""")
+def x03_knn(t: Tables):
+    """A table of all codes whose buffer holds a fifth of them changed, then half of these deleted and half changed again."""
+    main = codes_of(t)
+    index = delta.DeltaIndex.create(main.where("id % 10 <> 1"), scratch_path(t.spark, "index"), 1 << 40)
+    index.insert(main.where("id % 10 < 2"))
+    index.delete(main.where("id % 10 = 0"))
+    index.insert(main.where("id % 10 = 1").withColumn("v", F.transform("v", lambda w: w.bitwiseXOR(F.lit(7).cast("long")))))
+    return index.search(anchors_of(t), 10).select(col("query").alias("anchor_id"), "id", col("distance").alias("d"), "rank")
+
+
 @query("f08_top_hit_provenance", "tiles anchors", f"""WITH {ANCHORS_SQL}, m AS (SELECT vec_id, min(d) AS d, min(anchor_id) FILTER (d = md) AS anchor_id FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS md FROM p) GROUP BY vec_id)
 SELECT product_id, tile_id, x_offset, y_offset, d, 'anchor' AS kind, CAST(anchor_id AS VARCHAR) AS label FROM m JOIN tiles ON tile_id = vec_id""")
 def f08(t: Tables):
