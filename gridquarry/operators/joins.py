@@ -234,6 +234,18 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank", per: int =
     return running_sums(rows, order, {name: F.lit(1).cast("long")}, per)
 
 
+def ranked_in_groups(rows: DataFrame, group: list[str], order: list[Column], name: str, total: str | None = None, per: int = 100_000) -> DataFrame:
+    """rows plus name: each row's place in order, from 1, within its group (columns; null is a group), and total, the group's rows.
+
+    As ranked, over all groups in one order, less the rows of the groups before; so a group of any size goes through many tasks.
+    The groups' counts are broadcast if a count shows that they are few."""
+    found = ranked(rows.withColumn("__g", F.struct(*group)), [F.col("__g").asc(), *order], "__r", per)
+    sizes = stage(found.groupBy("__g").agg((F.min("__r") - 1).alias("__s"), F.count("*").alias("__n")), "sizes")
+    found = found.join(F.broadcast(sizes) if sizes.limit(20_001).count() <= 20_000 else sizes, "__g")
+    out = found.withColumn(name, F.col("__r") - F.col("__s"))
+    return (out if total is None else out.withColumn(total, F.col("__n"))).drop("__g", "__r", "__s", "__n")
+
+
 def terrain_intersect(rays: DataFrame, heights: DataFrame, cell: float, rounds: int = 6, tolerance: float = 1.0) -> DataFrame:
     """rays (ray_id, px, py, pz, dx, dy, dz: unit direction) with lon, lat and height_m where they meet the terrain.
 

@@ -75,6 +75,14 @@ def f04(t: Tables):
     return latent.apply_gate(latent.train_gate(rows, ["s", "delta_h"]), rows).select("doc_id", "y", "decision")
 
 
+@query("f04_cross_validation")
+def f04_folds(t: Tables):
+    """Gates on four sets of features, by 25 folds each; the tests hold them against models trained fold by fold."""
+    rows = t.scored.withColumns({"id": col("doc_id"), "y": col("toxic").cast("int"), "root": F.sqrt("s"), "low": (col("delta_h") < 0.35).cast("double")})
+    sets = {"retrieval": ["s"], "form": ["s", "root"], "physics": ["s", "delta_h"], "all": ["s", "delta_h", "root", "low"]}
+    return evaluation.cross_validate(rows, sets)
+
+
 @query("m20_shadow_shape")
 def m20(t: Tables):
     bright = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 1).alias("px"))
