@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import binary_codes
+from ..session import stage
 
 #: Queries that a task holds at once, and rows that meet them at once.
 BLOCK, ROWS = 2048, 2048
+#: Vectors that meet at once along a direction.
+_RUN = 256
 
 
 def _lists(column: pa.Array, dtype) -> np.ndarray:
@@ -223,6 +226,77 @@ def all_knn(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     return _top(found, F.desc("similarity"), k)
 
 
+def descend_knn(vectors: DataFrame, k: int, width: int = 16, starts: int = 4, rounds: int = 12, least: float = 0.001, seed: int = 1) -> DataFrame:
+    """As all_knn, in rows and columns, but approximate: neighbours of neighbours are met instead of all pairs.
+
+    Vectors first meet those beside them in order along some random directions (starts), in runs of _RUN. Then, round by round, all
+    that a vector and those that list it know meet one another, as far as any of them is new, and each keeps its width best,
+    until fewer than the share least of the entries change. Of those that list a vector, 2 * width are drawn a round, newest
+    first, so no vector's meeting grows with its fame. Work and rows shuffled grow with the vectors, not with their square;
+    tests measure the recall. Null vectors are left out; a zero vector has similarity 0. Ids must be distinct."""
+    width = max(width, k)
+    rows = vectors.where("v IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    rows = stage(rows, "vectors")
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    schema = "query long, id long, similarity double"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, v in _runs(batches, max(_RUN, 3 * width + 1)):
+            v = _unit(v)
+            s = np.round(v @ v.T, 6)
+            np.fill_diagonal(s, -np.inf)
+            row, j = _nearest(-s, ids, min(width, len(ids) - 1)) if len(ids) > 1 else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[row]), pa.array(s[row, j])], ["query", "id", "similarity"])
+
+    def best(found: DataFrame, known: DataFrame | None) -> DataFrame:
+        """The width best of all, and whether known lacks them."""
+        every = found.withColumn("new", F.lit(True))
+        every = every if known is None else every.unionByName(known.withColumn("new", F.lit(False)))
+        once = every.groupBy("query", "id").agg(F.max("similarity").alias("similarity"), F.min("new").alias("new"))
+        return stage(_top(once, F.desc("similarity"), width).drop("rank"), "graph")
+
+    found = None
+    for direction in np.random.default_rng(seed).normal(size=(starts, dim or 0)):
+        along = F.aggregate(F.zip_with("v", F.lit(direction.tolist()).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+        beside = rows.withColumn("node", F.lit(0).cast("long")).withColumn("p", along).repartitionByRange("p", "id").sortWithinPartitions("p", "id")
+        part = beside.select("node", "id", "v").mapInArrow(meet, schema)
+        found = part if found is None else found.unionByName(part)
+    graph = best(found, None)
+    for turn in range(rounds):
+        if graph.where("new").count() <= least * n * width:
+            break
+        lists = graph.select(F.col("query").alias("node"), "id", "new")
+        drawn = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("new"), F.xxhash64("id", F.lit(turn)), "id"))
+        listed = graph.select(F.col("id").alias("node"), F.col("query").alias("id"), "new").withColumn("r", drawn).where(F.col("r") <= 2 * width).drop("r")
+        members = lists.unionByName(listed).groupBy("node", "id").agg(F.max("new").alias("new"))
+        fresh = members.where("new").select("node").distinct()
+        members = members.select("node", "id").unionByName(rows.select(F.col("id").alias("node"), "id")).join(fresh, "node", "left_semi")
+        together = members.join(rows, "id").select("node", "id", "v").repartition("node").sortWithinPartitions("node")
+        graph = best(together.mapInArrow(meet, schema), graph.drop("new"))
+    norm = F.exists("v", lambda x: x != 0)
+    itself = rows.select(F.col("id").alias("query"), "id", F.when(norm, 1.0).otherwise(0.0).alias("similarity"))
+    return _top(graph.drop("new").unionByName(itself), F.desc("similarity"), k)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of rows (node, id, v) that come in order of node: those of one node together, most of them at once."""
+    node, ids, v = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = _lists(batch.column("v"), float)
+        node, ids = np.concatenate([node, batch.column("node").to_numpy()]), np.concatenate([ids, batch.column("id").to_numpy()])
+        v = new if v is None else np.concatenate([v, new])
+        cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1]).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(node)], strict=True):
+            while b - a >= most or (b < len(node) and a < b):
+                yield ids[a : min(b, a + most)], v[a : min(b, a + most)]
+                a = min(b, a + most)
+        node, ids, v = node[a:], ids[a:], v[a:]
+    if len(ids):
+        yield ids, v
+
+
 def hamming_range(codes: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs within the threshold of the query: query, id, distance. queries: query, v, threshold. See CodeIndex."""
 

@@ -41,6 +41,50 @@ def test_all_knn_in_blocks(spark):
     assert search.all_knn(table(spark, x).limit(0), 4).count() == 0
 
 
+def kinds(seed):
+    rng = np.random.default_rng(seed)
+    apart = rng.normal(size=(1500, 12))
+    close = (rng.normal(size=(30, 24)) * 2)[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 24))
+    return apart, close
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_descent_finds_neighbours(spark, which):
+    """Recall among random directions and among groups, less a vector itself."""
+    x = kinds(21)[which]
+    rows = table(spark, x)
+    exact = {(r["query"], r["id"]) for r in search.all_knn(rows, 9).collect() if r["query"] != r["id"]}
+    got = search.descend_knn(rows, 9).collect()
+    assert len(got) == 9 * len(x) and {r["rank"] for r in got} == set(range(1, 10))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(r["similarity"] == pytest.approx(u[r["query"]] @ u[r["id"]], abs=1e-6) for r in got[:500])
+    assert len(exact & {(r["query"], r["id"]) for r in got}) / len(exact) >= 0.95
+
+
+def test_descent_of_copies_zeros_and_nothing(spark):
+    x = np.concatenate([np.tile(np.eye(4)[:1], (400, 1)), np.zeros((3, 4)), np.eye(4)[1:]])
+    got = search.descend_knn(table(spark, x).unionByName(spark.createDataFrame([(-1, None)], "id long, v array<double>")), 3)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["query"], []).append(r["similarity"])
+    assert sorted(by) == list(range(len(x))) and all(by[k] == [1.0] * 3 for k in range(400)) and max(by[401]) == 0.0
+    assert search.descend_knn(table(spark, x).limit(0), 3).count() == 0
+    assert [(r["query"], r["id"]) for r in search.descend_knn(table(spark, x[:1]), 3).collect()] == [(0, 0)]
+
+
+def test_graph_of_descent(spark):
+    x = kinds(5)[1][:400]
+    a, b = ({(r["src"], r["dst"]): (r["w"], r["l"]) for r in latent.knn_graph(table(spark, x), 6, exact=e).collect()} for e in (True, False))
+    same = a.keys() & b.keys()
+    assert len(same) >= 0.97 * len(a) and np.mean([abs(a[e][0] - b[e][0]) for e in same]) < 1e-2
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [0.0, 0.0, 0.0, 5.0], [4.0, 1.0, 9.0, 1.0, 7.0], []])
+def test_exact_median(spark, values):
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    assert latent.exact_median(rows, "x") == (float(np.median(values)) if values else None)
+
+
 def test_distortion_of_the_same_vectors_is_none(spark):
     x = np.random.default_rng(1).normal(size=(60, 8))
     ratio, score = latent.jl_distortion(table(spark, x), table(spark, 3 * x), 40)
