@@ -17,9 +17,9 @@ def l2_norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """A vector of zeros stays."""
-    n = l2_norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    """A vector of zeros stays. The vector and its norm are evaluated once, not once for each component."""
+    divided = lambda v, n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    return F.transform(F.array(a), lambda v: F.transform(F.array(l2_norm(v)), lambda n: divided(v, n))[0])[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .joins import ranked_in_groups
+
 
 def reject_area_outliers(footprints: DataFrame, factor: float = 6.0, least: int = 3) -> DataFrame:
     """Rows whose area is at most factor times their orbit's median; orbits of fewer rows, or with median 0, keep all."""
@@ -181,14 +184,17 @@ def dual_scale_pooling(tokens: DataFrame, group: str, vector: str, key: str, sha
     """group and pooled: the mean of a group's vectors, and the mean of the share of them (one at least) with the largest norm, each
     as a unit vector, one after the other, together a unit vector again.
 
-    Norms count to 9 places, ties go by key. Only numbers of rows and places are put in order within a group."""
+    Norms count to 9 places, ties go by key. Only norms and keys are put in order, in ranges, so that a group of any size goes
+    through many tasks; vectors stay where they are, and tasks send sums for each group and place."""
     from ..functions.vectors import dot, l2_normalize
 
     rows = tokens.select(F.col(group).alias("g"), F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("n2", F.round(dot(F.col("v"), F.col("v")), 9))
-    sizes = rows.groupBy("g").agg(F.greatest(F.lit(1), F.floor(share * F.count("*"))).alias("top"))
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n2"), "k"))
-    best = rows.select("g", "k", "n2").withColumn("r", place).join(sizes, "g").where("r <= top").select("g", "k", F.lit(True).alias("best"))
-    px = rows.join(best, ["g", "k"], "left").select("g", F.col("best").isNotNull().alias("best"), F.posexplode("v").alias("p", "x"))
+    placed = ranked_in_groups(rows.select("g", "k", "n2"), ["g"], [F.desc("n2"), F.asc("k")], "r", total="n")
+    last = placed.where(F.col("r") == F.greatest(F.lit(1), F.floor(share * F.col("n")))).select("g", F.col("k").alias("last"), F.col("n2").alias("least"))
+    last = stage(last, "last")  # a row a group
+    met = rows.join(F.broadcast(last) if last.limit(20_001).count() <= 20_000 else last, "g")
+    best = F.expr("n2 > least OR (n2 = least AND (k IS NULL OR k <= last))")
+    px = met.select("g", F.coalesce(best, F.lit(False)).alias("best"), F.posexplode("v").alias("p", "x"))
     means = px.groupBy("g", "p").agg(F.avg("x").alias("mean"), F.avg(F.when(F.col("best"), F.col("x"))).alias("top_mean"))
     held = means.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "mean", "top_mean"))).alias("m"))
     half = lambda c: l2_normalize(F.transform("m", lambda x: x[c]))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridquarry.operators import coverage, joins, nms, search, tiles
+from gridquarry.operators import aggregates, coverage, joins, nms, search, tiles
 
 
 def greedy(rows, near):
@@ -190,3 +190,18 @@ def test_files_without_a_window_go_with_all(spark):
     files = spark.createDataFrame([(f"open{k}",) for k in range(2500)] + [("x_2020001_2020010",), ("x_2021001_2021010",)], "name string")
     got = joins.covering_files(products, files)
     assert got.count() == 2 * 2501 and got.where("name LIKE 'x%'").count() == 2
+
+
+def test_dual_scale_pooling_of_ties_and_hot_groups(spark):
+    """Against numpy: a group of most rows, equal norms, a group of one, null vectors and null keys."""
+    rng = np.random.default_rng(8)
+    rows = [("hot", k, rng.integers(-2, 3, 6).astype(float).tolist()) for k in range(300)] + [("one", 1, [3.0, 0.0, 0.0, 0.0, 0.0, 4.0]), ("zero", 1, [0.0] * 6)]
+    df = spark.createDataFrame([*rows, ("hot", 999, None)], "g string, k long, v array<double>").repartition(3)
+    got = {r["g"]: r["pooled"] for r in aggregates.dual_scale_pooling(df, "g", "v", "k").collect()}
+    unit = lambda x: x / (np.linalg.norm(x) or 1)
+    for g in ("hot", "one", "zero"):
+        own = sorted(((k, np.array(v)) for h, k, v in rows if h == g), key=lambda r: (-round(float(r[1] @ r[1]), 9), r[0]))
+        n = len(own) + (g == "hot")  # a null vector counts as a row, the last
+        best = [v for _, v in own[: max(1, int(0.1 * n))]]
+        expected = unit(np.concatenate([unit(np.mean([v for _, v in own], axis=0)), unit(np.mean(best, axis=0))]))
+        assert got[g] == pytest.approx(expected.tolist(), abs=1e-9)
