@@ -168,11 +168,31 @@ def j08_dem(t: Tables):
     return t.hits.select("lat", "lon").join(first, ["lat", "lon"]).join(last, ["lat", "lon"]).select("lat", "lon", "first_m", "last_m")
 
 
-@query("i09_terrain_intersect", "footprints", "SELECT product_id AS ray_id, 0.0e0 AS lat, 500.0e0 AS height_m FROM footprints")
+@query("i09_terrain_intersect", "footprints", """WITH RECURSIVE g AS (SELECT CAST(floor(min_lon / 0.5e0) AS BIGINT) AS i, CAST(floor(min_lat / 0.5e0) AS BIGINT) AS j, min(orderkey) % 41 * 400.0e0 - 3000.0e0 AS height_m FROM footprints GROUP BY 1, 2),
+c AS (SELECT product_id, radians(min_lon) AS a, radians(min_lat) AS b, radians(min_lon + 0.603e0) AS a2, radians(min_lat + 0.807e0) AS b2 FROM footprints),
+q AS (SELECT product_id, 1837400e0 * cos(b) * cos(a) AS px, 1837400e0 * cos(b) * sin(a) AS py, 1837400e0 * sin(b) AS pz, 1737400e0 * cos(b2) * cos(a2) AS tx, 1737400e0 * cos(b2) * sin(a2) AS ty, 1737400e0 * sin(b2) AS tz FROM c),
+d AS (SELECT product_id, px, py, pz, (tx - px) / n AS dx, (ty - py) / n AS dy, (tz - pz) / n AS dz FROM (SELECT *, sqrt((tx - px) * (tx - px) + (ty - py) * (ty - py) + (tz - pz) * (tz - pz)) AS n FROM q)),
+r AS (SELECT *, 0.0e0 AS h, 1e300 AS moved, CAST(NULL AS DOUBLE) AS lon, CAST(NULL AS DOUBLE) AS lat, 0 AS turn FROM d UNION ALL
+SELECT product_id, px, py, pz, dx, dy, dz, CASE WHEN moved < 1 THEN h ELSE height_m END, CASE WHEN moved < 1 THEN moved ELSE abs(height_m - h) END, flon, flat, turn + 1
+FROM (SELECT *, degrees(atan2(y, x)) AS flon, degrees(asin(z / sqrt(x * x + y * y + z * z))) AS flat FROM (SELECT *, px + t * dx AS x, py + t * dy AS y, pz + t * dz AS z
+FROM (SELECT *, CASE WHEN b * b - c >= 0 THEN -b - sqrt(greatest(b * b - c, 0.0e0)) END AS t FROM (SELECT *, px * dx + py * dy + pz * dz AS b, px * px + py * py + pz * pz - pow(1737400e0 + h, 2) AS c FROM r WHERE turn < 6)))) f
+LEFT JOIN g ON g.i = CAST(floor(flon / 0.5e0) AS BIGINT) AND g.j = CAST(floor(flat / 0.5e0) AS BIGINT))
+SELECT product_id AS ray_id, round(lon, 5) AS lon, round(lat, 5) AS lat, h AS height_m FROM r WHERE turn = 6""")
 def i09(t: Tables):
-    rays = t.footprints.select(col("product_id").alias("ray_id"), F.lit(3e6).alias("px"), (col("min_lon") * 1000).alias("py"), F.lit(0.0).alias("pz"), F.lit(-1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
-    heights = t.spark.sql("SELECT cast(i AS BIGINT) i, cast(0 AS BIGINT) j, 500.0D AS height_m FROM range(360) AS r(i)")
-    return joins.terrain_intersect(rays, heights, 1.0).select("ray_id", F.abs(r6(col("lat"))).alias("lat"), "height_m")
+    """Slanted rays from 100 km above each footprint's corner, on terrain that the footprints of each half degree give, with steep
+    steps; rays that leave it find no height."""
+    cell = lambda c: F.floor(col(c) / 0.5)
+    heights = t.footprints.groupBy(cell("min_lon").alias("i"), cell("min_lat").alias("j")).agg((F.min("orderkey") % 41 * 400.0 - 3000.0).alias("height_m"))
+
+    def place(r: float, lon, lat):
+        a, b = F.radians(lon), F.radians(lat)
+        return r * F.cos(b) * F.cos(a), r * F.cos(b) * F.sin(a), r * F.sin(b)
+
+    start, aim = place(1_837_400.0, col("min_lon"), col("min_lat")), place(1_737_400.0, col("min_lon") + 0.603, col("min_lat") + 0.807)
+    rays = t.footprints.select(col("product_id").alias("ray_id"), *[x.alias(f"p{n}") for n, x in zip("xyz", start)], *[(y - x).alias(n) for n, x, y in zip("abc", start, aim)])
+    length = F.sqrt(col("a") * col("a") + col("b") * col("b") + col("c") * col("c"))
+    rays = rays.select("ray_id", "px", "py", "pz", *[(col(n) / length).alias(f"d{m}") for n, m in zip("abc", "xyz")])
+    return joins.terrain_intersect(rays, heights, 0.5).select("ray_id", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "height_m")
 
 
 # --- sources and sinks
