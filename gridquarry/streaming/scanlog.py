@@ -227,8 +227,16 @@ def band_state_stream(events: DataFrame, forget: str | None = None) -> DataFrame
 
 
 def throughput_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events per window of event time, final once the watermark has passed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    """Of each window of event time, final once the watermark has passed: start, end, n (events), nodes (completed), last_product (of
+    the latest of these, by time and then by place; null without) and hours_a_thousand (at the window's pace; null without).
+
+    events: as of parse_scan_log. A window's state is a few numbers and one product."""
+    node = F.col("kind") == "node_complete"
+    windows = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w")).agg(
+        F.count("*").alias("n"), F.count(F.when(node, 1)).alias("nodes"), F.max_by("arg", F.when(node, F.struct("ts", "at"))).alias("last_product")
+    )
+    hours = (F.unix_timestamp("w.end") - F.unix_timestamp("w.start")) / 3600
+    return windows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "nodes", "last_product", F.when(F.col("nodes") > 0, hours * 1000 / F.col("nodes")).alias("hours_a_thousand"))
 
 
 def session_stream(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

@@ -95,6 +95,12 @@ def test_throughput_stream(spark, tmp_path):
     got = run(spark, scanlog.throughput_stream(events), "append", "hours").collect()
     batch = scanlog.parse_scan_log(scanlog.read_scan_log(spark, str(tmp_path / "*"), stream=False)).where("kind IS NOT NULL AND ts < '2026-07-16 22:00'")
     assert sum(r["n"] for r in got) == batch.count()  # all but the last hour, which is open until the watermark passes it
+    nodes = sorted((r["ts"], r["at"], r["arg"]) for r in batch.where("kind = 'node_complete'").collect())
+    assert sum(r["nodes"] for r in got) == len(nodes) > 0
+    for r in got:
+        own = [arg for ts, _, arg in nodes if r["start"] <= ts < r["end"]]
+        assert r["last_product"] == (own[-1] if own else None)
+        assert r["hours_a_thousand"] == (pytest.approx(1000 / len(own)) if own else None)
 
 
 def test_band_state_stream_equals_batch(spark, tmp_path):
