@@ -226,7 +226,7 @@ def all_knn(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     return _top(found, F.desc("similarity"), k)
 
 
-def descend_knn(vectors: DataFrame, k: int, width: int = 16, starts: int = 4, rounds: int = 12, least: float = 0.001, seed: int = 1) -> DataFrame:
+def descend_knn(vectors: DataFrame, k: int, width: int = 28, starts: int = 4, rounds: int = 12, least: float = 0.001, seed: int = 1) -> DataFrame:
     """As all_knn, in rows and columns, but approximate: neighbours of neighbours are met instead of all pairs.
 
     Vectors first meet those beside them in order along some random directions (starts), in runs of _RUN. Then, round by round, all
