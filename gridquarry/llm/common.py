@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from ..session import shared_dir, stage  # noqa: F401
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that separate words of running text, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch of texts, about. Batches of Spark's default, 10,000 rows or 64 MB, stand several times in a task: off
+#: the heap of the JVM on the way there and back, and in Python.
+BATCH_BYTES = 4 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -18,6 +24,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def map_texts(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(function, schema) in batches of about BATCH_BYTES (or one row, if that is longer). The bound is a setting of
+    df's session, which is lowered if it is larger."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4, is 2. A null id counts as empty text, so it is never held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import LOWER, SPACE, UPPER, keep_one, row_key, small_join, stage
+from .common import LOWER, SPACE, UPPER, keep_one, map_texts, row_key, small_join, stage
 from .groups import bucket_components
 
 #: Cells of the count sketch that orders tokens from frequent to rare; 4 bytes each, whatever the size of the input.
@@ -77,7 +77,7 @@ def _signatures(rows: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*own_columns, "n", "c1", "c2", "cells"])
 
     own = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own_columns)
-    return stage(rows.mapInArrow(sign, f"{own}, n long, c1 long, c2 long, cells binary"), "signatures")
+    return stage(map_texts(rows, sign, f"{own}, n long, c1 long, c2 long, cells binary"), "signatures")
 
 
 def _token_counts(signed: DataFrame) -> np.ndarray:
@@ -125,7 +125,7 @@ def _postings(rows: DataFrame, k: int, percent: int, counts) -> DataFrame:
                     columns = [np.concatenate([x[0] for x in out]), np.repeat([x[1] for x in out], [len(x[0]) for x in out]), np.concatenate([x[2] for x in out])]
                     yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["token", "c1", "place"])
 
-    return rows.mapInArrow(post, "token long, c1 long, place long")
+    return map_texts(rows, post, "token long, c1 long, place long")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _fetch(rows: DataFrame, k: int, counts, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["c1", "c2", "n", "tokens", "sketch"])
 
     near = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(bits)))
-    found = near.select("text", "bit").mapInArrow(fetch, "c1 long, c2 long, n long, tokens binary, sketch array<long>")
+    found = map_texts(near.select("text", "bit"), fetch, "c1 long, c2 long, n long, tokens binary, sketch array<long>")
     return stage(small_join(found, wanted.select("c1", "c2", "node"), ["c1", "c2"], bound=_BOUND).select("node", "n", "tokens", "sketch"), "sets")
 
 

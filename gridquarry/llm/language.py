@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import held_out, stage
+from .common import held_out, map_texts, stage
 
 UNKNOWN = "und"
 #: Bound of what is learned: texts of each language, by hash of the id.
@@ -128,7 +128,7 @@ def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang
                     gram, n = [None, *gram.view(np.int64).tolist()], [int((own == k).sum()), *n.tolist()]  # null: texts
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_texts(sample.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = stage(counted, "grams")
     texts = counted.where("gram IS NULL").select("lang", F.col("n").alias("texts"))
     often = counted.where("gram IS NOT NULL").join(F.broadcast(texts), "lang").where(F.col("n") >= F.least(F.col("texts"), F.greatest(F.lit(2), F.lit(share) * F.col("texts"))))
@@ -149,7 +149,7 @@ def identify(df: DataFrame, filters: LanguageFilters, text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([block.column("record"), pa.array(lang, pa.string()), pa.array(score)], ["record", "lang_pred", "score"])
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predict, f"record {rows.schema['record'].dataType.simpleString()}, lang_pred string, score double")
+    return map_texts(rows, predict, f"record {rows.schema['record'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, least: float = 0.1, **columns) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import stage
+from .common import map_texts, stage
 
 #: Where the two tokenizer libraries surely split alike; other texts go to the slower one that defines the ids.
 _COMMON = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>")
@@ -81,7 +81,7 @@ def token_pieces(
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return map_texts(rows, cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
