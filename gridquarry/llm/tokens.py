@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import running_sums
 from ..session import scratch_path
 from . import arrays
-from .common import row_key
+from .common import map_texts
 
 #: Ids of a shard, about: whole documents, so that a longer one makes a longer shard.
 SHARD_TOKENS = 1 << 19
@@ -27,6 +27,8 @@ SHARD_TOKENS = 1 << 19
 LEAST_COUNT, LEAST_SHARE = 8, 0.02
 #: Places of the sequence between two entries of the table of starts.
 _STEP = 64
+#: Bits of the cells that count pairs: tables of 2 MB.
+_COUNT_BITS = 18
 #: Words whose ids a Python worker remembers.
 _WORDS = 1 << 20
 _MAGIC = b"RPG1"
@@ -50,8 +52,11 @@ class Grammar:
         return out
 
     def expand(self, symbols: np.ndarray | None = None) -> np.ndarray:
-        """The ids of symbols, or of all. Every pass replaces all nonterminals at once; there are as many as the deepest rule has levels."""
-        out = self.sequence if symbols is None else symbols
+        """The ids of symbols, or of all. Of symbols, every pass replaces all nonterminals at once; there are as many passes as the
+        deepest rule has levels. Of all, every rule is expanded once, and its ids are copied to wherever it stands."""
+        if symbols is None:
+            return self._expand_all()
+        out = symbols
         while True:
             ruled = out >= self.first
             if not ruled.any():
@@ -63,6 +68,27 @@ class Grammar:
             new[at[ruled] - 1], new[at[ruled]] = pair[:, 0], pair[:, 1]
             out = new
 
+    def _expand_all(self) -> np.ndarray:
+        flat, lengths = np.zeros(0, np.uint32), self.lengths.astype(np.int64)
+        ends, most = np.cumsum(lengths), self.rules.max(1, initial=0)
+
+        def ids(symbols: np.ndarray) -> np.ndarray:
+            """Ids of symbols whose rules are in flat, in which symbols themselves come behind."""
+            ruled, size = symbols >= self.first, self._long(symbols)
+            begins = np.arange(len(flat), len(flat) + len(symbols))
+            rule = symbols[ruled] - self.first
+            begins[ruled] = ends[rule] - lengths[rule]
+            after = np.cumsum(size)
+            return np.concatenate([flat, symbols])[np.repeat(begins - after + size, size) + np.arange(after[-1])]
+
+        done = 0
+        while done < len(self.rules):  # all rules at once that stand for what is expanded already
+            open_ = np.flatnonzero(most[done:] >= self.first + done)
+            upto = done + int(open_[0]) if len(open_) else len(self.rules)
+            flat = np.concatenate([flat, ids(self.rules[done:upto].reshape(-1))])
+            done = upto
+        return ids(self.sequence) if done else self.sequence
+
     def __len__(self) -> int:
         return int(self.starts()[-1])
 
@@ -131,6 +157,27 @@ class Grammar:
         return cls(first, pairs, lengths, np.frombuffer(data, "<u4", symbols, at), np.frombuffer(data, "<u8", starts, at + 4 * symbols).astype(np.int64))
 
 
+def _frequent(keys: np.ndarray, least_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places that may hold a frequent key, the number of each one's key (-1: it is not frequent), those keys and their counts.
+
+    Keys are counted by hash. A cell counts the last of its keys; other keys of a cell, which are few, are sorted."""
+    cells = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)
+    may = np.flatnonzero(np.bincount(cells, minlength=1 << _COUNT_BITS)[cells] >= least_count)
+    keys, cells = keys[may], cells[may]
+    held = np.empty(1 << _COUNT_BITS, np.uint64)
+    held[cells] = keys
+    own = held[cells] == keys
+    counts = np.bincount(cells[own], minlength=1 << _COUNT_BITS)
+    used = np.flatnonzero(counts >= least_count)
+    number = np.full(1 << _COUNT_BITS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    of = np.where(own, number[cells], -1)
+    rest, at, times = np.unique(keys[~own], return_inverse=True, return_counts=True)
+    often = times >= least_count
+    of[~own] = np.where(often, len(used) + np.cumsum(often) - 1, -1)[at]
+    return may, of, np.concatenate([held[used], rest[often]]), np.concatenate([counts[used], times[often]])
+
+
 def re_pair(ids: np.ndarray, least_count: int = LEAST_COUNT, least_share: float = LEAST_SHARE) -> Grammar:
     """Replace frequent pairs of neighbours by nonterminals, round by round, the most frequent first.
 
@@ -144,14 +191,14 @@ def re_pair(ids: np.ndarray, least_count: int = LEAST_COUNT, least_share: float
     top = first
     while len(sequence) >= 2 * least_count:
         keys = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        cells = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)  # a count by hash rules out most pairs
-        may = np.flatnonzero(np.bincount(cells, minlength=1 << 20)[cells] >= least_count)
-        if not len(may):
+        may, of, pairs, counts = _frequent(keys, least_count)
+        if not len(pairs):
             break
-        pairs, of, counts = np.unique(keys[may], return_inverse=True, return_counts=True)
-        rank = np.zeros(len(keys) + 2, np.int64)  # by place, with one more place at either end; 0: no rule
-        power = np.frexp(counts.astype(float))[1].astype(np.int64) << 32
-        rank[1:-1][may] = np.where(counts >= least_count, power + (arrays.mix(pairs) >> np.uint64(32)).astype(np.int64), 0)[of]
+        order = np.lexsort((arrays.mix(pairs) >> np.uint64(32), np.frexp(counts.astype(float))[1]))
+        pairs, by = pairs[order], np.empty(len(pairs) + 1, np.int32)
+        by[order], by[-1] = np.arange(1, len(pairs) + 1), 0
+        rank = np.zeros(len(keys) + 2, np.int32)  # of the pair at a place, with one more place at either end; 0: no rule
+        rank[1:-1][may] = by[of]
         own, before, after = rank[1:-1], rank[:-2], rank[2:]
         taken = (own > 0) & (own > before) & (own >= after)
         same = (own > 0) & (own == before)  # runs of one pair overlap themselves: every second place
@@ -168,12 +215,16 @@ def re_pair(ids: np.ndarray, least_count: int = LEAST_COUNT, least_share: float
                 if at and taken[at - 1]:
                     taken[at] = False
         places = np.flatnonzero(taken)
-        used, of, left = np.unique(keys[places], return_inverse=True, return_counts=True)
-        good = left >= max(3, least_count // 2)  # a rule costs three numbers
-        places, of = places[good[of]], (np.cumsum(good) - 1)[of[good[of]]]
+        left = np.bincount(own[places], minlength=len(pairs) + 1)[1:]
+        good = np.flatnonzero(left >= max(3, least_count // 2))  # a rule costs three numbers
+        good = good[np.argsort(pairs[good])]
+        number = np.full(len(pairs) + 1, -1)
+        number[good + 1] = np.arange(len(good))
+        of = number[own[places]]
+        places, of = places[of >= 0], of[of >= 0]
         if len(places) < least_share * len(sequence) or not len(places):
             break
-        new = used[good]
+        new = pairs[good]
         pair = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         known = np.concatenate(lengths)
         size = np.ones(pair.shape, np.int64)
@@ -292,9 +343,9 @@ def write_token_files(
         if held:
             yield made()
 
-    placed = rows.select("id", row_key(F.col("id"), F.col("text")).alias("key"), F.monotonically_increasing_id().alias("at"), "text")
+    placed = rows.select("id", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("at"), "text")
     ordered = placed.repartitionByRange(parts, "id", "key", "at").sortWithinPartitions("id", "key", "at").select("id", "text")
-    shards = ordered.mapInArrow(cut, f"part int, shard int, ids array<{kind}>, lengths array<int>, n_tokens long, grammar binary")
+    shards = map_texts(ordered, cut, f"part int, shard int, ids array<{kind}>, lengths array<int>, n_tokens long, grammar binary")
     shards.write.option("compression", "zstd").parquet(f"{path}/shards")
     sizes = df.sparkSession.read.parquet(f"{path}/shards").select("part", "shard", "n_tokens")
     found = running_sums(sizes, [F.col("part"), F.col("shard")], {"upto": F.col("n_tokens")})

@@ -55,6 +55,15 @@ def test_grammar_replaces_frequent_pairs():
     assert all(counts[tuple(p)] >= tokens.LEAST_COUNT for p in made.rules[made.rules.max(1) < made.first].tolist())
 
 
+def test_pairs_are_counted_exactly():
+    """More pairs than cells count: those that share a cell are told apart."""
+    keys = RNG.permutation(np.repeat(np.arange(150_000, dtype=np.uint64) * np.uint64(7919), RNG.integers(1, 12, 150_000)))
+    may, of, pairs, counts = tokens._frequent(keys, 8)
+    want = {k: n for k, n in collections.Counter(keys.tolist()).items() if n >= 8}
+    assert dict(zip(pairs.tolist(), counts.tolist(), strict=True)) == want and len(pairs) == len(want)
+    assert (pairs[of[of >= 0]] == keys[may[of >= 0]]).all() and (of >= 0).sum() == sum(want.values())
+
+
 def test_words_encode_as_whole_texts(spark):
     exact = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ODD + [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
