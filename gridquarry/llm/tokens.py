@@ -8,10 +8,11 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import groupby
+from itertools import compress, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ LEAST_COUNT, LEAST_SHARE = 8, 0.02
 _STEP = 64
 #: Bits of the cells that count pairs: tables of 2 MB.
 _COUNT_BITS = 18
-#: Words whose ids a Python worker remembers.
-_WORDS = 1 << 20
+#: Units of words whose ids a Python worker remembers, and half as many words that are not split into units.
+_UNITS = 1 << 20
+#: Kinds of bytes: 1 letters (also the bytes of those of two), 2 digits, 3 signs, 4 line ends. Those of even kind stand alone.
+_KINDS = np.array([4 if k == 10 else 2 if 48 <= k < 58 else 1 if 97 <= k < 123 or k >= 128 else 3 for k in range(256)], np.uint8)
 _MAGIC = b"RPG1"
 
 
@@ -240,29 +243,68 @@ def re_pair(ids: np.ndarray, least_count: int = LEAST_COUNT, least_share: float
     return Grammar(first, np.concatenate(rules), np.concatenate(lengths), sequence)
 
 
-class Remembered(dict):
-    """Keys with what make gives for them, looked up once; a full table starts anew."""
+class Remembered:
+    """Keys with what make gives for each. Half of most (or the keys of one call, if they are more) stand in a young table; when it is
+    full it becomes the old one, from which keys that are asked for again come back, so that frequent ones are not made anew."""
 
-    def __init__(self, make: Callable, most: int = _WORDS):
-        super().__init__()
-        self.make, self.most = make, most
+    def __init__(self, make: Callable, most: int = _UNITS):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = found = self.make(key)
+    def of(self, keys: list) -> list:
+        """What is given for keys, which differ."""
+        found = list(map(self.young.get, keys))
+        new = [k for k, x in enumerate(found) if x is None]
+        if new and len(self.young) + len(new) > self.most // 2:
+            self.old, self.young, found, new = self.young, {}, [None] * len(keys), range(len(keys))
+        for k in new:
+            made = self.old.get(keys[k])
+            self.young[keys[k]] = found[k] = self.make(keys[k]) if made is None else made
         return found
 
 
+def _offsets(binary: pa.Array) -> np.ndarray:
+    """Where the values of a whole array of large_binary begin, and the last one ends."""
+    return np.frombuffer(binary.buffers()[1], np.int64, len(binary) + 1) if len(binary) else np.zeros(1, np.int64)
+
+
+def _joined(texts: pa.Array, by: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), pa.scalar(by, pa.large_string()))[0].as_py()
+
+
+def _units(words: str) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of words, each of which a line end ends, and which of the pieces are line ends, pieces of their own.
+
+    For lower case of common Latin letters and signs, this is the default tokenizer's pattern: 's, 't, 're, 've, 'm, 'll, 'd where a
+    piece begins, else runs of letters, single digits, runs of other signs."""
+    raw = words.encode()
+    data = np.frombuffer(raw, np.uint8)
+    kind = _KINDS[data]
+    if len(raw) > len(words):  # the second bytes of two signs among letters, each with its first
+        signs = np.flatnonzero((data == 0x97) | (data == 0xB7))
+        kind[signs] = kind[signs - 1] = 3
+    begin = np.ones(len(data), bool)
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] % 2 == 0)
+    at = np.flatnonzero(begin & (data == ord("'")))
+    one, two = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    size = np.where(long, 2, np.isin(one, list(b"stmd")).astype(int))
+    at, size = at[size > 0], size[size > 0]
+    begin[at + 1] = False
+    begin[at + 1 + size] = True
+    starts = np.flatnonzero(begin)
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(raw)]), kind[starts] == 4
+
+
 @cache
-def word_encoder(tokenizer: str | None = None) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian 32-bit numbers. No special tokens are added, but those that stand in a text
-    are found. tokenizer: a file of the tokenizers library, by default the public lower-casing one with 49,408 ids.
+def texts_encoder(tokenizer: str | None = None) -> Callable[[pa.Array], list[bytes]]:
+    """A function from an array of texts, none null, to their ids as little-endian 32-bit numbers. No special tokens are added, but
+    those that stand in a text are found. tokenizer: a file of the tokenizers library, by default the public lower-casing one with
+    49,408 ids.
 
     The default one never looks across ASCII white space: it drops it, its patterns match none, and neither normal forms nor
-    lower case reach across. Texts of common Latin letters and signs, which its normal form leaves alone, are split by its own
-    pattern, and each unit's ids are remembered; in other texts, the ids of words between white space are. Other tokenizers
-    encode whole texts."""
+    lower case reach across. So each different word of an array is encoded once. Words of common Latin letters and signs, which
+    its normal form leaves alone, are split as its pattern splits them, all at once, and the library's model gives the ids of
+    units that are not remembered; the library encodes other words as they are, remembered too. Other tokenizers encode whole texts."""
     import public_tokenizers
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
@@ -274,29 +316,48 @@ def word_encoder(tokenizer: str | None = None) -> Callable[[str], bytes]:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     if tokenizer:
-        return encode
-    common, special = re.compile("[\x21-\x7E\u00C0-\u00FF]*"), re.compile(r"<\|(start|end)oftext\|>")
-    # Fixed value: the tokenizer's own pattern, for lower case of common letters and signs.
-    units = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-/:-@\\[-`{-~\u00D7\u00F7]+").findall
+        return lambda texts: list(map(encode, texts.to_pylist()))
+    common, special = re.compile("[\n\x21-\x7E\u00C0-\u00FF]*").fullmatch, re.compile(r"<\|(start|end)oftext\|>").search
     level, model = ByteLevel(add_prefix_space=False, use_regex=False), exact.model
     as_bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})  # letters that stand for bytes
 
     def unit(text: str) -> bytes:
-        ids = [x.id for x in model.tokenize(text if text.isascii() else text.translate(as_bytes))]
+        ids = [x.id for x in model.tokenize(text if text.isascii() else text.translate(as_bytes))] if text != "\n" else []
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    known_units = Remembered(unit, _WORDS // 2)
+    known, known_words = Remembered(unit), Remembered(encode, _UNITS // 2)
+
+    def plain(words: str) -> pa.Array:
+        pieces, last = _units(words.lower() + "\n")
+        pieces = pieces.dictionary_encode()
+        ids = pa.array(known.of(_joined(pieces.dictionary, " ").split(" ")), pa.large_binary()).take(pieces.indices)
+        ends = _offsets(ids)[1:][last]
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), ids.buffers()[2]])
+
+    def encode_words(words: str) -> pa.Array:
+        if common(words) and not special(words):
+            return plain(words)
+        split = words.split("\n")
+        own = np.array([common(x) is not None and not special(x) for x in split])
+        order = np.argsort(np.argsort(~own, kind="stable"))
+        others = pa.array(known_words.of(list(compress(split, ~own))), pa.large_binary())
+        return pa.concat_arrays([plain("\n".join(compress(split, own)))[: own.sum()], others]).take(pa.array(order))
 
-    def word(raw: bytes) -> bytes:
-        text = raw.decode()
-        if text.isalpha() and text.isascii():
-            return known_units[text.lower()]
-        if common.fullmatch(text) and not special.search(text):
-            return b"".join([known_units[x] for x in units(text.lower())])
-        return encode(text)
+    def encode_texts(texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = split.values.dictionary_encode()
+        ids = encode_words(_joined(words.dictionary, "\n")).take(words.indices)
+        ends = _offsets(ids)[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
-    known_words = Remembered(word)
-    return lambda text: b"".join(map(known_words.__getitem__, text.encode().split()))
+    return encode_texts
+
+
+def word_encoder(tokenizer: str | None = None) -> Callable[[str], bytes]:
+    """texts_encoder for one text at a time."""
+    encode = texts_encoder(tokenizer)
+    return lambda text: encode(pa.array([text], pa.string()))[0]
 
 
 def write_token_files(
@@ -329,10 +390,10 @@ def write_token_files(
             return pa.RecordBatch.from_arrays(columns, ["part", "shard", "ids", "lengths", "n_tokens", "grammar"])
 
         for batch in batches:
-            encode = encode or word_encoder(tokenizer)
+            encode = encode or texts_encoder(tokenizer)
             start = 0
-            for row, text in enumerate(batch.column("text")):
-                held.append(encode(text.as_py()) + end)
+            for row, found in enumerate(encode(batch.column("text"))):
+                held.append(found + end)
                 size += len(held[-1]) // 4
                 if size >= shard_tokens:
                     held_ids.append(batch.column("id").slice(start, row + 1 - start))

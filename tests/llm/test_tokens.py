@@ -7,6 +7,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -72,6 +73,28 @@ def test_words_encode_as_whole_texts(spark):
         assert np.frombuffer(encode(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["'stmdrvel", "'aésSÉ×÷ß1!|<oftext>", "a漢'!é \n\x1c", "'' lrvx\t29ÿ"])
+def test_units_are_split_as_the_library_splits(letters):
+    """All texts of an array at once, of few letters, so that every neighbourhood occurs; repeated and empty texts among them."""
+    exact = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["".join(RNG.choice(list(letters), RNG.integers(0, 30))) for _ in range(2000)] + ["", " ", letters, letters, "<|endoftext|>" + letters]
+    want = [exact.encode(x, add_special_tokens=False).ids for x in texts]
+    got = tokens.texts_encoder()(pa.array(["x", *texts, "x"]).slice(1, len(texts)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    for few in ([], [""], ["", " "], ["漢"]):
+        assert [len(x) // 4 for x in tokens.texts_encoder()(pa.array(few, pa.string()))] == [len(exact.encode(x, add_special_tokens=False).ids) for x in few]
+
+
+def test_frequent_keys_are_made_once():
+    """A full table does not forget what every batch asks for, and holds no more than it may."""
+    made = collections.Counter()
+    table = tokens.Remembered(lambda k: made.update([k]) or str(k), 100)
+    for k in range(1, 500):
+        assert table.of([0, -1, *range(20 * k, 20 * k + 20)]) == ["0", "-1", *map(str, range(20 * k, 20 * k + 20))]
+        assert len(table.young) + len(table.old) <= 100
+    assert set(made.values()) == {1}
+
+
 def brute_ids(rows, encode, end=2):
     at, out = 0, []
     for i, text in rows:
