@@ -97,7 +97,9 @@ def physics_validate(masks: DataFrame, key: str, azimuth: Column, incidence: Col
     px = {f"{name}_px": F.coalesce(f"{name[0]}_area", F.lit(0)).cast("long") for name in ("shadow", "edge")}
     enough = (px["shadow_px"] >= least_px) & (px["edge_px"] >= least_px)
     dx, dy = F.col("s_cx") - F.col("e_cx"), F.col("s_cy") - F.col("e_cy")
-    both = both.withColumn("shadow_deg", F.when(enough, F.pmod(F.degrees(F.atan2(dx, -dy)), F.lit(360.0))).otherwise(0.0))
+    # Spark's atan2 takes -0.0 for 0.0: without an offset, atan2(0.0, -0.0) is half a turn elsewhere
+    angle = F.when((dx == 0) & (dy == 0), F.lit(180.0)).otherwise((F.degrees(F.atan2(dx, -dy)) + 360) % 360)
+    both = both.withColumn("shadow_deg", F.when(enough, angle).otherwise(0.0))
     both = both.withColumn("solar_deg", F.when(enough, F.pmod(F.col("azimuth") + 180, F.lit(360.0))).otherwise(F.col("azimuth").cast("double")))
     gap = F.abs(F.col("shadow_deg") - F.col("solar_deg"))
     tan = F.tan(F.radians("incidence"))

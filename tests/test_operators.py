@@ -205,3 +205,10 @@ def test_dual_scale_pooling_of_ties_and_hot_groups(spark):
         best = [v for _, v in own[: max(1, int(0.1 * n))]]
         expected = unit(np.concatenate([unit(np.mean([v for _, v in own], axis=0)), unit(np.mean(best, axis=0))]))
         assert got[g] == pytest.approx(expected.tolist(), abs=1e-9)
+
+
+def test_a_shadow_without_an_offset_points_down(spark):
+    moments = "struct<area:bigint,cx:double,cy:double,width:int,height:int>"
+    masks = spark.createDataFrame([(1, (20, 3.5, 3.5, 7, 7), (20, 3.5, 3.5, 7, 7)), (2, (20, 3.0, 4.0, 7, 7), (20, 3.0, 3.0, 7, 7))], f"id long, shadow {moments}, edge {moments}")
+    found = aggregates.physics_validate(masks, "id", F.lit(10.0), F.lit(60.0))
+    assert {r["id"]: (r["shadow_deg"], r["error_deg"]) for r in found.collect()} == {1: (180.0, 10.0), 2: (180.0, 10.0)}
