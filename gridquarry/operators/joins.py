@@ -101,7 +101,8 @@ def match_sites(hits: DataFrame, sites: DataFrame, max_m: float = 150.0) -> Data
 
 def missed_sites(hits: DataFrame, sites: DataFrame, max_m: float = 150.0) -> DataFrame:
     """sites that are no hit's nearest within max_m."""
-    return sites.join(nearest_site(hits, sites, max_m).select("name").where("name IS NOT NULL").distinct(), "name", "left_anti")
+    matched = nearest_site(hits.select("lat", "lon").distinct(), sites, max_m).select("name").where("name IS NOT NULL").distinct()
+    return sites.join(matched.hint("merge"), "name", "left_anti")
 
 
 def attach_metadata(hits: DataFrame, tiles: DataFrame) -> DataFrame:

@@ -40,3 +40,9 @@ def test_sites_at_one_place_meet_hits_once(spark):
     sites = spark.range(2000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"), F.lit(10.0).alias("latitude"), F.lit(20.0).alias("longitude"))
     found = joins.nearest_site(hits, sites, 300.0)
     assert {r["name"] for r in found.collect()} == {"s0", None}
+
+
+def test_missed_sites_broadcast_nothing(spark):
+    found = joins.missed_sites(*tables(spark), 300.0)
+    assert "Broadcast" not in plan(found)
+    assert sorted(r["name"] for r in found.collect()) == ["b", "c"]
