@@ -11,15 +11,16 @@ INVALID = -32752
 
 def stretch_u8(pixels: Column, low: Column, high: Column, rounded: bool = False) -> Column:
     """Pixels scaled to 0 to 255, cut (or rounded); missing ones, and all if high is not above low, become 0."""
-    span = F.when(high > low, high - low)
 
-    def scale(x: Column) -> Column:
+    def scale(x: Column, limits: Column) -> Column:
         x = x.cast("double")
-        part = F.least(F.greatest((x - low) / span, F.lit(0.0)), F.lit(1.0)) * 255
+        part = F.least(F.greatest((x - limits["low"]) / limits["span"], F.lit(0.0)), F.lit(1.0)) * 255
         part = F.floor(part + 0.5) if rounded else F.floor(part)
         return F.when(x.isNull() | F.isnan(x) | (x <= INVALID), 0).otherwise(F.coalesce(part, F.lit(0))).cast("int")
 
-    return F.transform(pixels, scale)
+    # the limits are an argument of a lambda, so they are evaluated once an array and not once a pixel
+    ends = F.transform(F.array(F.struct(low.alias("low"), high.alias("high"))), lambda e: F.struct(e["low"].alias("low"), F.when(e["high"] > e["low"], e["high"] - e["low"]).alias("span")))
+    return F.transform(ends, lambda limits: F.transform(pixels, lambda x: scale(x, limits)))[0]
 
 
 def calibrate(dn: Column, scale: float, offset: float) -> Column:

@@ -102,14 +102,16 @@ def normalize(tiles: DataFrame, pixels_col: str, by: str | None = None, shares:
     from ..functions.raster import INVALID, stretch_u8
     from .aggregates import array_percentile
 
-    fine = F.array_sort(F.filter(F.transform(pixels_col, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x) & (x > INVALID)))
-    rows = tiles.withColumns({"__low": array_percentile(fine, shares[0]), "__high": array_percentile(fine, shares[1])})
+    once = lambda column, f: F.transform(F.array(column), f)[0]  # f(column), which is evaluated once, not wherever f names it
+    fine = F.sort_array(F.filter(F.transform(pixels_col, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x) & (x > INVALID)))
+    own = once(fine, lambda v: F.struct(array_percentile(v, shares[0]).alias("low"), array_percentile(v, shares[1]).alias("high")))
+    rows, limits = tiles, own
     if by is not None:
-        limits = rows.groupBy(by).agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"))
+        found = tiles.select(by, own.alias("__l")).groupBy(by).agg(F.min("__l.low").alias("__low"), F.max("__l.high").alias("__high"))
         if known is not None:
-            limits = limits.join(known.select(by, "low", "high"), by, "left").select(by, F.coalesce("low", "__low").alias("__low"), F.coalesce("high", "__high").alias("__high"))
-        rows = tiles.join(limits, by)
-    return rows.withColumn(pixels_col, stretch_u8(F.col(pixels_col), F.col("__low"), F.col("__high"))).drop("__low", "__high")
+            found = found.join(known.select(by, "low", "high"), by, "left").select(by, F.coalesce("low", "__low").alias("__low"), F.coalesce("high", "__high").alias("__high"))
+        rows, limits = tiles.join(found, by), F.struct(F.col("__low").alias("low"), F.col("__high").alias("high"))
+    return rows.withColumn(pixels_col, once(limits, lambda x: stretch_u8(F.col(pixels_col), x["low"], x["high"]))).drop("__low", "__high")
 
 
 def block_mean_encoder(dim: int) -> Callable[[np.ndarray], np.ndarray]:

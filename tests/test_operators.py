@@ -212,3 +212,10 @@ def test_a_shadow_without_an_offset_points_down(spark):
     masks = spark.createDataFrame([(1, (20, 3.5, 3.5, 7, 7), (20, 3.5, 3.5, 7, 7)), (2, (20, 3.0, 4.0, 7, 7), (20, 3.0, 3.0, 7, 7))], f"id long, shadow {moments}, edge {moments}")
     found = aggregates.physics_validate(masks, "id", F.lit(10.0), F.lit(60.0))
     assert {r["id"]: (r["shadow_deg"], r["error_deg"]) for r in found.collect()} == {1: (180.0, 10.0), 2: (180.0, 10.0)}
+
+
+def test_limits_of_a_tile_are_sorted_once(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0, 4.0]), (2, [5.0, 5.0]), (3, [])], "id int, px array<double>")
+    found = tiles.normalize(rows, "px", shares=(0.25, 0.75))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
+    assert dict(map(tuple, found.collect())) == {1: [0, 0, 127, 255, 255], 2: [0, 0], 3: []}
