@@ -1,5 +1,9 @@
 """Operators on pairs of vectors and boxes: what they send and what they meet."""
 
+import numpy as np
+
+from gridquarry.operators import search
+
 
 def test_distances_of_all_pairs_are_not_joined(spark):
     from gridquarry.plans.queries import QUERIES
@@ -8,3 +12,26 @@ def test_distances_of_all_pairs_are_not_joined(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert found.count() > 0
+
+
+def test_best_of_each_row_with_ties_by_id():
+    rng = np.random.default_rng(3)
+    s, ids = np.round(rng.normal(size=(40, 200)), 1), rng.permutation(1000)[:200]
+    s[3, 5] = np.nan
+    row, j = search._best(s, ids, 7)
+    want = [sorted(range(200), key=lambda c: (np.isnan(s[r, c]), -s[r, c], ids[c]))[:7] for r in range(40)]
+    assert [(int(a), int(b)) for a, b in zip(row, j, strict=True)] == [(r, c) for r in range(40) for c in want[r]]
+
+
+def test_a_pair_of_blocks_meets_once(spark):
+    """40 vectors in 4 blocks: 4 + 1 copies of each, where both sides of all pairs of blocks would take 8."""
+    x = np.random.default_rng(0).normal(size=(40, 4))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<float>")
+    found = search.all_knn(rows, 3, block=10)
+    sides = found._jdf.queryExecution().analyzed().toString()
+    assert sides.count("sequence(0, 3") == 0  # no side goes to all blocks
+    got = {(r["query"], r["id"]) for r in found.collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    assert got == {(k, int(c)) for k in range(40) for c in np.lexsort((np.arange(40), -s[k]))[:3]}
