@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gridquarry.operators import search
+from gridquarry.operators import latent, search
 
 
 def test_distances_of_all_pairs_are_not_joined(spark):
@@ -35,3 +35,12 @@ def test_a_pair_of_blocks_meets_once(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = np.round(u @ u.T, 6)
     assert got == {(k, int(c)) for k in range(40) for c in np.lexsort((np.arange(40), -s[k]))[:3]}
+
+
+def test_euclid_by_products_keeps_its_digits():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 64)) + 5
+    x[1], x[2] = x[0], x[0] + 1e-9
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = latent._euclid(x, x)
+    assert (got[0, :2] == 0).all() and np.allclose(got, want, rtol=1e-10, atol=0)
