@@ -1,8 +1,9 @@
 """Operators on pairs of vectors and boxes: what they send and what they meet."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from gridquarry.operators import latent, search
+from gridquarry.operators import latent, nms, search
 
 
 def test_distances_of_all_pairs_are_not_joined(spark):
@@ -44,3 +45,13 @@ def test_euclid_by_products_keeps_its_digits():
     want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     got = latent._euclid(x, x)
     assert (got[0, :2] == 0).all() and np.allclose(got, want, rtol=1e-10, atol=0)
+
+
+def test_of_equal_boxes_only_the_best_meets_others(spark, monkeypatch):
+    df = spark.range(900).select("id", *[F.lit(v).alias(c) for c, v in (("x0", 0.1), ("y0", 0.1), ("x1", 0.4), ("y1", 0.4))])
+    flat = spark.createDataFrame([(1000, 0.2, 0.2, 0.2, 0.3), (1001, 0.2, 0.2, 0.2, 0.3), (1002, None, 0.2, 0.2, 0.3)], "id long, x0 double, y0 double, x1 double, y1 double")
+    met, plain = [], nms._suppressed
+    monkeypatch.setattr(nms, "_suppressed", lambda edges: met.append(edges.count()) or plain(edges))
+    kept = nms.nms_iou(df.unionByName(flat), ("x0", "y0", "x1", "y1"), [-F.col("id")], 0.3, 0.5)
+    assert sorted(r["id"] for r in kept.collect()) == [899, 1000, 1001, 1002]
+    assert met == [0]
