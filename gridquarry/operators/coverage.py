@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings
-from ..session import stage
+from ..session import drop, stage
 from .aggregates import reject_area_outliers
 from .gates import filter_footprints
 from .joins import BOX, _box_cells, running_sums
@@ -85,43 +85,47 @@ def _columns(held: list[list[np.ndarray]], cell: float) -> list[pa.Array]:
     return [flat, pa.array([float(sum(map(rings.area, pieces))) for pieces in held], pa.float64()), pa.array(cells, kind)]
 
 
-def _candidates(footprints: DataFrame, roi: list[np.ndarray], cell: float) -> DataFrame:
-    """product_id, orbit, incidence, resolution, and what each footprint shares with the region: pieces, gain, cells."""
-    own = ["product_id", "orbit", "incidence", "resolution"]
+def _candidates(footprints: DataFrame, roi: list[np.ndarray], cell: float) -> tuple[DataFrame, DataFrame]:
+    """(products, shapes): product_id, orbit, incidence, resolution and shape; and what each shape, a number for all footprints of
+    equal rings, shares with the region: pieces, gain, cells. Equal rings are cut once; what shares no area is left out."""
     orbit = F.coalesce(F.col("orbit").cast("long"), F.lit(0).cast("long")).alias("orbit")
     rows = footprints.dropDuplicates(["product_id"]).select("product_id", orbit, F.col("incidence").cast("double").alias("incidence"), F.col("resolution").cast("double").alias("resolution"), F.col("ring").cast(POINTS).alias("ring"))
+    rows = stage(rows, "footprints")
+    different = stage(rows.select("ring").distinct(), "rings").withColumn("shape", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [[piece for part in rings.turned_parts(points(r)) for by in roi if len(piece := rings.clip(part, by))] for r in batch.column("ring").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *_columns(held, cell)], [*own, "pieces", "gain", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("shape"), batch.column("ring"), *_columns(held, cell)], ["shape", "ring", "pieces", "gain", "cells"])
 
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
-    return rows.mapInArrow(run, f"{schema}, pieces {_PIECES}, gain double, cells {_CELLS}").where("gain > 0")
+    found = stage(different.select("shape", "ring").mapInArrow(run, f"shape long, ring {POINTS}, pieces {_PIECES}, gain double, cells {_CELLS}").where("gain > 0"), "shapes")
+    products = stage(rows.join(found.select("ring", "shape"), "ring").drop("ring"), "products")
+    drop(rows)
+    return products, found.drop("ring")
 
 
-def _without(candidates: DataFrame, taken: DataFrame, cell: float) -> DataFrame:
-    """candidates less what taken (product_id, taken: pieces) covers, and less those of which nothing is left."""
-    rows = candidates.join(taken, "product_id", "left")
-    own = [c for c in candidates.columns if c not in ("pieces", "gain", "cells")]
+def _without(shapes: DataFrame, taken: DataFrame, cell: float) -> DataFrame:
+    """shapes less what taken (shape, taken: pieces) covers, and less those of which nothing is left. Only shapes in taken reach Python."""
+    own = [c for c in shapes.columns if c not in ("pieces", "gain", "cells")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
             for pieces, gone in zip(batch.column("pieces").to_pylist(), batch.column("taken").to_pylist(), strict=True):
                 pieces = [np.array(p).reshape(-1, 2) for p in pieces]
-                for by in gone or []:
+                for by in gone:
                     pieces = rings.subtract(pieces, np.array(by).reshape(-1, 2))
                 held.append(pieces)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *_columns(held, cell)], [*own, "pieces", "gain", "cells"])
 
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
-    left = rows.select(*own, "pieces", "taken").mapInArrow(run, f"{schema}, pieces {_PIECES}, gain double, cells {_CELLS}")
-    return left.where("gain > 0").select(*candidates.columns)
+    schema = ", ".join(f"{c} {shapes.schema[c].dataType.simpleString()}" for c in own)
+    cut = shapes.join(taken, "shape").select(*own, "pieces", "taken").mapInArrow(run, f"{schema}, pieces {_PIECES}, gain double, cells {_CELLS}")
+    return cut.where("gain > 0").select(*shapes.columns).unionByName(shapes.join(taken.select("shape"), "shape", "left_anti"))
 
 
-def _greedy_areas(candidates: DataFrame, cell: float, min_gain: float) -> tuple[DataFrame | None, DataFrame]:
-    """Picks (product_id, gain) of the greedy cover by area among candidates that are open, and what is left of the others.
+def _greedy_areas(shapes: DataFrame, cell: float, min_gain: float) -> tuple[DataFrame | None, DataFrame]:
+    """Picks (product_id, gain) of the greedy cover by area among shapes that are open, and what is left of the others. A shape's
+    product_id is the first of the open products that have it.
 
     Greedy takes the candidate that adds most, again and again. One that adds more than all those it shares a cell with is
     taken with just this gain whatever happens elsewhere, since only they could lessen it. So a round takes all such
@@ -131,19 +135,19 @@ def _greedy_areas(candidates: DataFrame, cell: float, min_gain: float) -> tuple[
     picks = None
     by = (-F.round("gain", 9)).alias("loss")
     while True:
-        live = candidates.where(F.col("open") & (F.col("gain") >= min_gain))
-        cells = live.select("product_id", F.struct(by, "product_id").alias("rank"), F.explode("cells").alias("cell"))
+        live = shapes.where(F.col("open") & (F.col("gain") >= min_gain))
+        cells = live.select("shape", F.struct(by, "product_id").alias("rank"), F.explode("cells").alias("cell"))
         best = cells.groupBy("cell").agg(F.min("rank").alias("best"))
-        waits = cells.join(best, "cell").where("best.product_id <> product_id").select("product_id").distinct()
-        taken = stage(live.join(waits, "product_id", "left_anti").select("product_id", "gain", "pieces", "cells"), "taken")
+        waits = cells.join(best, "cell").where("best.product_id <> rank.product_id").select("shape").distinct()
+        taken = stage(live.join(waits, "shape", "left_anti").select("shape", "product_id", "gain", "pieces", "cells"), "taken")
         if taken.isEmpty():
-            return picks, candidates
+            return picks, shapes
         picks = taken.select("product_id", "gain") if picks is None else picks.unionByName(taken.select("product_id", "gain"))
-        others = candidates.join(taken.select("product_id"), "product_id", "left_anti")
-        takers = taken.select(F.col("product_id").alias("taker"), F.explode("cells").alias("cell"))
-        met = others.select("product_id", F.explode("cells").alias("cell")).join(takers, "cell").select("product_id", "taker").distinct()
-        gone = met.join(taken.select(F.col("product_id").alias("taker"), "pieces"), "taker").groupBy("product_id").agg(F.flatten(F.collect_list("pieces")).alias("taken"))
-        candidates = stage(_without(others, gone, cell), "candidates")
+        others = shapes.join(taken.select("shape"), "shape", "left_anti")
+        takers = taken.select(F.col("shape").alias("taker"), F.explode("cells").alias("cell"))
+        met = others.select("shape", F.explode("cells").alias("cell")).join(takers, "cell").select("shape", "taker").distinct()
+        gone = stage(met.join(taken.select(F.col("shape").alias("taker"), "pieces"), "taker").groupBy("shape").agg(F.flatten(F.collect_list("pieces")).alias("taken")), "gone")
+        shapes = stage(_without(others, gone, cell), "shapes")
 
 
 def box_ring(box: list[Column]) -> Column:
@@ -171,23 +175,25 @@ def select_coverage(
     uncovered. Of rows of equal product_id one counts; rings without area in the region are no candidates. A region without
     area, and an empty table, give no picks.
 
-    cell is the side of the cells by which candidates find each other: about a footprint's size. See _greedy_areas."""
+    Footprints of equal rings are one candidate, for the first of them that is open. cell is the side of the cells by which candidates
+    find each other: about a footprint's size. See _greedy_areas."""
     spark = footprints.sparkSession
     region = rings.turned_parts(np.array(roi, float))
     total = sum(map(rings.area, region))
     out = spark.createDataFrame([], f"pick long, product_id {footprints.schema['product_id'].dataType.simpleString()}, gain double, pass int")
     if not total:
         return out
-    candidates = stage(_candidates(footprints, region, cell), "candidates")
+    products, shapes = _candidates(footprints, region, cell)
     covered, number = 0.0, 0
     for k, (low, high) in enumerate([*((30.0, c) for c in ceilings), (0.0, 90.0)]):
         if (total - covered) / total < uncovered:
             break
-        allowed = filter_footprints(candidates, max_resolution, low, high).withColumn("area", F.col("gain"))
-        fine = reject_area_outliers(allowed).select("product_id", F.lit(True).alias("open"))
-        marked = stage(candidates.join(fine, "product_id", "left").withColumn("open", F.coalesce("open", F.lit(False))), "marked")
+        candidates = products.join(shapes.select("shape", F.col("gain").alias("area")), "shape")
+        fine = reject_area_outliers(filter_footprints(candidates, max_resolution, low, high))
+        open_ = fine.groupBy("shape").agg(F.min("product_id").alias("product_id"), F.lit(True).alias("open"))
+        marked = stage(shapes.join(open_, "shape", "left").withColumn("open", F.coalesce("open", F.lit(False))), "marked")
         picks, rest = _greedy_areas(marked, cell, min_gain)
-        candidates = rest.drop("open")
+        shapes = rest.drop("open", "product_id")
         if picks is None:
             continue
         ordered = running_sums(picks, [(-F.round("gain", 9)).alias("loss"), F.col("product_id").asc()], {"upto": F.col("gain"), "at": F.lit(1).cast("long")})

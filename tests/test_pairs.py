@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridquarry.operators import latent, nms, search
+from gridquarry.operators import coverage, latent, nms, search
 
 
 def test_distances_of_all_pairs_are_not_joined(spark):
@@ -55,3 +55,13 @@ def test_of_equal_boxes_only_the_best_meets_others(spark, monkeypatch):
     kept = nms.nms_iou(df.unionByName(flat), ("x0", "y0", "x1", "y1"), [-F.col("id")], 0.3, 0.5)
     assert sorted(r["id"] for r in kept.collect()) == [899, 1000, 1001, 1002]
     assert met == [0]
+
+
+def test_footprints_of_equal_rings_are_one_candidate(spark):
+    x = F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    ring = coverage.box_ring([x, F.lit(0.0), x + 1.0 + (F.col("id") % 2) * 0.5, F.lit(1.0)])
+    rows = spark.range(60).select((F.col("id") + 10).cast("string").alias("product_id"), ring.alias("ring"), F.lit(1).alias("orbit"), F.lit(40.0).alias("incidence"), F.lit(1.0).alias("resolution"))
+    products, shapes = coverage._candidates(rows, [np.array([(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (0.0, 1.0)])], 0.5)
+    assert (products.count(), shapes.count()) == (60, 2)
+    found = coverage.select_coverage(rows, [(0, 0), (3, 0), (3, 1), (0, 1)], 0.5)
+    assert [(r["pick"], r["product_id"], round(r["gain"], 9)) for r in found.orderBy("pick").collect()] == [(1, "11", 1.5), (2, "10", 1.0)]
